@@ -87,12 +87,19 @@ def ingest_season(spark: SparkSession, landing: DataFrame, root: str, season: in
     rows = by_month(landing.where(F.to_date("game_date").between(F.lit(start), F.lit(end))))
     if rows.isEmpty():
         return rows
-    # an interrupted replacement must not look complete
-    known.withColumn("is_complete", F.lit(False)).drop(*PARTS).limit(0).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "static").parquet(f"{manifest_path(root)}/season={season}")
+    # an interrupted replacement must not look complete; at most twelve rows
+    stale = [r.asDict() | {"is_complete": False} for r in known.collect()]
+    if stale:
+        _replace_manifest(spark.createDataFrame(stale, MANIFEST_SCHEMA), root, season)
     write_table(rows.drop("season"), f"{root}/season={season}", codec, ["month"])
-    _write_manifest(spark, root, _stored(spark, root, season), F.lit(season < today.year))
-    return _stored(spark, root, season)
+    stored = _stored(spark, root, season)
+    _replace_manifest(manifest_of(stored, F.lit(season < today.year)), root, season)
+    return stored
+
+
+def _replace_manifest(rows: DataFrame, root: str, season: int) -> None:
+    """Replace all manifest rows of a season, months that are gone included."""
+    write_table(rows.drop("season"), f"{manifest_path(root)}/season={season}", partition_by=["month"])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
