@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from pitchrank import params as P
 
 
-def switch(key: Column, table: dict, default: Column | None = None) -> Column:
-    """CASE over a small literal table, one branch per distinct value."""
-    branches: dict = {}
-    for code, value in table.items():
-        branches.setdefault(value, []).append(code)
-    out = None
-    for value, codes in branches.items():
-        hit = key == codes[0] if len(codes) == 1 else key.isin(codes)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out if default is None else out.otherwise(default)
+def lookup(key: Column, table: dict) -> Column:
+    """Value of ``key`` in a small fixed table, null if it has none.
+
+    A literal map names the key once and compiles to a loop; a chain of branches
+    would repeat the key, and whatever it is computed from, per branch.
+    """
+    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[key]
 
 
 def normal_code(code: Column) -> Column:
     """Pitch code with legacy codes replaced; null where the code marks no pitch."""
-    return switch(code, P.CODE_ALIASES, default=code)
+    renamed = {c: new for c, new in P.CODE_ALIASES.items() if new is not None}
+    dropped = [c for c, new in P.CODE_ALIASES.items() if new is None]
+    return F.when(~code.isin(dropped), F.coalesce(lookup(code, renamed), code))
 
 
 def pitch_group(code: Column, groups=P.PITCH_GROUPS) -> Column:
-    return switch(code, {c: name for name, codes in groups.items() for c in codes})
+    return lookup(code, {c: name for name, codes in groups.items() for c in codes})
 
 
 def hand_flag(hand: Column) -> Column:
@@ -36,7 +35,7 @@ def hand_flag(hand: Column) -> Column:
 
 def event_runs(description: Column) -> Column:
     """Fixed runs of an outcome; null for balls in play and unknown outcomes."""
-    return switch(description, P.EVENT_RUNS)
+    return lookup(description, P.EVENT_RUNS)
 
 
 def run_value(description: Column, pitch_result: Column | None, xwoba: Column | None) -> Column:
@@ -76,7 +75,7 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
 
 def fast_enough(code: Column, speed: Column) -> Column:
     """Whether a pitch reaches its type's floor; types without one always do."""
-    return F.coalesce(speed >= switch(code, P.SPEED_FLOORS), F.lit(True))
+    return F.coalesce(speed >= lookup(code, P.SPEED_FLOORS), F.lit(True))
 
 
 def whiff(description: Column) -> Column:

@@ -27,22 +27,16 @@ def position_after(t: Column, start: Column, v: Column, a: Column) -> Column:
     return start + v * t + F.lit(0.5) * a * t * t
 
 
-def approach_angle(v: Column, a: Column, vy: Column, ay: Column, y_from: Column) -> Column:
-    """Angle in degrees, at the front of the plate, between the flight and the y axis.
+def approach_angle(v: Column, a: Column, t: Column, along: Column) -> Column:
+    """Angle in degrees between the flight and the y axis after time ``t``.
 
-    ``v`` and ``a`` are the vertical or the horizontal component.
+    ``v`` and ``a`` are the vertical or the horizontal component, ``along`` the
+    speed toward the plate.
     """
-    across = v + a * time_to(vy, ay, y_from, P.PLATE_Y)
-    along = speed_at(vy, ay, y_from, P.PLATE_Y)
+    across = v + a * t
     return F.when((across != 0) | (along > 0), F.degrees(F.atan2(across, along)))
 
 
-def position_at(y_to: float, start: Column, v: Column, a: Column,
-                vy: Column, ay: Column, y_from: Column) -> Column:
-    """Sideways or vertical position when the ball reaches ``y_to``."""
-    return position_after(clip(time_to(vy, ay, y_from, y_to), low=0.0), start, v, a)
-
-
 def spin_efficiency(pfx_x: Column, pfx_z: Column, speed: Column, spin: Column, axis: Column,
                     pfx_scale: float = 1.0) -> Column:
     """Share of the spin that moves the ball: movement along the spin's own direction

@@ -13,11 +13,30 @@ from pitchrank.operators.joins import lookup_join
 from pitchrank.params import DEFAULTS, Settings
 
 
+_FLIGHT = ("_t_tunnel", "_t_plate", "_v_plate")
+
+
+def with_flight(df: DataFrame) -> DataFrame:
+    """Times of flight and the speed at the plate, which several features share.
+
+    Kept as columns of their own: written out inside every feature they would be
+    computed, and compiled, many times over.
+    """
+    if not {"vy0", "ay", "release_pos_y"} <= set(df.columns):
+        return df.withColumns({c: F.lit(None).cast("double") for c in _FLIGHT})
+    y = [F.col("vy0"), F.col("ay"), F.col("release_pos_y")]
+    return df.withColumns({
+        "_t_tunnel": flight.time_to(*y, P.TUNNEL_Y),
+        "_t_plate": flight.time_to(*y, P.PLATE_Y),
+        "_v_plate": flight.speed_at(*y, P.PLATE_Y),
+    })
+
+
 def _angle(df: DataFrame, axis: str):
-    needed = [f"v{axis}0", f"a{axis}", "vy0", "ay", "release_pos_y"]
-    if not set(needed) <= set(df.columns):
+    if not {f"v{axis}0", f"a{axis}"} <= set(df.columns):
         return F.lit(None).cast("double")
-    return flight.approach_angle(*[F.col(c) for c in needed])
+    return flight.approach_angle(
+        F.col(f"v{axis}0"), F.col(f"a{axis}"), F.col("_t_plate"), F.col("_v_plate"))
 
 
 def tunnel_columns(df: DataFrame) -> dict:
@@ -25,14 +44,14 @@ def tunnel_columns(df: DataFrame) -> dict:
     needed = {"vx0", "vy0", "vz0", "ax", "ay", "az", "release_pos_x", "release_pos_y", "release_pos_z"}
     if not needed <= set(df.columns):
         return {c: F.lit(None).cast("double") for c in P.TUNNEL_POSITIONS}
-    y = [F.col("vy0"), F.col("ay"), F.col("release_pos_y")]
     side = [F.col("release_pos_x"), F.col("vx0"), F.col("ax")]
     height = [F.col("release_pos_z"), F.col("vz0"), F.col("az")]
+    tunnel, plate = (codes.clip(F.col(t), low=0.0) for t in ("_t_tunnel", "_t_plate"))
     return {
-        "tunnel_x": flight.position_at(P.TUNNEL_Y, *side, *y),
-        "tunnel_z": flight.position_at(P.TUNNEL_Y, *height, *y),
-        "plate_x_kin": flight.position_at(P.PLATE_Y, *side, *y),
-        "plate_z_kin": flight.position_at(P.PLATE_Y, *height, *y),
+        "tunnel_x": flight.position_after(tunnel, *side),
+        "tunnel_z": flight.position_after(tunnel, *height),
+        "plate_x_kin": flight.position_after(plate, *side),
+        "plate_z_kin": flight.position_after(plate, *height),
     }
 
 
@@ -44,7 +63,7 @@ def spin_column(df: DataFrame, settings: Settings = DEFAULTS):
 
 
 def add_tunnel_positions(df: DataFrame) -> DataFrame:
-    return df.withColumns(tunnel_columns(df))
+    return with_flight(df).withColumns(tunnel_columns(df)).drop(*_FLIGHT)
 
 
 def add_spin_efficiency(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -57,7 +76,7 @@ def add_physics(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         flight.arm_side_break(F.col("pfx_x"), F.col("p_throws"))
         if "p_throws" in df.columns else F.col("pfx_x")
     )
-    out = df.withColumns({
+    out = with_flight(df).withColumns({
         "induced_vertical_break": F.col("pfx_z"),
         "horz_break": F.col("pfx_x"),
         "arm_side_break": arm,
@@ -65,7 +84,7 @@ def add_physics(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         "haa": _angle(df, "x"),
         "spin_efficiency": spin_column(df, settings),
         **tunnel_columns(df),
-    })
+    }).drop(*_FLIGHT)
     if "p_throws_enc" not in df.columns and "p_throws" in df.columns:
         out = out.withColumn("p_throws_enc", codes.hand_flag(F.col("p_throws")))
     return out

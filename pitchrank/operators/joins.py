@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchrank.session import materialize
+from pitchrank.session import measured
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is hot if it holds more than one part in HOT_PARTS of the rows, so there
@@ -16,17 +16,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_PARTS = 1000
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a materialized table as it would be held in memory, counted exactly."""
-    fixed = 16
-    texts = []
-    for f in df.schema:
-        fixed += 8
-        if isinstance(f.dataType, T.StringType):
-            texts.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
-    text = F.sum(reduce(lambda a, b: a + b, texts)) if texts else F.lit(0)
-    rows, chars = df.agg(F.count(F.lit(1)), text).first()
-    return rows * fixed + (chars or 0)
+def write_and_weigh(df: DataFrame) -> tuple[DataFrame, int]:
+    """A written copy of ``df`` and its size in memory, counted exactly while writing."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema
+             if isinstance(f.dataType, T.StringType)]
+    measures = {"rows": F.count(F.lit(1))}
+    if texts:
+        measures["text"] = F.sum(reduce(lambda a, b: a + b, texts))
+    copy, found = measured(df, "lookup", **measures)
+    return copy, found["rows"] * (16 + 8 * len(df.columns)) + (found.get("text") or 0)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
@@ -40,8 +38,8 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
     shuffled; none of those keys can fill a partition. Rows with a null key match
     nothing and are not shuffled either.
     """
-    small = materialize(lookup, "lookup")
-    if table_bytes(small) <= limit:
+    small, size = write_and_weigh(lookup)
+    if size <= limit:
         return _join(df, small.drop(rows), keys, how, small=True)
 
     total = small.agg(F.sum(rows)).first()[0] or 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pitchrank.operators.zscore import add_zscores
 from pitchrank.params import BoostParams, Settings
 from pitchrank.plans.fused import profiles_from_raw
 from pitchrank.schema import keep_columns
-from pitchrank.session import materialize, scratch_path
+from pitchrank.session import materialize, scratch_path, tune
 from pitchrank.sources import calendar as K
 from pitchrank.sources import landing as L
 from pitchrank.sources import tables as S
@@ -48,7 +49,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name, less a trailing underscore."""
+    @wraps(fn)
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(tune(spark), sf_dir)
+
+    QUERIES[fn.__name__.rstrip("_")] = tuned
     return fn
 
 
@@ -99,9 +105,6 @@ def keep_columns_(spark, d):
     return tidy(keep_columns(pitch_view(spark, d).withColumn("not_wanted", F.lit(1))))
 
 
-QUERIES["keep_columns"] = QUERIES.pop("keep_columns_")
-
-
 @query
 def roundtrip_parquet(spark, d):
     path = scratch_path(spark, "copy")
@@ -381,9 +384,6 @@ def tunnel_summary_(spark, d):
     return tidy(tunnel_summary(materialize(add_tunnel_features(_kept(spark, d)), "tunnel")))
 
 
-QUERIES["tunnel_summary"] = QUERIES.pop("tunnel_summary_")
-
-
 @query
 def zscore_in_group(spark, d):
     rows = materialize(add_tunnel_features(_kept(spark, d)), "tunnel")
@@ -477,18 +477,12 @@ def time_split_(spark, d):
     return time_split(profiles(spark, d), 2000).select(*KEYS, "split")
 
 
-QUERIES["time_split"] = QUERIES.pop("time_split_")
-
-
 @query
 def train_set_(spark, d):
     rows = materialize(profiles(spark, d), "profiles")
     return train_set(rows, settings=SHARED).select(*KEYS, "n_pitches", "split", "rows_complete")
 
 
-QUERIES["train_set"] = QUERIES.pop("train_set_")
-
-
 def _trained(spark, d):
     rows = materialize(profiles(spark, d), "profiles")
     return rows, train_models(rows, settings=SHARED, parallelism=8)
@@ -510,9 +504,6 @@ def feature_importance_(spark, d):
     return tidy(feature_importance(spark, _trained(spark, d)[1]))
 
 
-QUERIES["feature_importance"] = QUERIES.pop("feature_importance_")
-
-
 @query
 def model_roundtrip(spark, d):
     rows, models = _trained(spark, d)

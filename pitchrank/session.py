@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+
+# Long projections and wide aggregates generate methods the JVM will not compile
+# once they pass 8000 bytes; run interpreted they are about ten times slower than
+# the operator-by-operator code Spark falls back to under this limit.
+METHOD_LIMIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 SESSION_CONF = {
+    **METHOD_LIMIT,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -28,6 +34,13 @@ def build_session(app: str = "pitchrank", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Set on a foreign session what the plans need at run time."""
+    for key, value in METHOD_LIMIT.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches, as named by ``spark.checkpoint.dir``.
 
@@ -60,7 +73,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Later uses read the columns they need from Parquet instead of repeating the
     work, and a lost executor costs no recomputation.
     """
+    return measured(df, name)[0]
+
+
+def measured(df: DataFrame, name: str = "table", **measures) -> tuple[DataFrame, dict]:
+    """Like ``materialize``, with aggregates of the rows taken while they are written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = Observation() if measures else None
+    rows = df.observe(found, *[c.alias(k) for k, c in measures.items()]) if measures else df
+    rows.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), found.get if measures else {}
