@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from pitchrank import params as P
 
 
+def _literal(value) -> str:
+    return f"'{value}'" if isinstance(value, str) else f"{value!r}D"
+
+
 def lookup(key: Column, table: dict) -> Column:
     """Value of ``key`` in a small fixed table, null if it has none.
 
     A literal map names the key once and compiles to a loop; a chain of branches
     would repeat the key, and whatever it is computed from, per branch.
     """
-    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[key]
+    pairs = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items())
+    return F.expr(f"map({pairs})")[key]
 
 
 def normal_code(code: Column) -> Column:
@@ -58,7 +63,7 @@ def count_weight(balls: Column, strikes: Column) -> Column:
         return F.least(F.greatest(F.coalesce(c.cast("int"), F.lit(0)), F.lit(0)), F.lit(last))
 
     strike_columns = len(P.COUNT_WEIGHTS[0])
-    table = F.array(*[F.lit(w) for row in P.COUNT_WEIGHTS for w in row])
+    table = F.expr(f"array({', '.join(_literal(w) for row in P.COUNT_WEIGHTS for w in row)})")
     place = position(balls, len(P.COUNT_WEIGHTS) - 1) * strike_columns
     return F.get(table, place + position(strikes, strike_columns - 1))
 

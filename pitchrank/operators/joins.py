@@ -24,7 +24,8 @@ def write_and_weigh(df: DataFrame) -> tuple[DataFrame, int]:
     if texts:
         measures["text"] = F.sum(reduce(lambda a, b: a + b, texts))
     copy, found = measured(df, "lookup", **measures)
-    return copy, found["rows"] * (16 + 8 * len(df.columns)) + (found.get("text") or 0)
+    rows = found["rows"] if "rows" in found else copy.count()
+    return copy, rows * (16 + 8 * len(df.columns)) + (found.get("text") or 0)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,

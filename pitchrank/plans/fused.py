@@ -4,7 +4,7 @@ Cleaning needs the size of each pitcher-season, the speed gap its mean fastball
 the profile each pitcher's usual name. Called one by one, each of them scans the
 raw table. Here one narrow aggregate per (pitcher, season, name) gives all three,
 and the second scan does everything else. The result is that of
-``profile(build_features(clean(raw)))``.
+``profile(build_features(clean(raw)))``. The raw table needs pitcher, date and name.
 """
 
 from __future__ import annotations

@@ -26,13 +26,19 @@ def _landing_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(DELIVERY, T.LongType())])
 
 
-def latest_months(landing: DataFrame, months: DataFrame) -> DataFrame:
-    """Landing rows of the given months (``_first`` = first day), each from its latest delivery.
+def latest_months(landing: DataFrame, months: list[date], since: int) -> DataFrame:
+    """Landing rows of the given months (first days), each from its latest delivery.
 
-    ``months`` has one row per touched calendar month, so both joins are with a short list.
+    No delivery before ``since`` can be the latest of these months, so only the
+    folders from there on are read, and of those only the blocks that may hold the
+    months.
     """
-    rows = landing.withColumn("_first", F.trunc(F.to_date("game_date"), "MM"))
-    rows = rows.join(F.broadcast(months), "_first", "left_semi")
+    day = F.to_date("game_date")
+    wanted = F.lit(False)
+    for first in months:
+        wanted = wanted | day.between(F.lit(first), F.last_day(F.lit(first)))
+    rows = landing.where((F.col(DELIVERY) >= since) & wanted).withColumn("_first", F.trunc(day, "MM"))
+    # one row per touched month
     latest = rows.groupBy("_first").agg(F.max(DELIVERY).alias(DELIVERY))
     return rows.join(F.broadcast(latest), ["_first", DELIVERY], "left_semi").drop("_first", DELIVERY)
 
@@ -52,12 +58,19 @@ def follow_landing(spark: SparkSession, landing: str, root: str, checkpoint: str
 
     def take(batch: DataFrame, _batch_id: int) -> None:
         session = batch.sparkSession
-        touched = batch.select(F.trunc(F.to_date("game_date"), "MM").alias("_first")).dropna().distinct()
+        touched = (
+            batch.withColumn("_first", F.trunc(F.to_date("game_date"), "MM")).dropna(subset=["_first"])
+            .groupBy("_first").agg(F.min(DELIVERY).alias("since"))
+        )
         if not force:
             closed = read_manifest(session, root).where("is_complete").select(month_first().alias("_first"))
             touched = touched.join(closed, "_first", "left_anti")
-        stored = session.read.schema(with_delivery).parquet(landing)
-        replace_months(session, latest_months(stored, touched), root, today or date.today())
+        # calendar months: a short list however much has landed
+        months = touched.collect()
+        if months:
+            stored = session.read.schema(with_delivery).parquet(landing)
+            rows = latest_months(stored, [m["_first"] for m in months], min(m["since"] for m in months))
+            replace_months(session, rows, root, today or date.today())
 
     return (
         source.parquet(landing).writeStream.foreachBatch(take)
