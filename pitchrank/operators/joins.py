@@ -29,18 +29,18 @@ def write_and_weigh(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
-                how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+                how: str = "left", limit: int | None = None) -> DataFrame:
     """Join ``df`` to ``lookup`` (one row per key) by ``left``, ``inner`` or ``left_semi``.
 
     ``lookup[rows]`` is the number of rows of ``df`` a key has; it is dropped. The
-    lookup is written once and measured. Up to ``limit`` bytes it is broadcast and
+    lookup is written once and measured. Up to ``limit`` (64 MB) it is broadcast and
     ``df`` is not shuffled at all. Beyond that the hot keys, of which there are
     fewer than HOT_PARTS, are broadcast, and only rows of the remaining keys are
     shuffled; none of those keys can fill a partition. Rows with a null key match
     nothing and are not shuffled either.
     """
     small, size = write_and_weigh(lookup)
-    if size <= limit:
+    if size <= (BROADCAST_BYTES if limit is None else limit):
         return _join(df, small.drop(rows), keys, how, small=True)
 
     total = small.agg(F.sum(rows)).first()[0] or 0

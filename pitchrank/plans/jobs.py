@@ -1,6 +1,6 @@
 """The six steps as jobs over stored tables.
 
-    spark-submit -m ... or:  jobs.run(spark, "/data/pitches", steps=["features", "profile"])
+    jobs.run(spark, "/data/pitches", ["features", "aggregate"])
 
 Tables under the root: ``raw`` (the store), ``clean``, ``features``, ``profiles``,
 ``models``, ``scored`` and ``boards``.

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchrank.functions.codes import round_even
 from pitchrank.params import DEFAULTS, Settings
 from pitchrank.schema import MANIFEST_SCHEMA, as_pitches
 from pitchrank.sources.calendar import season_months, season_range
@@ -126,9 +127,8 @@ def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: i
         # at most twelve rows
         closed = {r["month"] for r in read_manifest(spark, root)
                   .where((F.col("season") == season) & F.col("is_complete")).select("month").collect()}
-    spans = [s for s in season_months(season, today)
-             if s[0].year != season or s[0].month not in closed]
-    spans = [s for s in spans if s[0].year == season]
+    spans = [(first, last) for first, last in season_months(season, today)
+             if first.year == season and first.month not in closed]
     if spans:
         day = F.to_date("game_date")
         wanted = F.lit(False)
@@ -162,6 +162,6 @@ def cache_summary(manifest: DataFrame) -> DataFrame:
     return manifest.select(
         F.format_string("season=%d/month=%d", "season", "month").alias("file"),
         "season", "month", "rows",
-        F.round(F.col("size_bytes") / F.lit(1e6), 1).alias("size_mb"),
+        round_even(F.col("size_bytes") / F.lit(1e6), 1).alias("size_mb"),
         F.col("is_complete").alias("complete"), "fetched_at",
     ).orderBy("season", "month")

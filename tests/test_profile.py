@@ -46,6 +46,23 @@ def test_two_scans_equal_the_chain(pitches):
         assert row == {k: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for k, v in fused[key].items()}
 
 
+def test_nothing_changes_beyond_the_broadcast_limit(pitches, monkeypatch):
+    """Every lookup too large to broadcast, and a pitcher with a third of the pitches."""
+    from pitchrank.operators import joins
+
+    rows = season_rows()
+    hot = [{**r, "game_pk": 1000 + i, "pitcher": 77, "player_name": "H", "game_date": date(2022, 5, 1)}
+           for i, r in enumerate(rows[:200])]
+    raw = pitches(rows + hot)
+    small = as_dict(profiles_from_raw(raw, LOW))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(joins, "HOT_PARTS", 4)
+    large = as_dict(profiles_from_raw(raw, LOW))
+    assert small.keys() == large.keys()
+    for key, row in small.items():
+        assert row == {k: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for k, v in large[key].items()}
+
+
 def test_profiles_match_pandas(pitches):
     feats = build_features(clean(pitches(season_rows()), LOW), LOW)
     got = as_dict(R.profile(feats, LOW))
