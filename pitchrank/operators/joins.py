@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchrank.session import measured
+from pitchrank.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is hot if it holds more than one part in HOT_PARTS of the rows, so there
@@ -16,16 +16,16 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_PARTS = 1000
 
 
-def write_and_weigh(df: DataFrame) -> tuple[DataFrame, int]:
-    """A written copy of ``df`` and its size in memory, counted exactly while writing."""
+def table_bytes(df: DataFrame) -> int:
+    """Size in memory of the rows of a written table, by exact count.
+
+    Reads no more than its row counts and text columns.
+    """
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema
              if isinstance(f.dataType, T.StringType)]
-    measures = {"rows": F.count(F.lit(1))}
-    if texts:
-        measures["text"] = F.sum(reduce(lambda a, b: a + b, texts))
-    copy, found = measured(df, "lookup", **measures)
-    rows = found["rows"] if "rows" in found else copy.count()
-    return copy, rows * (16 + 8 * len(df.columns)) + (found.get("text") or 0)
+    text = F.sum(reduce(lambda a, b: a + b, texts)) if texts else F.lit(0)
+    rows, chars = df.agg(F.count(F.lit(1)), text).first()
+    return rows * (16 + 8 * len(df.columns)) + (chars or 0)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
@@ -39,8 +39,8 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
     shuffled; none of those keys can fill a partition. Rows with a null key match
     nothing and are not shuffled either.
     """
-    small, size = write_and_weigh(lookup)
-    if size <= (BROADCAST_BYTES if limit is None else limit):
+    small = materialize(lookup, "lookup")
+    if table_bytes(small) <= (BROADCAST_BYTES if limit is None else limit):
         return _join(df, small.drop(rows), keys, how, small=True)
 
     total = small.agg(F.sum(rows)).first()[0] or 0
