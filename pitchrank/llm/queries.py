@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchrank.llm.decontam import find_items
 from pitchrank.llm.substring import mark_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    """Documents that contain benchmark items, one row per document and item."""
+    hits = find_items(table(spark, sf_dir, "documents", "doc_id", "text"),
+                      table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return hits.select("doc_id", F.explode("hits").alias("hit")).select(
+        "doc_id", "hit.*", (F.col("hit.n_shared") / F.col("hit.n_shingles")).alias("containment"))
+
+
+SQL["op6_benchmark_decontamination"] = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+t AS (SELECT kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM w),
+s AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS sh
+      FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*)::BIGINT AS n_shared, any_value(n_shingles)::BIGINT AS n_shingles,
+       count(*) / any_value(n_shingles)::DOUBLE AS containment
+FROM s d JOIN s i ON d.kind = 'd' AND i.kind = 'i' AND d.sh = i.sh JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n_shingles)
+"""
+
+
 @query
 def op7_substring_dedup(spark, sf_dir):
     done = mark_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
