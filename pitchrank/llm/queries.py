@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
+from pitchrank.llm.minhash import near_duplicates
 from pitchrank.llm.substring import mark_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
+
+
 @query
 def op6_benchmark_decontamination(spark, sf_dir):
     """Documents that contain benchmark items, one row per document and item."""

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+MOST_ROWS = 1 << 16  # in one slice, so that a row number fits into 16 bits
 
 # Word characters of the plain rule: all but blank, tab, line feed, vertical tab,
 # form feed and carriage return.
@@ -132,15 +133,24 @@ def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, n
     return np.concatenate([out, extra]), np.concatenate([text, short])
 
 
+def counted(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes of each text (48 bits of them), ordered, and how often each occurs."""
+    key = np.sort((text.astype(U) << U(48)) | (hashes >> U(16)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return (key[at] >> U(48)).astype(np.int64), key[at] & U((1 << 48) - 1), np.diff(at, append=len(key))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` has about ``most`` bytes in each (one row at least)."""
+    """The batches cut so that ``column`` has about ``most`` bytes in each; one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         off = buffers(batch.column(batch.schema.get_field_index(column)))[1]
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            to = max(at + 1, min(int(np.searchsorted(off, off[at] + most, "right")) - 1, at + MOST_ROWS))
             yield batch.slice(at, to - at)
             at = to
 
