@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
+from pitchrank.llm import toxicity
 from pitchrank.llm.substring import mark_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,21 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
 
 
+def remainder(modulus: int):
+    """The fold of a row by its id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(remainder(5) != 0)
+    index = toxicity.fit(docs, docs.join(labels, "doc_id"))
+    done = toxicity.score(docs, index)
+    return done.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 @query
 def op6_benchmark_decontamination(spark, sf_dir):
     """Documents that contain benchmark items, one row per document and item."""
