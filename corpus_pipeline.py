@@ -3,22 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pitchrank.llm import toxicity
+from pitchrank.llm.decontam import find_items
+from pitchrank.llm.minhash import near_duplicates
+from pitchrank.llm.queries import piece_ids
 from pitchrank.llm.substring import mark_repeats
 from pitchrank.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents with a toxicity score of 0.5 or more; learns from all labelled ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    index = toxicity.fit(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, index).where("score < 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies, once.
+
+    Documents without a text or an id are in no group and stay.
+    """
+    kept = near_duplicates(docs).where("class_id IS NULL OR class_id = doc_id").select(*docs.columns)
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages that an earlier document has; a document left without words goes."""
+    """Cuts out passages of 13 words or more that an earlier document has.
+
+    A document all of whose words go is dropped; ``n_chars`` follows the text.
+    """
     done = mark_repeats(docs, keep_layout=True)
-    return done.drop("text").withColumnRenamed("kept", "text").select(*docs.columns)
+    gone = F.aggregate("removed", F.lit(0), lambda n, run: n + run["last"] - run["first"] + F.lit(1))
+    done = done.where((gone < F.col("n_words")) | (F.col("n_words") == 0)).withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        chars = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        done = done.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return find_items(docs, items).where(F.size("hits") == 0).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the piece ids of each text and checks that they decode to it."""
+    return piece_ids(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece", tokenize),
 ]
 
-# Learned scores, hashed signatures and subword ids are beyond SQL.
+# Learned scores, hashed signatures and subword ids are beyond SQL; tests/llm compares the
+# stages with brute force.
 ORACLE_SQL = None
 
 

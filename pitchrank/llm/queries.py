@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
-from pitchrank.llm import toxicity
+from pitchrank.llm import spm, toxicity
 from pitchrank.llm.substring import mark_repeats
 
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def piece_ids(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """``docs`` with the piece ids of each text, their number, and whether they decode to the text again."""
+    vocabulary = spm.Vocabulary.load(f"{tokenizers}/piece_bpe_32k.model")
+    done = spm.decode(spm.encode(docs, vocabulary), vocabulary)
+    return done.withColumns({"n_tokens": F.size("ids"), "round_trip": F.col("decoded").eqNullSafe(F.col("text")),
+                             "decoded_crc32": F.crc32(F.col("decoded").cast("binary"))}).drop("decoded")
+
+
+@query
+def op1_sentencepiece(spark, sf_dir):
+    return piece_ids(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+
+
 @query
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
