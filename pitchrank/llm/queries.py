@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
-from pitchrank.llm import spm, toxicity
+from pitchrank.llm import langid, spm, toxicity
 from pitchrank.llm.substring import mark_repeats
 
 TOKENIZERS = "/opt/tokenizers"
@@ -107,3 +107,11 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.n_removed, 0)::BIGINT A
        sha256(coalesce(s.kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.where(remainder(4) != 2))
+    done = langid.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "spans")
