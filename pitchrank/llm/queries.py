@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
-from pitchrank.llm import langid, spm, toxicity
+from pitchrank.llm import langid, rules, spm, toxicity
 from pitchrank.llm.substring import mark_repeats
 
 TOKENIZERS = "/opt/tokenizers"
@@ -115,3 +115,13 @@ def op10_language_id(spark, sf_dir):
     model = langid.fit(docs.where(remainder(4) != 2))
     done = langid.identify(docs.select("doc_id", "text"), model)
     return done.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "spans")
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    learned = rules.learn(docs.join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id"))
+    done = rules.apply(rules.count_texts(docs), learned)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), "rule")
