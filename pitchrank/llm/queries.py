@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
-from pitchrank.llm import langid, rules, spm, toxicity
+from pitchrank.llm import langid, packing, rules, spm, tokencount, toxicity
 from pitchrank.llm.substring import mark_repeats
+from pitchrank.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -125,3 +126,25 @@ def op9_quality_rules(spark, sf_dir):
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), "rule")
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    """Writes the ids of all documents to flat files and counts the tokens of each there.
+
+    A file holds the documents of one partition in their order, so a document's number in
+    its file leads back to its id.
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path, end = scratch_path(spark, "tokens"), 50256
+    tokencount.write_flat(tokencount.byte_pair_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), path, end)
+    found = tokencount.count_tokens(spark, path, end).select(
+        (F.shiftleft(tokencount.part_number("file"), 33) + F.col("document")).alias("place"), "n_tokens")
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("place")).join(found, "place").select(
+        "doc_id", "n_tokens")
+
+
+@query
+def op8_token_packing(spark, sf_dir):
+    """All documents as byte ids in packed rows."""
+    return packing.pack(packing.byte_ids(table(spark, sf_dir, "documents", "doc_id", "text")))
