@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
 from pitchrank.llm import langid, packing, rules, spm, tokencount, toxicity
+from pitchrank.llm.sharding import assign_shards
 from pitchrank.llm.substring import mark_repeats
 from pitchrank.session import scratch_path
 
@@ -46,6 +47,13 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
 
 
+@query
+def op3_sharding(spark, sf_dir):
+    done = assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 def remainder(modulus: int):
     """The fold of a row by its id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
