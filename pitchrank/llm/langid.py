@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchrank.llm.labels import pick
 from pitchrank.llm.textbytes import ALNUM, U, Words, buffers, find_words, mix, slices, word_hashes
 from pitchrank.session import materialize
 
@@ -98,16 +99,16 @@ def _grams(letters: Letters) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(words), np.concatenate(slots)) if words else (np.zeros(0, np.int64),) * 2
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS,
+        id_col: str = "doc_id") -> Model:
     """Learns from texts with a language; others teach nothing.
 
-    At most ``most_rows`` are used, those whose texts hash lowest. Their n-grams are
-    counted by Spark; what comes back is a table of SLOTS x languages.
+    If there are more than ``most_rows``, a hash of the id picks about that many. Their
+    n-grams are counted by Spark; what comes back is a table of SLOTS x languages.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = materialize(rows.orderBy(F.xxhash64("text"), "text", "lang").limit(most_rows)
-                         .repartition(max(1, most_rows // 500)), "labelled")
+    rows = pick(labelled.where(F.col(lang_col).isNotNull()), most_rows, id_col).where(
+        F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = materialize(rows.repartition(max(1, most_rows // 500)), "labelled")
     counts = sample.mapInArrow(_count, "lang string, slot int, script int, n long").groupBy(
         "lang", "slot", "script").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("lang").to_pylist()))

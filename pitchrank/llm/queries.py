@@ -129,7 +129,7 @@ def op10_language_id(spark, sf_dir):
 @query
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    learned = rules.learn(docs.join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id"))
+    learned = rules.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     done = rules.apply(rules.count_texts(docs), learned)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

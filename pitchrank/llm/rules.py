@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchrank.llm.labels import pick_labels
 from pitchrank.llm.textbytes import Words, buffers, find_words, slices, window_hashes, windows, word_hashes
 
 MOST_ROWS = 20_000  # labelled rows learned from, at most
@@ -144,16 +145,18 @@ class Rule:
         return reduce(lambda a, b: a & b, [every[n] >= t if up else every[n] <= t for n, up, t in self.conditions])
 
 
-def learn(labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text",
           most_rows: int = MOST_ROWS) -> list[Rule]:
-    """Rules for texts labelled 0, from rows labelled 0 or 1; without both kinds, no rule.
+    """Rules for texts labelled 0, from ``docs`` (doc_id and text) with ``labels`` of 0 or 1.
 
-    At most ``most_rows`` rows are used, those whose texts hash lowest; rows without a text
-    or a label teach nothing. Only their statistics reach the driver.
+    If more than ``most_rows`` documents are labelled, a hash of their ids picks about
+    that many; the larger of several labels counts. Rows without a text, an id or a label
+    teach nothing, and without both kinds there is no rule. Only statistics reach the
+    driver.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    sample = rows.orderBy(F.xxhash64("text"), "text", "label").limit(most_rows)
+    picked = pick_labels(labels, label_col, most_rows).withColumnRenamed(label_col, "label")
+    sample = docs.select("doc_id", F.col(text_col).alias("text")).where("text IS NOT NULL").join(
+        F.broadcast(picked), "doc_id")
     table = count_texts(sample).select("label", *[c.alias(n) for n, c in ratios().items()]).toArrow()
     bad = table.column("label").to_numpy() == 0
     values = np.stack([table.column(n).to_numpy() for n in RATIOS], axis=1) if len(bad) else np.zeros((0, len(RATIOS)))
