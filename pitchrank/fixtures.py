@@ -22,21 +22,9 @@ def _pick(index, values):
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-# Tables this small may come as one row group, which only one task can read.
-SMALL_TABLE_BYTES = 1 << 30
-
-
-def spread_if_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small table over all cores; a large one is left where it lies."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_TABLE_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def pitch_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pitches made from order lines; one row each."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    li = spread_if_small(li, "l_orderkey", "l_linenumber")
     c = F.col
     h = c("l_orderkey") * 31 + c("l_partkey") * 17 + c("l_linenumber") * 7
     pitcher = F.when(c("l_suppkey") <= 5, c("l_suppkey") + 100).otherwise(c("l_suppkey") % 20)

@@ -15,19 +15,16 @@ from pitchrank.params import SCORE
 def score_profiles(df: DataFrame, models: dict[str, TypeModel], score: str = SCORE) -> DataFrame:
     """Add the plus score of each row's own type; rows of types without a model get null.
 
-    One branch per model, each filtered on ``pitch_type`` at the scan. A row that
-    misses a required input has no score.
+    One branch per model, each filtered on ``pitch_type`` at the scan. A missing input
+    counts as in training: it is filled, so every row of a modelled type has a score.
     """
     parts = []
     for m in models.values():
         rows = df.where(F.col("pitch_type") == m.pitch_type)
-        needed = [c for c in m.inputs if c in df.columns]
-        usable = rows.dropna(subset=needed)
         s = {k: F.lit(float(v)) if v is not None else F.lit(None).cast("double")
              for k, v in m.scaler.items()}
         value = codes.plus_score(F.col(RAW), s["mean_raw"], s["std_raw"], s["center"], s["scale"])
-        parts.append(m.model.transform(usable).select(*df.columns, value.alias(score)))
-        parts.append(_unscored(rows.where(_any_null(needed)), df.columns, score))
+        parts.append(m.model.transform(rows).select(*df.columns, value.alias(score)))
     known = list(models)
     other = F.col("pitch_type").isNull()
     if known:
@@ -38,10 +35,6 @@ def score_profiles(df: DataFrame, models: dict[str, TypeModel], score: str = SCO
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _any_null(columns):
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns], F.lit(False))
-
-
 def _unscored(df: DataFrame, columns, score: str) -> DataFrame:
     return df.select(*columns, F.lit(None).cast("double").alias(score))
 

@@ -16,7 +16,9 @@ from pitchrank import params as P
 from pitchrank.operators.scale import fit_scaler
 from pitchrank.operators.validate import fit_metrics
 from pitchrank.params import DEFAULTS, BoostParams, Settings
-from pitchrank.session import shared_dir
+from pitchrank.schema import game_day
+from pitchrank.session import scratch_path, shared_dir
+from pitchrank.sources.tables import write_table
 
 RAW = "_raw"
 _WEIGHT = "_weight"
@@ -33,17 +35,21 @@ class TypeModel:
     metrics: dict
 
 
+def season_of(df: DataFrame):
+    """Season of each row: the season column, else the year of the date."""
+    if "season" in df.columns:
+        return F.col("season")
+    if "game_date" in df.columns:
+        return F.year(game_day(F.col("game_date"), df.schema["game_date"].dataType))
+    raise ValueError("a split by time needs a season or a game_date column")
+
+
 def time_split(df: DataFrame, val_season: int) -> DataFrame:
     """Mark rows as ``train`` (earlier seasons) or ``val`` (that season); later rows get null.
 
     A table without season and date has no order to split by and is refused.
     """
-    if "season" in df.columns:
-        season = F.col("season")
-    elif "game_date" in df.columns:
-        season = F.year(F.to_date("game_date"))
-    else:
-        raise ValueError("a split by time needs a season or a game_date column")
+    season = season_of(df)
     return df.withColumn(
         "split", F.when(season < val_season, "train").when(season == val_season, "val"))
 
@@ -61,7 +67,7 @@ def train_set(df: DataFrame, val_season: int | None = None, types=None,
     are left out. ``val_season`` defaults to the latest season.
     """
     if val_season is None:
-        val_season = df.agg(F.max("season")).first()[0]
+        val_season = df.agg(F.max(season_of(df))).first()[0]
     rows = df.where(F.col("pitch_type").isin(list(types or settings.model_types)))
     complete = F.lit(True)
     for c in required_inputs(df, settings):
@@ -82,21 +88,21 @@ def train_set(df: DataFrame, val_season: int | None = None, types=None,
 
 
 def _prepare(train: DataFrame, settings: Settings) -> tuple[SQLTransformer, list[str]]:
-    """Null handling for the tree inputs: a flag per nullable column, then a fill value.
+    """Null handling for the tree inputs: a fill value, and a flag per column that may lack in training.
 
-    Standard scores are filled with 0, their mean; the others with the training mean.
+    Standard scores are filled with 0, their mean; the others with the training mean. So
+    every row of the type can be scored, also one that misses an input all training rows have.
     """
     inputs = [c for c in settings.model_inputs if c in train.columns]
-    nullable = [c for c in inputs if c in P.NULLABLE_INPUTS]
-    means = train.agg(*[F.avg(c).alias(c) for c in nullable]).first() if nullable else {}
+    means = train.agg(*[F.avg(c).alias(c) for c in inputs]).first() if inputs else {}
     terms, names = [], []
     for c in inputs:
-        if c in nullable:
-            fill = 0.0 if c.startswith("z_") else float(means[c] or 0.0)
-            terms += [f"coalesce({c}, {fill!r}D) AS _in_{c}", f"CAST({c} IS NULL AS DOUBLE) AS _no_{c}"]
-            names += [f"_in_{c}", f"_no_{c}"]
-        else:
-            names.append(c)
+        fill = 0.0 if c.startswith("z_") else float(means[c] or 0.0)
+        terms.append(f"coalesce(CAST({c} AS DOUBLE), {fill!r}D) AS _in_{c}")
+        names.append(f"_in_{c}")
+        if c in P.NULLABLE_INPUTS:
+            terms.append(f"CAST({c} IS NULL AS DOUBLE) AS _no_{c}")
+            names.append(f"_no_{c}")
     return SQLTransformer(statement=f"SELECT *{''.join(', ' + t for t in terms)} FROM __THIS__"), names
 
 
@@ -167,10 +173,13 @@ def train_models(df: DataFrame, val_season: int | None = None, types=None,
                  settings: Settings = DEFAULTS, parallelism: int = 4) -> dict[str, TypeModel]:
     """Fit every type that passes the gates; up to ``parallelism`` fits run at a time.
 
-    ``df`` is the written profile table; each fit reads its type's rows from it.
+    The rows fit for training are written once, by type; each fit reads its own folder.
     """
-    shared_dir(df.sparkSession)  # boosting cuts its lineage every few rounds there
-    rows = train_set(df, val_season, types, settings)
+    spark = df.sparkSession
+    shared_dir(spark)  # boosting cuts its lineage every few rounds there
+    chosen, path = train_set(df, val_season, types, settings), scratch_path(spark, "train")
+    write_table(chosen, path, partition_by=["pitch_type"])
+    rows = spark.read.schema(chosen.schema).parquet(path)
     # one row per modelled type
     sizes = rows.select("pitch_type", "rows_complete").distinct().collect()
 

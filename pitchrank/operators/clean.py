@@ -9,7 +9,7 @@ from pitchrank import params as P
 from pitchrank.functions import codes
 from pitchrank.operators.joins import lookup_join
 from pitchrank.params import DEFAULTS, Settings
-from pitchrank.schema import game_day
+from pitchrank.schema import game_day, nan_to_null
 
 SEASON_KEY = "_season"
 
@@ -38,8 +38,8 @@ def drop_slow(df: DataFrame) -> DataFrame:
 
 
 def screen(df: DataFrame) -> DataFrame:
-    """The row-wise rules that come before any count."""
-    return df.transform(normalize_codes).transform(parse_dates) \
+    """The row-wise rules that come before any count; NaN counts as null."""
+    return df.transform(nan_to_null).transform(normalize_codes).transform(parse_dates) \
              .transform(drop_incomplete).transform(drop_slow)
 
 
@@ -122,7 +122,7 @@ def clean(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def _flagged(df: DataFrame, settings: Settings) -> DataFrame:
     """Every raw row with the first rule that drops it in ``_rule`` (null if kept)."""
-    coded = parse_dates(df.withColumn("pitch_type", codes.normal_code(F.col("pitch_type"))))
+    coded = parse_dates(nan_to_null(df).withColumn("pitch_type", codes.normal_code(F.col("pitch_type"))))
     required = [c for c in P.REQUIRED_COLUMNS if c in df.columns and c != "pitch_type"]
     missing = F.lit(False)
     for c in required:
@@ -185,10 +185,10 @@ def unknown_groups(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def unknown_descriptions(df: DataFrame, top: int = 10) -> DataFrame:
-    """The most frequent outcomes of screened pitches that give no label."""
+def unknown_descriptions(df: DataFrame, top: int = 10, settings: Settings = DEFAULTS) -> DataFrame:
+    """The most frequent outcomes that give no label, of pitches that pass all rules before the label."""
     return (
-        df.transform(screen).transform(add_run_value)
+        df.transform(screen).transform(drop_rare_pitchers, settings.min_pitches_per_season).transform(add_run_value)
         .where(F.col(P.LABEL).isNull() & F.col("description").isNotNull())
         .groupBy("description").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "description").limit(top)

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from pitchrank.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key is hot if it holds more than one part in HOT_PARTS of the rows, so there
-# are fewer than HOT_PARTS hot keys however large the data is.
-HOT_PARTS = 1000
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -34,18 +31,20 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
 
     ``lookup[rows]`` is the number of rows of ``df`` a key has; it is dropped. The
     lookup is written once and measured. Up to ``limit`` (64 MB) it is broadcast and
-    ``df`` is not shuffled at all. Beyond that the hot keys, of which there are
-    fewer than HOT_PARTS, are broadcast, and only rows of the remaining keys are
-    shuffled; none of those keys can fill a partition. Rows with a null key match
-    nothing and are not shuffled either.
+    ``df`` is not shuffled at all. Beyond that the hot keys are split off: those with more
+    rows than an even share of a shuffle partition, so there are fewer of them than
+    partitions. They are broadcast, and only rows of the remaining keys are shuffled,
+    none of which can hold more than that share. Rows with a null key match nothing and
+    are not shuffled either.
     """
     small = materialize(lookup, "lookup")
     if table_bytes(small) <= (BROADCAST_BYTES if limit is None else limit):
         return _join(df, small.drop(rows), keys, how, small=True)
 
     total = small.agg(F.sum(rows)).first()[0] or 0
-    hot = small.where(F.col(rows) * HOT_PARTS > F.lit(total))
-    cold = small.where(F.coalesce(F.col(rows) * HOT_PARTS <= F.lit(total), F.lit(True)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = small.where(F.col(rows) * parts > F.lit(total))
+    cold = small.where(F.coalesce(F.col(rows) * parts <= F.lit(total), F.lit(True)))
     no_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
     keyed = df.where(no_null)

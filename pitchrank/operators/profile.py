@@ -10,6 +10,7 @@ from pitchrank.functions import codes
 from pitchrank.operators.tunnel import add_tunnel_features
 from pitchrank.operators.zscore import add_zscores
 from pitchrank.params import DEFAULTS, Settings
+from pitchrank.schema import game_day
 from pitchrank.session import materialize
 
 _OPTIONAL = {"release_consistency", *P.TUNNEL_FEATURES}
@@ -18,7 +19,7 @@ _OPTIONAL = {"release_consistency", *P.TUNNEL_FEATURES}
 def with_season(df: DataFrame) -> DataFrame:
     """Season from the date, else the season column as it is."""
     if "game_date" in df.columns:
-        return df.withColumn("season", F.year(F.to_date("game_date")))
+        return df.withColumn("season", F.year(game_day(F.col("game_date"), df.schema["game_date"].dataType)))
     if "season" not in df.columns:
         raise ValueError("the table needs a game_date or a season column")
     return df

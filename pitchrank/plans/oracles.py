@@ -206,6 +206,11 @@ def _sql(last: str, select: str, **replace) -> str:
 
 
 _ID = "game_pk, pitch_number"
+_BOUNDS = {"release_speed": (50, 105), "pfx_x": (-30, 30), "pfx_z": (-30, 30), "release_spin_rate": (500, 3500),
+           "release_pos_x": (-5, 5), "release_pos_z": (2.5, 8.5), "release_extension": (3, 8)}
+_CLIPPED = ",\n  ".join(
+    "(SELECT count(*) FROM labelled WHERE lw_run_value IS NOT NULL AND pitch_group IS NOT NULL "
+    f"AND ({c} < {low} OR {c} > {high})) AS clipped_{c}" for c, (low, high) in _BOUNDS.items())
 _PITCH = f"{_ID}, game_date, pitcher, player_name, pitch_type, description, type, balls, strikes, p_throws, {_r(*_PITCH_DOUBLES)}"
 _BOARD = f"player_name, pitcher, season, pitch_type, pitch_group, n_pitches, {_r('score')}"
 _PROFILE_OUT = (
@@ -214,10 +219,20 @@ _PROFILE_OUT = (
          "tunnel_dist_nearest", "tunnel_ratio_nearest", *[f"z_{c}" for c in _Z])
 )
 
+_GATES = """, newest AS (SELECT max(season) AS v FROM profiles),
+gates AS (SELECT pitch_type, count(*) AS rows_complete FROM profiles, newest WHERE pitch_type <> 'FO' GROUP BY pitch_type
+  HAVING count(*) >= 20 AND count_if(season < v) > 0 AND count_if(season = v) > 0)"""
+_INPUTS = 34  # model inputs, and one flag for each that may be missing
+
 SQL = {
     # sources and sinks
     "scan_seasons": _sql("pitch", f"""
 SELECT {_ID}, pitcher, CAST(year(game_date) AS INTEGER) AS season, pitch_type, {_r('release_speed')}
+FROM pitch WHERE year(game_date) IN (1996, 1998)"""),
+    "scan_seasons_uneven": _sql("pitch", f"""
+SELECT {_ID}, CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month,
+  CASE WHEN year(game_date) = 1998 THEN description END AS description,
+  {_r(spin_axis='CASE WHEN year(game_date) = 1998 THEN spin_axis END', release_speed='release_speed')}
 FROM pitch WHERE year(game_date) IN (1996, 1998)"""),
     "keep_columns": _sql("pitch", f"SELECT {_PITCH} FROM pitch"),
     "roundtrip_parquet": _sql("pitch", f"SELECT {_PITCH} FROM pitch"),
@@ -241,6 +256,10 @@ SELECT pitcher, CAST(m AS DATE) AS month_start, least(last_day(CAST(m AS DATE)),
     "ingest_season": _sql("stored", f"""
 SELECT {_ID}, game_date, pitcher, CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month,
   {_r('release_speed')} FROM stored WHERE game_date BETWEEN DATE '2018-03-29' AND DATE '2018-10-28'"""),
+    "ingest_season_text": _sql("stored", f"""
+SELECT {_ID}, game_date, pitcher, CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month,
+  {_r('release_speed')} FROM stored
+WHERE game_pk % 3 <> 0 AND game_date BETWEEN DATE '2018-03-29' AND DATE '2018-10-28'"""),
     "refresh_months": _sql("stored", f"""
 SELECT {_ID}, game_date, pitcher, CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month,
   {_r('release_speed')} FROM stored WHERE game_date BETWEEN DATE '2019-03-01' AND DATE '2019-08-15'"""),
@@ -265,6 +284,9 @@ SELECT {_ID}, {_r('weight', lw_run_value='runs * weight')} FROM valued""", value
     "clip_bounds": _sql("pitch", f"""
 SELECT {_ID}, {_r(
     release_speed='CASE WHEN release_speed IS NOT NULL THEN least(greatest(release_speed, 50e0), 105e0) END',
+    pfx_x='CASE WHEN pfx_x IS NOT NULL THEN least(greatest(pfx_x, -30e0), 30e0) END',
+    pfx_z='CASE WHEN pfx_z IS NOT NULL THEN least(greatest(pfx_z, -30e0), 30e0) END',
+    release_extension='CASE WHEN release_extension IS NOT NULL THEN least(greatest(release_extension, 3e0), 8e0) END',
     release_spin_rate='CASE WHEN release_spin_rate IS NOT NULL THEN least(greatest(release_spin_rate, 500e0), 3500e0) END',
     release_pos_x='CASE WHEN release_pos_x IS NOT NULL THEN least(greatest(release_pos_x, -5e0), 5e0) END',
     release_pos_z='CASE WHEN release_pos_z IS NOT NULL THEN least(greatest(release_pos_z, 2.5e0), 8.5e0) END')} FROM pitch"""),
@@ -280,7 +302,7 @@ SELECT {_ID}, {_r(
     "min_group_count": _sql("regular", f"SELECT {_ID}, pitcher, CAST(year(game_date) AS INTEGER) AS season FROM regular"),
     "min_group_count_events": """
 SELECT event_id, user_id FROM events WHERE (user_id, year(ts)) IN
-  (SELECT (user_id, year(ts)) FROM events GROUP BY user_id, year(ts) HAVING count(*) >= 10)""",
+  (SELECT (user_id, year(ts)) FROM events GROUP BY user_id, year(ts) HAVING count(*) >= 60)""",
     "clean": _sql("cleaned", f"""
 SELECT {_PITCH}, pitch_group, p_throws_enc, {_r('lw_run_value')} FROM cleaned"""),
     # aggregates
@@ -293,8 +315,7 @@ SELECT (SELECT count(*) FROM pitch) AS rows_in,
   (SELECT count(*) FROM labelled WHERE lw_run_value IS NULL) AS no_label,
   (SELECT count(*) FROM labelled WHERE lw_run_value IS NOT NULL AND pitch_group IS NULL) AS no_group,
   count(*) AS rows_out, {_r(label_mean='avg(lw_run_value)', label_sd='stddev_samp(lw_run_value)')},
-  (SELECT count(*) FROM labelled WHERE lw_run_value IS NOT NULL AND (release_spin_rate < 500 OR release_spin_rate > 3500)) AS clipped_release_spin_rate,
-  (SELECT count(*) FROM labelled WHERE lw_run_value IS NOT NULL AND (release_pos_x < -5 OR release_pos_x > 5)) AS clipped_release_pos_x
+  {_CLIPPED}
 FROM cleaned"""),
     "floor_drops": _sql("floors", f"""
 SELECT pitch_type, count(*) AS n_dropped, {_r(max_speed='max(release_speed)')}
@@ -304,7 +325,7 @@ SELECT pitch_type, count(*) AS n FROM labelled WHERE lw_run_value IS NOT NULL
 AND pitch_type IN ('CH', 'FS', 'FO') GROUP BY pitch_type"""),
     "unknown_descriptions": _sql("valued", """
 SELECT description, count(*) AS n FROM valued WHERE runs IS NULL
-GROUP BY description ORDER BY n DESC, description LIMIT 10""", valued="screened"),
+GROUP BY description ORDER BY n DESC, description LIMIT 10"""),
     "outcome_rates": _sql("summaries", f"SELECT {_KEYS}, {_r('whiff_rate', 'csw_rate')} FROM summaries"),
     "release_consistency": _sql("summaries", f"SELECT {_KEYS}, n_pitches, {_r('release_consistency')} FROM summaries"),
     "display_name": _sql("names", "SELECT pitcher, player_name FROM names"),
@@ -369,9 +390,25 @@ FROM scored WHERE season = (SELECT max(season) FROM scored) GROUP BY pitch_type"
     "time_split": _sql("profiles", f"""
 SELECT {_KEYS}, CASE WHEN season < 2000 THEN 'train' WHEN season = 2000 THEN 'val' END AS split FROM profiles"""),
     "train_set": _sql("profiles", f"""
-, newest AS (SELECT max(season) AS v FROM profiles),
-gates AS (SELECT pitch_type, count(*) AS rows_complete FROM profiles, newest WHERE pitch_type <> 'FO' GROUP BY pitch_type
-  HAVING count(*) >= 20 AND count_if(season < v) > 0 AND count_if(season = v) > 0)
+{_GATES}
 SELECT {_KEYS}, n_pitches, CASE WHEN season < v THEN 'train' ELSE 'val' END AS split, rows_complete
 FROM profiles JOIN gates USING (pitch_type), newest"""),
+    # models: what is determined whatever the trees look like
+    "train": _sql("profiles", f"""
+{_GATES}
+SELECT pitch_type, count_if(season < v) AS train_rows, count_if(season = v) AS val_rows,
+  100e0 AS score_mean, 10e0 AS score_sd
+FROM profiles JOIN gates USING (pitch_type), newest GROUP BY pitch_type"""),
+    "train_limits": _sql("profiles", f"""
+{_GATES}
+SELECT pitch_type, true AS has_error, true AS within_rounds, CAST({_INPUTS} AS INTEGER) AS n_inputs FROM gates"""),
+    "score": _sql("profiles", f"""
+{_GATES}
+SELECT pitch_type, count(*) AS profiles, count(rows_complete) AS scored, count(*) - count(rows_complete) AS unscored
+FROM profiles LEFT JOIN gates USING (pitch_type) GROUP BY pitch_type"""),
+    "feature_importance": _sql("profiles", f"""
+{_GATES}
+SELECT pitch_type, CAST(15 AS BIGINT) AS entries, true AS without_gaps, true AS falling, true AS sums_to_one FROM gates"""),
+    "model_roundtrip": _sql("profiles", """
+SELECT count(*) AS profiles, CAST(0 AS BIGINT) AS changed FROM profiles"""),
 }

@@ -24,7 +24,7 @@ from pitchrank.operators import validate as V
 from pitchrank.operators.scale import apply_scaler, fit_scaler
 from pitchrank.operators.tunnel import add_tunnel_features, tunnel_summary
 from pitchrank.operators.zscore import add_zscores
-from pitchrank.params import BoostParams, Settings
+from pitchrank.params import Settings
 from pitchrank.plans.fused import profiles_from_raw
 from pitchrank.schema import keep_columns
 from pitchrank.session import materialize, scratch_path, tune
@@ -34,12 +34,8 @@ from pitchrank.sources import tables as S
 from pitchrank.streaming.ingest import follow_landing
 
 # The tables hold about 29 pitches per profile, so the default of 50 would leave
-# little; the models are kept short, since there is nothing to learn here.
-SHARED = Settings(
-    min_pitches_per_type=20, board_min_pitches=20,
-    standard_boost=BoostParams(rounds=12, depth=4, learning_rate=0.03, min_child_weight=200, patience=5),
-    small_boost=BoostParams(rounds=12, depth=3, learning_rate=0.05, min_child_weight=50, patience=5),
-)
+# little. Models are fitted with the method's rounds and patience.
+SHARED = Settings(min_pitches_per_type=20, board_min_pitches=20)
 ID = ["game_pk", "pitch_number"]
 KEYS = list(P.PROFILE_KEYS)
 _TODAY = date(2001, 1, 1)
@@ -100,6 +96,18 @@ def scan_seasons(spark, d):
         *ID, "pitcher", "season", "pitch_type", "release_speed"]))
 
 
+@query
+def scan_seasons_uneven(spark, d):
+    """Two seasons, one of them stored without two of the columns."""
+    root = scratch_path(spark, "store")
+    rows = pitch_view(spark, d).withColumns({"season": F.year("game_date"), "month": F.month("game_date")})
+    for season, lacking in ((1996, ["spin_axis", "description"]), (1998, [])):
+        S.write_table(rows.where(F.col("season") == season).drop("season", *lacking), f"{root}/season={season}",
+                      partition_by=["month"])
+    return tidy(S.load_seasons(spark, root, [1996, 1998], columns=[
+        *ID, "season", "month", "description", "spin_axis", "release_speed"]))
+
+
 @query
 def keep_columns_(spark, d):
     return tidy(keep_columns(pitch_view(spark, d).withColumn("not_wanted", F.lit(1))))
@@ -153,6 +161,14 @@ def ingest_season(spark, d):
     return _store_columns(L.ingest_season(spark, landing.limit(0), root, 2018, today=date(2020, 1, 1)))
 
 
+@query
+def ingest_season_text(spark, d):
+    """Dates that land as text, every third of them unreadable."""
+    day = F.when(F.col("game_pk") % 3 == 0, "soon").otherwise(F.col("game_date").cast("string"))
+    landing = stored_view(spark, d).withColumn("game_date", day)
+    return _store_columns(L.ingest_season(spark, landing, scratch_path(spark, "store"), 2018, today=date(2020, 1, 1)))
+
+
 @query
 def refresh_months(spark, d):
     root = scratch_path(spark, "store")
@@ -233,8 +249,8 @@ def count_leverage(spark, d):
 
 @query
 def clip_bounds(spark, d):
-    return tidy(C.clip_columns(pitch_view(spark, d)).select(
-        *ID, "release_speed", "release_spin_rate", "release_pos_x", "release_pos_z"))
+    rows = C.clip_columns(pitch_view(spark, d))
+    return tidy(rows.select(*ID, *[c for c in P.CLIP_BOUNDS if c in rows.columns]))
 
 
 @query
@@ -295,7 +311,7 @@ def min_group_count(spark, d):
 def min_group_count_events(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select(
         "event_id", F.col("user_id").alias("pitcher"), F.col("ts").alias("game_date"))
-    return C.drop_rare_pitchers(rows, 10).select("event_id", F.col("pitcher").alias("user_id"))
+    return C.drop_rare_pitchers(rows, 60).select("event_id", F.col("pitcher").alias("user_id"))
 
 
 @query
@@ -307,9 +323,7 @@ def clean(spark, d):
 
 @query
 def clean_report(spark, d):
-    report = C.clean_report(pitch_view(spark, d), SHARED)
-    clipped = ["clipped_release_spin_rate", "clipped_release_pos_x"]
-    return tidy(report.select(*[c for c in report.columns if not c.startswith("clipped_")], *clipped))
+    return tidy(C.clean_report(pitch_view(spark, d), SHARED))
 
 
 @query
@@ -325,7 +339,7 @@ def unknown_groups(spark, d):
 
 @query
 def unknown_descriptions(spark, d):
-    return C.unknown_descriptions(pitch_view(spark, d))
+    return C.unknown_descriptions(pitch_view(spark, d), settings=SHARED)
 
 
 @query
@@ -483,30 +497,68 @@ def train_set_(spark, d):
     return train_set(rows, settings=SHARED).select(*KEYS, "n_pitches", "split", "rows_complete")
 
 
+_MODELS: dict = {}
+
+
 def _trained(spark, d):
-    rows = materialize(profiles(spark, d), "profiles")
-    return rows, train_models(rows, settings=SHARED, parallelism=8)
+    """Profiles and their models; the queries of one session share the fit."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        rows = materialize(profiles(spark, d), "profiles")
+        _MODELS[key] = rows, train_models(rows, settings=SHARED, parallelism=8)
+    return _MODELS[key]
 
 
 @query
 def train(spark, d):
-    return tidy(artifact_table(spark, _trained(spark, d)[1]).drop("inputs"))
+    """Rows each model learned from, and the mean and deviation of its training scores."""
+    rows, models = _trained(spark, d)
+    marked = score_profiles(train_set(rows, settings=SHARED), models)
+    learned = F.when(F.col("split") == "train", F.col(P.SCORE))
+    return tidy(marked.groupBy("pitch_type").agg(
+        F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "val").alias("val_rows"),
+        F.avg(learned).alias("score_mean"), F.stddev_pop(learned).alias("score_sd")))
+
+
+@query
+def train_limits(spark, d):
+    """What the fits report: an error, and a best round within the method's rounds."""
+    found = artifact_table(spark, _trained(spark, d)[1])
+    return found.select("pitch_type", (F.col("rmse") > 0).alias("has_error"),
+                        F.col("best_iteration").between(0, 399).alias("within_rounds"),
+                        F.size("inputs").alias("n_inputs"))
 
 
 @query
 def score(spark, d):
     rows, models = _trained(spark, d)
-    return tidy(score_profiles(rows, models).select(*KEYS, "n_pitches", P.SCORE))
+    return score_profiles(rows, models).groupBy("pitch_type").agg(
+        F.count(F.lit(1)).alias("profiles"), F.count(P.SCORE).alias("scored"),
+        F.count_if(F.col(P.SCORE).isNull()).alias("unscored"))
 
 
 @query
 def feature_importance_(spark, d):
-    return tidy(feature_importance(spark, _trained(spark, d)[1]))
+    """Per model: entries, whether places run without a gap and weights fall, and whether they sum to 1 at most."""
+    places = feature_importance(spark, _trained(spark, d)[1])
+    ordered = F.sort_array(F.collect_list(F.struct("place", "importance")))  # fifteen per type
+    listed = places.groupBy("pitch_type").agg(F.count(F.lit(1)).alias("entries"), ordered.alias("list"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("list") - 1),
+                     lambda i: F.get("list", i)["importance"] <= F.get("list", i - 1)["importance"])
+    total = F.aggregate("list", F.lit(0.0), lambda a, x: a + x["importance"])
+    return listed.select("pitch_type", "entries",
+                         (F.get("list", F.size("list") - 1)["place"] == F.col("entries")).alias("without_gaps"),
+                         falls.alias("falling"), (total <= 1 + 1e-9).alias("sums_to_one"))
 
 
 @query
 def model_roundtrip(spark, d):
+    """Profiles, and those whose score changes when the models are written and read."""
     rows, models = _trained(spark, d)
     root = scratch_path(spark, "models")
     save_models(spark, models, root)
-    return tidy(score_profiles(rows, load_models(spark, root)).select(*KEYS, "n_pitches", P.SCORE))
+    before = score_profiles(rows, models).select(*KEYS, F.col(P.SCORE).alias("before"))
+    after = score_profiles(rows, load_models(spark, root)).select(*KEYS, F.col(P.SCORE).alias("after"))
+    both = before.join(after, KEYS)
+    return both.agg(F.count(F.lit(1)).alias("profiles"),
+                    F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from pitchrank.functions.codes import round_even
 from pitchrank.params import DEFAULTS, Settings
-from pitchrank.schema import MANIFEST_SCHEMA, as_pitches
+from pitchrank.schema import MANIFEST_SCHEMA, as_pitches, game_day
 from pitchrank.sources.calendar import season_months, season_range
-from pitchrank.sources.tables import read_table, write_table
+from pitchrank.sources.tables import read_store, write_table
 
 PARTS = ("season", "month")
 
@@ -67,7 +67,12 @@ def _write_manifest(spark: SparkSession, root: str, stored: DataFrame, is_comple
 
 
 def _stored(spark: SparkSession, root: str, season: int) -> DataFrame:
-    return read_table(spark, root).where(F.col("season") == season)
+    return read_store(spark, root).where(F.col("season") == season)
+
+
+def day_of(landing: DataFrame):
+    """Calendar day of the landing rows, whatever type the date landed as; the bare column for a date."""
+    return game_day(F.col("game_date"), landing.schema["game_date"].dataType)
 
 
 def ingest_season(spark: SparkSession, landing: DataFrame, root: str, season: int,
@@ -85,7 +90,7 @@ def ingest_season(spark: SparkSession, landing: DataFrame, root: str, season: in
         return _stored(spark, root, season)
 
     start, end = season_range(season)
-    rows = by_month(landing.where(F.to_date("game_date").between(F.lit(start), F.lit(end))))
+    rows = by_month(landing.where(day_of(landing).between(F.lit(start), F.lit(end))))
     if rows.isEmpty():
         return rows
     # an interrupted replacement must not look complete; at most twelve rows
@@ -130,11 +135,11 @@ def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: i
     spans = [(first, last) for first, last in season_months(season, today)
              if first.year == season and first.month not in closed]
     if spans:
-        day = F.to_date("game_date")
+        day = day_of(landing)
         wanted = F.lit(False)
         for first, last in spans:
             wanted = wanted | day.between(F.lit(first), F.lit(last))
-        replace_months(spark, landing.where(wanted), root, today, codec)
+        replace_months(spark, landing.where(wanted), root, today, codec, [(f.year, f.month) for f, _ in spans])
     try:
         return _stored(spark, root, season)
     except FileNotFoundError:
@@ -142,19 +147,40 @@ def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: i
 
 
 def replace_months(spark: SparkSession, rows: DataFrame, root: str, today: date,
-                   codec: str = "snappy") -> None:
-    """Replace every month that ``rows`` holds, and its manifest row."""
+                   codec: str = "snappy", months: list[tuple[int, int]] | None = None,
+                   may_close: bool = True) -> None:
+    """Replace every month that ``rows`` holds, and its manifest row.
+
+    A caller that knows the (season, month) pairs ``rows`` lies in passes them as
+    ``months``, and the rows are scanned once. While a month is being replaced its
+    manifest row says it is open, so an interrupted replacement is done again.
+    Months the calendar has passed are complete, unless ``may_close`` is false.
+    """
     monthly = by_month(rows)
-    # the months touched: at most twelve per season
-    touched = [tuple(r) for r in monthly.select(*PARTS).distinct().collect()]
-    if not touched:
+    if months is None:
+        # the months touched: at most twelve per season
+        months = [tuple(r) for r in monthly.select(*PARTS).distinct().collect()]
+    if not months:
         return
+    names = [f"{season}-{month}" for season, month in months]
+
+    def touched(df: DataFrame) -> DataFrame:
+        # the seasons prune folders, the pairs decide
+        return df.where(F.col("season").isin(sorted({s for s, _ in months}))
+                        & F.concat_ws("-", "season", "month").isin(names))
+
+    # one row per month; read before it is overwritten
+    stale = [r.asDict() | {"is_complete": False} for r in touched(read_manifest(spark, root)).collect()]
+    if stale:
+        write_table(spark.createDataFrame(stale, MANIFEST_SCHEMA), manifest_path(root),
+                    partition_by=PARTS, overwrite="dynamic")
     write_table(monthly, root, codec, PARTS, overwrite="dynamic")
-    hit = F.lit(False)
-    for season, month in touched:
-        hit = hit | ((F.col("season") == season) & (F.col("month") == month))
-    _write_manifest(spark, root, read_table(spark, root).where(hit),
-                    month_first() < F.lit(today.replace(day=1)))
+    try:
+        stored = touched(read_store(spark, root))
+    except FileNotFoundError:  # nothing landed, nothing stored
+        return
+    passed = month_first() < F.lit(today.replace(day=1))
+    _write_manifest(spark, root, stored, passed if may_close else F.lit(False))
 
 
 def cache_summary(manifest: DataFrame) -> DataFrame:

@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchrank.params import DEFAULTS, SCORE, Settings
+from pitchrank.schema import PITCH_SCHEMA
 
 CODECS = ("snappy", "zstd", "gzip", "none")
 
 
-def read_table(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """A Parquet table, or some of its columns (those that exist)."""
+STORE_SCHEMA = T.StructType([*PITCH_SCHEMA.fields, T.StructField("season", T.IntegerType()),
+                             T.StructField("month", T.IntegerType())])
+
+
+def read_store(spark: SparkSession, root: str) -> DataFrame:
+    """The stored pitch table by its declared schema: a column that a file lacks is null there."""
+    return read_table(spark, root, schema=STORE_SCHEMA)
+
+
+def read_table(spark: SparkSession, path: str, columns=None, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet table, or some of its columns (those that exist).
+
+    Without ``schema`` the columns are those of one of its files.
+    """
     try:
-        df = spark.read.parquet(path)
+        df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -49,15 +62,32 @@ def load_seasons(spark: SparkSession, root: str, seasons=None, include_current:
                  columns=None, settings: Settings = DEFAULTS) -> DataFrame:
     """Chosen seasons of the stored pitch table; only their folders and columns are read.
 
-    A season listed twice, or listed and also current, is read once.
+    A season listed twice, or listed and also current, is read once. A season that is not
+    stored is an error, which names it. The declared columns come back for every season,
+    null where a season was stored without one.
     """
     wanted = set(settings.train_seasons if seasons is None else seasons)
     if include_current:
         wanted.add(settings.current_season)
-    df = read_table(spark, root).where(F.col("season").isin(sorted(wanted)))
+    df = read_store(spark, root)
+    absent = [s for s in sorted(wanted) if not _is_stored(spark, f"{root.rstrip('/')}/season={s}")]
+    if absent:
+        raise FileNotFoundError(f"not stored under {root}: season {', '.join(map(str, absent))}; ingest it first")
+    df = df.where(F.col("season").isin(sorted(wanted)))
     return df if columns is None else df.select([c for c in columns if c in df.columns])
 
 
+def _is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder of that name; its files are not opened."""
+    try:
+        spark.read.schema(STORE_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def union_tables(*tables: DataFrame) -> DataFrame:
     """All rows of all tables by column name; columns a table lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pitchrank.schema import PITCH_SCHEMA
-from pitchrank.sources.landing import month_first, read_manifest, replace_months
+from pitchrank.sources.landing import day_of, month_first, read_manifest, replace_months
 
 DELIVERY = "delivery"
 
@@ -33,11 +33,10 @@ def latest_months(landing: DataFrame, months: list[date], since: int) -> DataFra
     folders from there on are read, and of those only the blocks that may hold the
     months.
     """
-    day = F.to_date("game_date")
-    wanted = F.lit(False)
-    for first in months:
-        wanted = wanted | day.between(F.lit(first), F.last_day(F.lit(first)))
-    rows = landing.where((F.col(DELIVERY) >= since) & wanted).withColumn("_first", F.trunc(day, "MM"))
+    day = day_of(landing)
+    span = day.between(F.lit(min(months)), F.last_day(F.lit(max(months))))
+    rows = landing.where((F.col(DELIVERY) >= since) & span).withColumn("_first", F.trunc(day, "MM")).where(
+        F.col("_first").isin(months))
     # one row per touched month
     latest = rows.groupBy("_first").agg(F.max(DELIVERY).alias(DELIVERY))
     return rows.join(F.broadcast(latest), ["_first", DELIVERY], "left_semi").drop("_first", DELIVERY)
@@ -45,12 +44,16 @@ def latest_months(landing: DataFrame, months: list[date], since: int) -> DataFra
 
 def follow_landing(spark: SparkSession, landing: str, root: str, checkpoint: str,
                    today: date | None = None, force: bool = False, files_per_batch: int | None = None,
-                   schema: T.StructType = PITCH_SCHEMA) -> StreamingQuery:
+                   schema: T.StructType = PITCH_SCHEMA, finished=()) -> StreamingQuery:
     """Take in everything that has landed since the last call, then stop.
 
-    Months already complete in the manifest are closed: late files for them are
-    ignored unless ``force``. Schedule it, or change the trigger to keep it running.
+    A delivery may still be landing, so a month it brings stays open in the manifest,
+    and files of it that land later are taken in by a later call. Only months whose rows
+    all came with deliveries listed in ``finished`` are closed once the calendar has
+    passed them; late files for closed months are ignored unless ``force``. Schedule it,
+    or change the trigger to keep it running.
     """
+    finished = {int(d) for d in finished}
     with_delivery = _landing_schema(schema)
     source = spark.readStream.schema(with_delivery)
     if files_per_batch:
@@ -59,8 +62,9 @@ def follow_landing(spark: SparkSession, landing: str, root: str, checkpoint: str
     def take(batch: DataFrame, _batch_id: int) -> None:
         session = batch.sparkSession
         touched = (
-            batch.withColumn("_first", F.trunc(F.to_date("game_date"), "MM")).dropna(subset=["_first"])
-            .groupBy("_first").agg(F.min(DELIVERY).alias("since"))
+            batch.withColumn("_first", F.trunc(day_of(batch), "MM")).dropna(subset=["_first"])
+            .groupBy("_first").agg(F.min(DELIVERY).alias("since"),
+                                   F.bool_and(F.col(DELIVERY).isin(list(finished))).alias("whole"))
         )
         if not force:
             closed = read_manifest(session, root).where("is_complete").select(month_first().alias("_first"))
@@ -69,8 +73,13 @@ def follow_landing(spark: SparkSession, landing: str, root: str, checkpoint: str
         months = touched.collect()
         if months:
             stored = session.read.schema(with_delivery).parquet(landing)
-            rows = latest_months(stored, [m["_first"] for m in months], min(m["since"] for m in months))
-            replace_months(session, rows, root, today or date.today())
+            for whole in (True, False):
+                some = [m for m in months if m["whole"] is whole]
+                if some:
+                    firsts = [m["_first"] for m in some]
+                    rows = latest_months(stored, firsts, min(m["since"] for m in some))
+                    replace_months(session, rows, root, today or date.today(), may_close=whole,
+                                   months=[(d.year, d.month) for d in firsts])
 
     return (
         source.parquet(landing).writeStream.foreachBatch(take)

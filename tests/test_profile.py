@@ -56,7 +56,6 @@ def test_nothing_changes_beyond_the_broadcast_limit(pitches, monkeypatch):
     raw = pitches(rows + hot)
     small = as_dict(profiles_from_raw(raw, LOW))
     monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(joins, "HOT_PARTS", 4)
     large = as_dict(profiles_from_raw(raw, LOW))
     assert small.keys() == large.keys()
     for key, row in small.items():

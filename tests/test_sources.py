@@ -45,7 +45,9 @@ def test_seasons(spark, pitches, tmp_path):
     root = str(tmp_path / "raw")
     df = pitches(days("2020-08-01", "2021-05-01", "2022-05-01", "2026-05-01"))
     S.write_table(df.withColumn("season", F.year("game_date")), root, partition_by=["season"])
-    assert ids(S.load_seasons(spark, root)) == [1, 2]
+    assert ids(S.load_seasons(spark, root, [2021, 2022])) == [1, 2]
+    with pytest.raises(FileNotFoundError, match="2019"):
+        S.load_seasons(spark, root, [2019, 2021])
     out = S.load_seasons(spark, root, [2020, 2026, 2026], include_current=True, columns=["game_pk", "absent", "season"])
     assert ids(out) == [0, 3] and out.columns == ["game_pk", "season"]
     plan = out._jdf.queryExecution().executedPlan().toString()
@@ -143,20 +145,25 @@ def test_streamed_deliveries(spark, pitches, tmp_path):
     landing, root, marks = (str(tmp_path / n) for n in ("landing", "raw", "marks"))
     schema = pitches([{}]).schema
 
-    def deliver(rows, delivery, today, force=False, files=1):
+    def deliver(rows, delivery, today, force=False, files=1, finished=()):
         (pitches(rows).withColumn("delivery", F.lit(delivery)).repartition(files, "game_pk")
          .write.mode("append").partitionBy("delivery").parquet(landing))
-        follow_landing(spark, landing, root, marks, today, force, files_per_batch=1, schema=schema).awaitTermination()
+        follow_landing(spark, landing, root, marks, today, force, files_per_batch=1, schema=schema,
+                       finished=finished).awaitTermination()
         return ids(S.read_table(spark, root))
 
     march = days("2026-03-27", "2026-03-28", "2026-03-29", "2026-03-30")
     assert deliver(march, 1, date(2026, 3, 31), files=3) == [0, 1, 2, 3]  # several batches, no row lost
     # the month again, one row fewer, together with the next
     assert deliver(march[:3] + days("2026-04-02", "2026-04-03", first=20), 2, date(2026, 4, 4), files=2) == [0, 1, 2, 20, 21]
-    # March is closed now: late rows are ignored, unless forced
+    # March is over, but the delivery may go on: what lands later is not lost
+    assert deliver(days("2026-03-31", first=25), 2, date(2026, 4, 4)) == [0, 1, 2, 20, 21, 25]
+    assert not any(r.is_complete for r in L.read_manifest(spark, root).collect())
+    # a finished delivery closes it: late rows are ignored, unless forced
+    assert deliver(march[:2], 3, date(2026, 4, 5), finished=[3]) == [0, 1, 20, 21]
     late = days("2026-03-27", first=30)
-    assert deliver(late, 3, date(2026, 4, 5)) == [0, 1, 2, 20, 21]
-    assert deliver(days("2026-03-26", first=40), 4, date(2026, 4, 5), force=True) == [20, 21, 40]
+    assert deliver(late, 4, date(2026, 4, 5)) == [0, 1, 20, 21]
+    assert deliver(days("2026-03-26", first=40), 5, date(2026, 4, 5), force=True) == [20, 21, 40]
     # nothing new: nothing changes
     follow_landing(spark, landing, root, marks, date(2026, 4, 6), schema=schema).awaitTermination()
     assert ids(S.read_table(spark, root)) == [20, 21, 40]
