@@ -140,16 +140,15 @@ def op9_quality_rules(spark, sf_dir):
 def op5_token_counts(spark, sf_dir):
     """Writes the ids of all documents to flat files and counts the tokens of each there.
 
-    A file holds the documents of one partition in their order, so a document's number in
-    its file leads back to its id.
+    Each document begins with its own id, written as a few token ids that are not counted.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     path, end = scratch_path(spark, "tokens"), 50256
-    tokencount.write_flat(tokencount.byte_pair_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), path, end)
-    found = tokencount.count_tokens(spark, path, end).select(
-        (F.shiftleft(tokencount.part_number("file"), 33) + F.col("document")).alias("place"), "n_tokens")
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("place")).join(found, "place").select(
-        "doc_id", "n_tokens")
+    ids = tokencount.byte_pair_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
+    tokencount.write_flat(tokencount.sign(ids), path, end)
+    found = tokencount.count_tokens(spark, path, end, head=tokencount.DIGITS)
+    return found.select(tokencount.signature(F.col("head")).alias("doc_id"),
+                        (F.col("n_tokens") - tokencount.DIGITS).alias("n_tokens"))
 
 
 @query

@@ -28,6 +28,15 @@ def test_flat_files_are_counted(spark, tmp_path):
         assert all(b.start == a.start + a.n_tokens + 1 for a, b in zip(found, found[1:]))
 
 
+def test_signed_documents_are_told(spark, tmp_path):
+    ids = [0, 1, -1, 2**62 + 12345, -2**63, None, 8191, 8192]
+    rows = spark.createDataFrame([(i, bytearray([k, 0] * k)) for k, i in enumerate(ids)], "doc_id long, ids binary")
+    tokencount.write_flat(tokencount.sign(rows), str(tmp_path / "s"), 50256)
+    found = tokencount.count_tokens(spark, str(tmp_path / "s"), 50256, head=tokencount.DIGITS, block_tokens=5)
+    got = [tuple(r) for r in found.select(tokencount.signature(found["head"]), "n_tokens").collect()]
+    assert sorted(got, key=str) == sorted(((i, k + tokencount.DIGITS) for k, i in enumerate(ids)), key=str)
+
+
 @pytest.mark.parametrize("ids, counts", [([], []), ([9], [0]), ([1, 2], [2]), ([1, 9, 9, 2, 3], [1, 0, 2]), ([9, 9], [0, 0])])
 def test_odd_files(spark, tmp_path, ids, counts):
     (tmp_path / "part-00000-x").write_bytes(np.array(ids, "uint32").tobytes())
