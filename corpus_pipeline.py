@@ -16,7 +16,7 @@ from pitchrank.session import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a toxicity score of 0.5 or more; learns from all labelled ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    index = toxicity.fit(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    index = toxicity.fit(docs, labels)
     return toxicity.score(docs, index).where("score < 0.5").select(*docs.columns)
 
 

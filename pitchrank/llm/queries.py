@@ -63,7 +63,7 @@ def remainder(modulus: int):
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(remainder(5) != 0)
-    index = toxicity.fit(docs, docs.join(labels, "doc_id"))
+    index = toxicity.fit(docs, labels)
     done = toxicity.score(docs, index)
     return done.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
                        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")

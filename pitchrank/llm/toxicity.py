@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchrank.llm.labels import pick_labels
 from pitchrank.llm.textbytes import slices
 from pitchrank.session import materialize
 
@@ -77,17 +78,17 @@ def term_counts(text: str | None, terms: dict[str, int] | None = None) -> Counte
     return out
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", most_examples: int = MOST_EXAMPLES) -> Index:
-    """Learns from ``labelled`` (doc_id, text, toxic 0 or 1); ``docs`` gives the document frequencies.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", most_examples: int = MOST_EXAMPLES) -> Index:
+    """Learns from ``docs`` (doc_id and text) with ``labels`` (doc_id, toxic 0 or 1).
 
-    At most ``most_examples`` labelled rows are used, those whose ids hash lowest. Rows
-    without a text or a label teach nothing. With no labelled rows at all, every score is
-    one half.
+    Document frequencies are those of all ``docs``. If more than ``most_examples``
+    documents are labelled, a hash of their ids picks about that many. A document counts
+    as toxic if one of several labels says so. Rows without a text, an id or a label teach
+    nothing. With no examples at all, every score is one half.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col("toxic").isin(0, 1)).select(
-        "doc_id", F.col(text_col).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample = materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(most_examples)
-                         .repartition(max(1, most_examples // 500)), "examples")
+    picked = pick_labels(labels, "toxic", most_examples)
+    sample = materialize(docs.select("doc_id", F.col(text_col).alias("text")).where("text IS NOT NULL")
+                         .join(F.broadcast(picked), "doc_id").repartition(max(1, most_examples // 500)), "examples")
     toxic_rows, all_rows = sample.agg(F.sum("toxic"), F.count("*")).first()
     prior = ((toxic_rows or 0) + 0.5) / (all_rows + 1)
     terms = _choose_terms(sample, toxic_rows or 0, all_rows)
