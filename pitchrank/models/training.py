@@ -231,5 +231,5 @@ def feature_importance(spark: SparkSession, models: dict[str, TypeModel], top: i
     for m in models.values():
         weights = m.model.stages[-1].featureImportances.toArray()
         order = sorted(range(len(weights)), key=lambda i: (-weights[i], i))[:top]
-        rows += [(m.pitch_type, place + 1, m.inputs[i], float(weights[i])) for place, i in enumerate(order)]
+        rows += [(m.pitch_type, place + 1, m.inputs[i].removeprefix("_in_"), float(weights[i])) for place, i in enumerate(order)]
     return spark.createDataFrame(rows, "pitch_type string, place int, feature string, importance double")

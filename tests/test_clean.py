@@ -109,4 +109,4 @@ def test_report_adds_up(pitches):
     assert r.rows_out == C.clean(pitches(rows), settings).count()
     assert [tuple(x) for x in C.floor_drops(pitches(rows)).collect()] == [("FF", 1, 60.0)]
     assert [tuple(x) for x in C.unknown_groups(pitches(rows), settings).collect()] == [("XX", 1)]
-    assert [tuple(x) for x in C.unknown_descriptions(pitches(rows)).collect()] == [("odd", 1)]
+    assert [tuple(x) for x in C.unknown_descriptions(pitches(rows), settings=settings).collect()] == [("odd", 1)]
