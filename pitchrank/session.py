@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 # Long projections and wide aggregates generate methods the JVM will not compile
@@ -62,9 +64,33 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder within the shared one.
+
+    The application's folder goes when the driver's Python ends.
+    """
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written in between; tables read from there are gone."""
+    context = spark.sparkContext
+    _remove(context._jvm, context._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/{context.applicationId}")
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except (Py4JError, OSError):  # the JVM may have ended first
+        pass
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
