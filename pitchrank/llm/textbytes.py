@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 MOST_ROWS = 1 << 16  # in one slice, so that a row number fits into 16 bits
@@ -142,17 +143,43 @@ def counted(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (key[at] >> U(48)).astype(np.int64), key[at] & U((1 << 48) - 1), np.diff(at, append=len(key))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` has about ``most`` bytes in each; one row at least."""
+def bounded(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, in a session that hands Python at most ``rows`` rows at a time.
+
+    Spark's own limit of 10,000 is a limit for rows of numbers; that many texts would not
+    fit next to a task's other memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, dealt anew so that ``column`` has about ``most`` bytes in each; one row at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         off = buffers(batch.column(batch.schema.get_field_index(column)))[1]
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, min(int(np.searchsorted(off, off[at] + most, "right")) - 1, at + MOST_ROWS))
-            yield batch.slice(at, to - at)
+            to = max(at + 1, min(int(np.searchsorted(off, off[at] + most - size, "right")) - 1, at + MOST_ROWS))
+            held.append(batch.slice(at, to - at))
+            size += int(off[to] - off[at])
             at = to
+            if size >= most * 3 // 4 or sum(b.num_rows for b in held) > MOST_ROWS - 512:
+                yield from _joined(held)
+                held, size = [], 0
+    yield from _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if held:
+        whole = pa.concat_batches(held) if len(held) > 1 else held[0]
+        for at in range(0, whole.num_rows, MOST_ROWS):
+            yield whole.slice(at, MOST_ROWS)
 
 
 def binaries(data: np.ndarray, first: np.ndarray) -> pa.Array:
