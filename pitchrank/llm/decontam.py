@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchrank.llm.textbytes import ALNUM, LOWER, U, buffers, find_words, shingles, slices, word_hashes
+from pitchrank.llm.textbytes import ALNUM, LOWER, U, bounded, buffers, find_words, shingles, slices, word_hashes
 
 BINS = 16
 ITEM_BYTES = 16 << 20  # text of the items that one pass over the documents looks for
@@ -49,7 +49,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size:
     Items are taken in blocks of a fixed amount of text, so memory does not grow with
     their number; each block is compared with all documents.
     """
-    docs = docs.drop("hits")
+    docs = bounded(docs).drop("hits")
     names = docs.columns
     for n, block in enumerate(_item_blocks(items, item_id, item_text, size)):
         docs = docs.withColumn(f"_hits{n}", F.lit(None).cast(HITS))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchrank.llm.labels import pick
-from pitchrank.llm.textbytes import ALNUM, U, Words, buffers, find_words, mix, slices, word_hashes
+from pitchrank.llm.textbytes import ALNUM, U, Words, bounded, buffers, find_words, mix, slices, word_hashes
 from pitchrank.session import materialize
 
 MOST_ROWS = 8_000   # labelled texts learned from, at most
@@ -191,13 +191,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
     text if nothing was learned. One row comes back for each row; columns named like an
     added one are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
+    docs = bounded(docs).drop("lang_pred", "score", "spans")
     span = [("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
         names = np.array([*model.languages, "und"], object)
-        for part in slices(batches, text_col, 4 << 20):
+        for part in slices(batches, text_col, 2 << 20):
             _, first, letters, which = _letters(part.column(text_col))
             if not k:
                 which, first = which[:0], first * 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchrank.llm.textbytes import buffers
+from pitchrank.llm.textbytes import bounded, buffers
 
 ROW = 4096
 BATCH_TOKENS = 2 << 20  # tokens packed together; open rows at the end of a batch are written as they are
@@ -34,7 +34,7 @@ def byte_ids(docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataF
 
     A null text has null ids.
     """
-    docs = docs.drop(out)
+    docs = bounded(docs).drop(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, row: int = ROW, id_col: str = "doc_id", ids_col: str =
                 names=PACKED.names)
 
     assert size * row < 1 << 31
-    ready = docs.select(F.col(id_col).cast("long").alias(id_col), ids_col)
+    ready = bounded(docs).select(F.col(id_col).cast("long").alias(id_col), ids_col)
     return ready.mapInArrow(run, PACKED)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchrank.llm.labels import pick_labels
-from pitchrank.llm.textbytes import Words, buffers, find_words, slices, window_hashes, windows, word_hashes
+from pitchrank.llm.textbytes import Words, bounded, buffers, find_words, slices, window_hashes, windows, word_hashes
 
 MOST_ROWS = 20_000  # labelled rows learned from, at most
 PRECISION = 0.7     # share of bad texts among those a rule covers, on the pruning rows
@@ -49,7 +49,7 @@ def count_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ASCII letters and digits; ``n_marks``: punctuation; ``n_different``: different words.
     One row comes back for each row; columns named like a count are replaced.
     """
-    docs = docs.drop(*COUNTS)
+    docs = bounded(docs).drop(*COUNTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pitchrank.llm.textbytes import U, Words, buffers, mix, slices, word_hashes
+from pitchrank.llm.textbytes import U, Words, bounded, buffers, mix, slices, word_hashes
 
 BLANK = 0x2581
 BASE = 0x9E3779B97F4A7C55
@@ -154,7 +154,7 @@ class Encoder:
     """Encodes batches of texts; keeps what it finds out about pairs of pieces."""
 
     CACHE = 1 << 20   # pairs of pieces kept
-    WORDS = 1 << 20   # words kept
+    WORDS = 1 << 19   # words kept
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -360,11 +360,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
     Whole texts of any length are encoded. A column named ``out`` is replaced; one row
     comes back for each row, other columns unchanged.
     """
-    docs = docs.drop(out)
+    docs = bounded(docs).drop(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for part in slices(batches, text_col, 2 << 20):
+        for part in slices(batches, text_col, 1 << 20):
             column = part.column(text_col)
             ids, first = encoder.encode(column)
             yield part.append_column(out, _lists(ids, first, column))
@@ -385,7 +385,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
     Control pieces stand for nothing, the unknown piece and ids outside the model for U+2047,
     bytes that form no character for U+FFFD. The blank put before a text is taken off.
     """
-    rows = rows.drop(out)
+    rows = bounded(rows).drop(out)
     table = [p.replace("▁", " ").encode() for p in vocabulary.pieces]
     for value, i in vocabulary.bytes_.items():
         table[i] = bytes([value])
@@ -397,8 +397,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, 1024)
-                at += 1024
+                part = batch.slice(at, 256)
+                at += 256
                 column = part.column(ids_col)
                 lengths = np.array([n or 0 for n in column.value_lengths().to_pylist()], np.int64)
                 flat = column.flatten().to_numpy(zero_copy_only=False)

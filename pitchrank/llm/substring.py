@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchrank.llm.textbytes import (
-    U, binaries, buffers, find_words, mix, slices, window_hashes, windows, word_hashes,
+    U, binaries, bounded, buffers, find_words, mix, slices, window_hashes, windows, word_hashes,
 )
 
 BATCH_BYTES = 6 << 20    # text in one batch
@@ -61,7 +61,7 @@ def mark_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_c
 
     ``docs`` is read several times and in the same order, so it should come from files.
     """
-    docs = docs.drop(*ADDED)
+    docs = bounded(docs).drop(*ADDED)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups, buckets = total // GROUP_BYTES + 1, total // BUCKET_BYTES + 1
     names = docs.columns

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchrank.llm.labels import pick_labels
-from pitchrank.llm.textbytes import slices
+from pitchrank.llm.textbytes import bounded, slices
 from pitchrank.session import materialize
 
 MOST_EXAMPLES = 20_000  # labelled rows learned from, at most
@@ -86,6 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", most_example
     as toxic if one of several labels says so. Rows without a text, an id or a label teach
     nothing. With no examples at all, every score is one half.
     """
+    bounded(docs)
     picked = pick_labels(labels, "toxic", most_examples)
     sample = materialize(docs.select("doc_id", F.col(text_col).alias("text")).where("text IS NOT NULL")
                          .join(F.broadcast(picked), "doc_id").repartition(max(1, most_examples // 500)), "examples")
@@ -213,7 +214,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     the share of toxic rows among such examples. One row comes back for each row; columns
     named like an added one are replaced.
     """
-    docs = docs.drop("score", "evidence")
+    docs = bounded(docs).drop("score", "evidence")
     terms = index.terms
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
                 found = sorted(term_counts(text, terms).items())
                 key = tuple(found)
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 5_000:
                         known.clear()
                     known[key] = _vote(index, [t for t, _ in found], [n for _, n in found])
                 out.append(known[key])
