@@ -52,6 +52,12 @@ def byte_ids(docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataF
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
+def closed(docs: DataFrame, end: int, ids_col: str = "ids", width: str = "uint16") -> DataFrame:
+    """``docs`` whose binary ids close with the id ``end``; null ids stay null."""
+    mark = np.array([end], width).tobytes()
+    return docs.withColumn(ids_col, F.concat(F.col(ids_col), F.lit(mark)))
+
+
 class Room:
     """Open rows by the room they have left."""
 

@@ -15,6 +15,7 @@ from pitchrank.llm.substring import mark_repeats
 from pitchrank.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"
+TEXT_END = 50256  # end of text of the byte-pair vocabulary, the id behind its last rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,7 +144,7 @@ def op5_token_counts(spark, sf_dir):
     Each document begins with its own id, written as a few token ids that are not counted.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    path, end = scratch_path(spark, "tokens"), 50256
+    path, end = scratch_path(spark, "tokens"), TEXT_END
     ids = tokencount.byte_pair_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
     tokencount.write_flat(tokencount.sign(ids), path, end)
     found = tokencount.count_tokens(spark, path, end, head=tokencount.DIGITS)
@@ -153,5 +154,7 @@ def op5_token_counts(spark, sf_dir):
 
 @query
 def op8_token_packing(spark, sf_dir):
-    """All documents as byte ids in packed rows."""
-    return packing.pack(packing.byte_ids(table(spark, sf_dir, "documents", "doc_id", "text")))
+    """All documents as token ids, an end of text after each, in packed rows."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text IS NOT NULL")
+    ids = tokencount.byte_pair_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
+    return packing.pack(packing.closed(ids, TEXT_END), pad=TEXT_END)

@@ -3,7 +3,7 @@ import pytest
 from helpers import prose
 
 from pitchrank.llm import packing, tokencount
-from pitchrank.llm.queries import TOKENIZERS
+from pitchrank.llm.queries import QUERIES, TOKENIZERS
 
 DOCS = "doc_id long, text string"
 TEXTS = [None, "", "one", "héllo wörld " * 50, " ".join(prose(1, 3000)), "\n\n", "one"]
@@ -82,3 +82,22 @@ def test_packed_rows_hold_every_document(spark, tmp_path):
     packing.write_matrix(packing.pack(packing.byte_ids(docs), row=64).coalesce(1), str(tmp_path / "m"))
     size = sum(f.stat().st_size for f in (tmp_path / "m").glob("part-*"))
     assert size % (65 * 2) == 0 and size > 0
+
+
+def test_packing_query_packs_token_ids(spark, tmp_path):
+    import base64
+
+    import tiktoken
+
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken") as lines:
+        encoder = tiktoken.Encoding("x", pat_str=tokencount.PATTERN, special_tokens={}, mergeable_ranks={
+            base64.b64decode(a): int(b) for a, b in map(str.split, lines)})
+    spark.createDataFrame(list(enumerate(TEXTS)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    parts: dict = {}
+    for r in QUERIES["op8_token_packing"](spark, str(tmp_path)).collect():
+        ids = np.frombuffer(r.ids, "uint16")
+        assert len(ids) == packing.ROW and (ids[r.n_tokens:] == 50256).all()
+        for doc, offset, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault(doc, []).append((offset, ids[a:b].tolist()))
+    whole = {doc: [i for _, p in sorted(found) for i in p] for doc, found in parts.items()}
+    assert whole == {i: [*encoder.encode_ordinary(t), 50256] for i, t in enumerate(TEXTS) if t is not None}
