@@ -39,7 +39,7 @@ BLOCK = 64
 NEIGHBOURS = 15
 SMOOTHING = 0.25        # votes for the average share that every score starts from
 CERTAIN = 5.0           # least deviation from chance, in standard errors,
-RAISED = 3.0            # and least toxic share of a term's examples, in average shares
+RAISED = 3.0            # and least odds of a term's examples to be toxic, in average odds
 WORD = re.compile(r"[^\W\d_]+")
 
 _VECTOR = "terms array<int>, counts array<int>"
@@ -146,7 +146,7 @@ def _choose_terms(sample: DataFrame, toxic_rows: int, all_rows: int) -> dict[str
         F.count("*").alias("n"), F.sum("toxic").alias("t"))
     error = F.sqrt(F.col("n") * share * (1 - share) + 1)
     scored = shares.withColumn("z", (F.col("t") - F.col("n") * share) / error).where(
-        (F.col("z") >= CERTAIN) & (F.col("t") >= F.col("n") * RAISED * share))
+        (F.col("z") >= CERTAIN) & (F.col("t") * (1 - share) >= (F.col("n") - F.col("t")) * RAISED * share))
     best = scored.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
     return {row["term"]: i for i, row in enumerate(best)}
 

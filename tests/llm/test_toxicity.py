@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import prose
 
 from pitchrank.llm import toxicity as X
@@ -55,3 +56,14 @@ def test_nothing_learned(spark):
     index = X.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in X.score(docs, index).collect()] == [0.5]
     assert X.score(docs.limit(0), index).count() == 0
+
+
+@pytest.mark.parametrize("tenths", [4, 6, 8])
+def test_any_class_balance(spark, tenths):
+    toxic = {i: int(i % 10 < tenths) for i in range(400)}
+    rows = [(i, " ".join(prose(i, 40) + ["nasty", "brute"] * t)) for i, t in toxic.items()]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([x for x in toxic.items() if x[0] % 7], "doc_id long, toxic int")
+    index = X.fit(docs, labels)
+    assert "nasty" in index.terms and index.plain < 0.5
+    assert {r.doc_id: int(r.score >= 0.5) for r in X.score(docs, index).collect()} == toxic
