@@ -14,9 +14,15 @@ from pitchrank.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with a toxicity score of 0.5 or more; learns from all labelled ones."""
+    """Rejects documents with a toxicity score of 0.5 or more; learns from all labelled ones.
+
+    If the labels tell nothing (there are none, none of a document, or no term leans to
+    toxic ones), every score is the same and says nothing of a document; all are kept.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     index = toxicity.fit(docs, labels)
+    if not index.terms:
+        return docs
     return toxicity.score(docs, index).where("score < 0.5").select(*docs.columns)
 
 

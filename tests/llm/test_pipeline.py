@@ -54,3 +54,11 @@ def test_each_stage_does_its_work(spark, tmp_path):
     assert {r.doc_id for r in last} == set(kept["benchmark_decontamination"])
     assert all(r.round_trip and (r.ids is None) == (r.text is None) for r in last)
     assert sorted(r.doc_id for r in C.run(spark, root).collect()) == sorted(r.doc_id for r in last)
+
+
+def test_without_labels_no_document_is_toxic(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "c")], "doc_id long, text string")
+    for name, labels in (("none", []), ("other", [(900, 0, 1)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = C.drop_toxic(spark, docs, f"{tmp_path}/{name}")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
