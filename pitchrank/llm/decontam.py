@@ -10,9 +10,10 @@ document that has the shingle, all but always, and one bin in common makes a can
 
 With ``s`` the wanted containment and ``q`` shingles in the item, at least ``s * q``
 shingles are shared, and each shows up in the signature with a probability of at least
-``exp(-1 / BINS)``. An item of five shingles at 0.8 is missed with a probability below
-``(1 - exp(-1/16)) ** 4``, about 1e-5; longer ones far less. Candidates are verified by
-exact containment of all shingles.
+``exp(-1 / BINS)``. An item of eight shingles at 0.8 is missed with a probability below
+``(1 - exp(-1/16)) ** 7``, about 3e-9; longer ones far less. Shorter items would be missed
+more often, so all their shingles are looked up among all shingles of a document, and they
+are always found. Candidates are verified by exact containment of all shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from pitchrank.llm.textbytes import ALNUM, LOWER, U, bounded, buffers, find_words, shingles, slices, word_hashes
 
 BINS = 16
+FEW = 8                 # items of fewer shingles are looked up by all of them
 ITEM_BYTES = 16 << 20  # text of the items that one pass over the documents looks for
 HITS = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("n_shared", T.LongType()),
@@ -83,8 +85,9 @@ def _signatures(rows: pa.Table, size: int) -> dict | None:
         first = np.ones(len(item), bool)
         first[1:] = (bin_of[1:] != bin_of[:-1]) | (item[1:] != item[:-1])
         minima[power] = np.unique(hashes[first])
-    return {"ids": rows.column("id").to_pylist(), "sizes": np.bincount(item, minlength=rows.num_rows),
-            "minima": minima, "hash": hashes, "item": item}
+    sizes = np.bincount(item, minlength=rows.num_rows)
+    return {"ids": rows.column("id").to_pylist(), "sizes": sizes, "minima": minima, "hash": hashes, "item": item,
+            "few": np.unique(hashes[sizes[item] < FEW])}
 
 
 def _bits(power: int) -> int:
@@ -117,11 +120,14 @@ def _search(block: dict, threshold: float, size: int, text_col: str, out: str):
             bin_of = hashes >> (U(64) - (power + _bits(0)).astype(U)[text])
             least = np.ones(len(text), bool)
             least[1:] = (bin_of[1:] != bin_of[:-1]) | (text[1:] != text[:-1])
-            mine = np.flatnonzero(least & known[(hashes >> U(44)).astype(np.int64)])
+            mine = np.flatnonzero(known[(hashes >> U(44)).astype(np.int64)])
+            few = np.isin(hashes[mine], block["few"])
+            mine, few = mine[least[mine] | few], few[least[mine] | few]
             hits: list[list] = [[] for _ in range(part.num_rows)]
             for doc in np.unique(text[mine]):
-                its = hashes[mine[text[mine] == doc]]
-                if np.isin(its, block["minima"][int(power[doc])]).any():
+                own = text[mine] == doc
+                its = hashes[mine[own]]
+                if few[own].any() or np.isin(its, block["minima"][int(power[doc])]).any():
                     lo, hi = np.searchsorted(text, [doc, doc + 1])
                     hits[doc] = verify(its, hashes[lo:hi])
             column = pa.array(hits, pa.list_(pa.struct([(n, pa.int64()) for n in

@@ -42,3 +42,11 @@ def test_empty_tables_and_clashing_columns(spark):
     assert find_items(docs.limit(0), none).count() == 0
     item = spark.createDataFrame([(8, "A, B")], "item_id long, text string")
     assert [tuple(r.hits[0]) for r in find_items(docs, item).collect()] == [(8, 1, 1)]
+
+
+def test_items_of_few_shingles_are_always_found(spark):
+    items = [(n, " ".join(f"item{n}x{k}" for k in range(n))) for n in range(5, 14)]
+    docs = [(k, " ".join(prose(k, 60 + k % 70) + [items[k % 9][1]] + prose(k + 1, 40))) for k in range(1, 1801)]
+    got = find_items(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all([h.item_id for h in r.hits] == [items[r.doc_id % 9][0]] for r in got)
