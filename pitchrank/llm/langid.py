@@ -1,6 +1,7 @@
 """Language of texts, by spans: script ranges, word scores and a Viterbi pass.
 
-A word's script (the Unicode range of its first letter) leaves the languages seen in that
+A word is a run of letters of one script (a Unicode range), longer ones in parts of ``LONG``
+letters, so texts without blanks have many. Its script leaves the languages seen in that
 script. Within them a word is scored by its character n-grams, naive Bayes with counts
 learned from labelled texts. Over the words of a text a Viterbi pass finds the best
 sequence of languages, where each change of language costs ``SWITCH``; so single odd words
@@ -10,8 +11,10 @@ language is the one that holds most of its letters.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ MOST_ROWS = 8_000   # labelled texts learned from, at most
 SLOTS = 1 << 15     # hashed n-grams
 GRAMS = (1, 2, 3, 4)
 SWITCH = 6.0        # cost of a change of language between two words, in log odds
-LONG = 24           # characters of a word that are looked at for n-grams
+LONG = 24           # letters after which a word is cut; the rest is a word of its own
 # First code points of the script ranges told apart (fixed values of the Unicode blocks):
 # Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai and neighbours, Georgian,
 # Hangul Jamo, further Latin and Greek, kana, CJK, Hangul, and the rest.
@@ -54,33 +57,52 @@ class Letters:
 
 
 def _letters(column) -> tuple[Words, np.ndarray, Letters, np.ndarray]:
-    """Words with a letter, where each text's begin, and the letters of the different ones with each word's number."""
+    """Words with a letter, where each text's begin, and the letters of the different ones with each word's number.
+
+    Runs of bytes that may be letters are found first; the different ones are then cut by
+    code points: at all that is no letter, mark or format character, where the script
+    changes, and after every ``LONG`` letters.
+    """
     lowered = pa.array([None if t is None else t.lower() for t in column.to_pylist()], pa.string())
-    words = find_words(*buffers(lowered), _WORD)
-    hashes = word_hashes(words)
-    _, lead, which = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = [words.data[a:b].tobytes().decode() for a, b in zip(words.start[lead], words.end[lead], strict=True)]
-    raw = ["".join(c for c in w if c.isalpha()) if not w.isalpha() else w for w in raw]
-    size = np.array([len(w) for w in raw], np.int64)
-    codes = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32)
-    begin = np.cumsum(size) - size
-    script = np.searchsorted(SCRIPTS, codes[np.minimum(begin, max(len(codes) - 1, 0))], "right") - 1 \
-        if len(codes) else np.zeros(len(size), np.int64)
+    runs = find_words(*buffers(lowered), _WORD)
+    _, lead, which = np.unique(word_hashes(runs), return_index=True, return_inverse=True)
+    raw = [runs.data[a:b].tobytes().decode() for a, b in zip(runs.start[lead], runs.end[lead], strict=True)]
+    codes = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32) if raw else np.zeros(0, np.uint32)
+    run = np.repeat(np.arange(len(raw)), [len(w) for w in raw])
+    kind = _kinds()[codes]
+    codes, run, cut = (x[kind != _INSIDE] for x in (codes, run, kind == _CUT))
+    script = np.searchsorted(SCRIPTS, codes, "right") - 1
     for a, b in FOLDED.items():
         script[script == a] = b
-    lettered = size[which] > 0
-    text = words.text_of()[lettered]
-    first = np.searchsorted(text, np.arange(words.n + 1))
-    return words, first, Letters(codes, begin, size, script), which[lettered]
+    new = np.ones(len(codes), bool)
+    new[1:] = (run[1:] != run[:-1]) | cut[:-1] | (script[1:] != script[:-1])
+    inner = np.arange(len(codes)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    codes, run, script, inner = (x[~cut] for x in (codes, run, script, inner))  # a cut is the last of its stretch
+    begin = np.flatnonzero(inner % LONG == 0)
+    parts = np.bincount(run[begin], minlength=len(raw))
+    n = parts[which]
+    text = np.repeat(runs.text_of(), n)
+    number = np.repeat((np.cumsum(parts) - parts)[which] - (np.cumsum(n) - n), n) + np.arange(len(text))
+    first = np.searchsorted(text, np.arange(runs.n + 1))
+    return runs, first, Letters(codes, begin, np.diff(begin, append=len(codes)), script[begin]), number
 
 
 _WORD = ALNUM.copy()
 _WORD[48:58] = False  # digits part words
+_LETTER, _INSIDE, _CUT = 0, 1, 2
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of every code point: a letter, a mark or format character inside a word, or what parts words."""
+    kind = {"L": _LETTER, "M": _INSIDE, "Cf": _INSIDE}
+    names = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    return np.array([kind.get(n, kind.get(n[0], _CUT)) for n in names], np.uint8)
 
 
 def _grams(letters: Letters) -> tuple[np.ndarray, np.ndarray]:
     """(word, slot) of every n-gram of the words, a word standing between two marks."""
-    size = np.minimum(letters.size, LONG)
+    size = letters.size
     wide = np.where(size > 0, size + 2, 0)
     at = np.cumsum(wide) - wide
     flat = np.zeros(int(wide.sum()), U)  # 0 marks both ends

@@ -46,3 +46,19 @@ def test_viterbi_equals_brute_force():
         if b > a:
             best = max(itertools.product(range(3), repeat=b - a), key=value)
             assert abs(value(best) - value(path[a:b])) < 1e-9
+
+
+def test_every_letter_counts(spark):
+    hans, kana = "我们今天在学校里学习新的知识和语言", "わたしはきょうがっこうでべんきょうします"
+    rows = [(i, t[i % 7:] + t, lang) for i, (lang, t) in enumerate([("zh", hans), ("ja", kana), ("en", text("en", 1))] * 20)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, hans * 2 + "。" + kana * 9), (2, (hans * 4)[:60]), (3, "\u00a0".join(text("en", 1).split()[:30])),
+             (4, hans + "\u3000" + hans), (5, "。、\u3000")]
+    done = {r.doc_id: r for r in L.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert done[1].lang_pred == "ja" and [s.lang for s in done[1].spans] == ["zh", "ja"]
+    share = len(kana) * 9 / (len(kana) * 9 + len(hans) * 2)
+    assert abs(done[1].score - share) < 1e-9
+    assert [tuple(s) for s in done[2].spans] == [("zh", 0, 2)]  # 24, 24 and 12 letters
+    assert [tuple(s) for s in done[3].spans] == [("en", 0, 29)]
+    assert [tuple(s) for s in done[4].spans] == [("zh", 0, 1)]
+    assert (done[5].lang_pred, done[5].spans) == ("und", [])
