@@ -92,8 +92,10 @@ def count_tokens(spark: SparkSession, path: str, separator: int, width: str = "u
     ``document`` numbers the documents of a file from 0, ``start`` is the index of its
     first id, ``head`` has its first ids, ``head`` of them. The separator is not counted. A file may end without one; ids behind the
     last separator are a document then. Two separators in a row hold an empty document, an
-    empty file has none. A file that ends within an id is refused. One task reads one
-    file, so files should be no larger than a task's memory.
+    empty file has none. A file that ends within an id is refused. Files of any
+    name are read, but those that Spark hides (names that begin with ``_`` or ``.``). One
+    task reads one file as one value: files should be no larger than a task's memory, and
+    2 GB or more are refused by Spark.
     """
     size = np.dtype(width).itemsize
 
@@ -117,8 +119,8 @@ def count_tokens(spark: SparkSession, path: str, separator: int, width: str = "u
                          pa.array([ends.tolist()], pa.list_(pa.int64())),
                          pa.array([heads], pa.list_(pa.list_(pa.int32())))], names=["file", "block", "ends", "heads"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(
-        "path LIKE '%/part-%'").select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", "content")
     found = files.mapInArrow(blocks, "file string, block long, ends array<long>, heads array<array<int>>")
     # the scan: documents that ended before each block, and the last end before it
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

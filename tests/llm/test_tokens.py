@@ -101,3 +101,14 @@ def test_packing_query_packs_token_ids(spark, tmp_path):
             parts.setdefault(doc, []).append((offset, ids[a:b].tolist()))
     whole = {doc: [i for _, p in sorted(found) for i in p] for doc, found in parts.items()}
     assert whole == {i: [*encoder.encode_ordinary(t), 50256] for i, t in enumerate(TEXTS) if t is not None}
+
+
+def test_files_of_any_name_are_counted(spark, tmp_path):
+    for name in ("train.bin", "part-00000", "sub/val.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(np.array([1, 2, 9, 3], "uint16").tobytes())
+    for name in ("_SUCCESS", ".train.bin.crc"):
+        (tmp_path / name).write_bytes(b"odd")
+    found = tokencount.count_tokens(spark, str(tmp_path), 9).collect()
+    assert sorted((r.file.split("/")[-1], r.n_tokens) for r in found) == [
+        (n, k) for n in ("part-00000", "train.bin", "val.bin") for k in (1, 2)]
