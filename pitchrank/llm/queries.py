@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
-from pitchrank.llm import langid, packing, rules, spm, tokencount, toxicity
+from pitchrank.llm import langid, packing, resample, rules, spm, tokencount, toxicity
 from pitchrank.llm.sharding import assign_shards
 from pitchrank.llm.substring import mark_repeats
 from pitchrank.session import scratch_path
@@ -158,3 +158,51 @@ def op8_token_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text IS NOT NULL")
     ids = tokencount.byte_pair_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
     return packing.pack(packing.closed(ids, TEXT_END), pad=TEXT_END)
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    """A tenth of the documents of 20 words or more, drawn towards the words of the benchmark."""
+    done = resample.resample(table(spark, sf_dir, "documents", "doc_id", "text"),
+                             table(spark, sf_dir, "benchmark", "text"), percent=10, seed=2024, least_words=20)
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op13_importance_resampling"] = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i:
+           CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+w AS (
+  SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+t AS (
+  SELECT kind, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM w),
+f AS (SELECT kind, doc_id, unnest(w) AS f FROM t),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS (
+  SELECT f, xor(4294967295, list_reduce(list_concat([4294967295],
+           list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+           lambda c, y: xor(tab[(xor(c, y) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM x, tab),
+n AS (
+  SELECT bucket, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 't') AS t
+  FROM f JOIN b USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE
+                                 / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain
+  FROM n),
+m AS (
+  SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE kind = 'd' GROUP BY doc_id),
+s AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5)
+                                                    / 4294967296)))::BIGINT AS score
+  FROM t LEFT JOIN m USING (doc_id) WHERE kind = 'd'),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM s)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM r
+"""
