@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pitchrank.llm.decontam import find_items
 from pitchrank.llm.minhash import near_duplicates
-from pitchrank.llm import langid, packing, resample, rules, spm, tokencount, toxicity
+from pitchrank.llm.notices import find_notices
+from pitchrank.llm import langid, negatives, packing, resample, rules, spm, tokencount, toxicity
 from pitchrank.llm.sharding import assign_shards
 from pitchrank.llm.substring import mark_repeats
 from pitchrank.session import scratch_path
@@ -206,3 +207,46 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
 FROM r
 """
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """The anchors are all rows whose id is divisible by 50; every seventh label is moved on first."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+SQL["op12_hard_negatives"] = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM r a JOIN r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM s JOIN p USING (anchor_id)
+WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query
+def op11_license_scan(spark, sf_dir):
+    """Licence phrases and notices of every document; the score falls with the edits of the best hit."""
+    done = find_notices(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("found", lambda e: e["phrase"])
+    starts = F.transform(base, lambda e: e["first_word"])
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda e: e["label"]))), ",")
+    sure = F.transform("found", lambda e: 1 - e["edits"] / (e["allowed"] + 1))
+    return done.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                       F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"),
+                       labels("found").alias("labels"), F.coalesce(F.array_max(sure), F.lit(0.0)).alias("score"), "found")

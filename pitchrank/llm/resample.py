@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchrank.llm.textbytes import ALNUM, LOWER, bounded, buffers, find_words, slices
+from pitchrank.llm.textbytes import ALNUM, LOWER, bounded, buffers, find_words, joined, slices
 from pitchrank.session import materialize
 
 BUCKETS = 10_000
@@ -67,27 +67,16 @@ def features(column: pa.Array, longest: int, buckets: int) -> tuple[np.ndarray,
     """
     data, off = buffers(column)
     words = find_words(LOWER[data], off, ALNUM)
-    length = words.end - words.start
-    begin = np.cumsum(length + 1) - length - 1  # of each word once they are joined
-    joined = np.full(int((length + 1).sum()), 0x20, np.uint8)
-    inside = np.repeat(begin - words.start, length) + _ranges(words.start, length)
-    joined[inside] = words.data[_ranges(words.start, length)]
+    flat, begin = joined(words)
     text, last = words.text_of(), words.first[1:]
     bucket, owner = [], []
     for size in range(1, longest + 1):
-        at = np.flatnonzero(np.arange(len(begin)) + size <= last[text])
-        to = at + size - 1
-        bucket.append(crc32_ranges(joined, begin[at], begin[to] + length[to]) % buckets)
+        at = np.flatnonzero(np.arange(len(text)) + size <= last[text])
+        bucket.append(crc32_ranges(flat, begin[at], begin[at + size] - 1) % buckets)
         owner.append(text[at])
     return np.concatenate(bucket), np.concatenate(owner), np.diff(words.first)
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """All positions ``start[i] .. start[i] + length[i] - 1``, one range after the other."""
-    skipped = np.cumsum(length) - length
-    return np.repeat(start - skipped, length) + np.arange(int(length.sum()))
-
-
 def bucket_counts(texts: DataFrame, longest: int = 1, buckets: int = BUCKETS, text_col: str = "text") -> np.ndarray:
     """How often each bucket occurs in all texts; tasks add up before the shuffle, ``buckets`` rows come back."""
 

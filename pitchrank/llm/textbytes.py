@@ -77,6 +77,21 @@ def find_words(data: np.ndarray, off: np.ndarray, chars: np.ndarray = PLAIN) ->
     return Words(data, begin, end, np.searchsorted(begin, off))
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions ``start[i] .. start[i] + length[i] - 1``, one range after the other."""
+    skipped = np.cumsum(length) - length
+    return np.repeat(start - skipped, length) + np.arange(int(length.sum()))
+
+
+def joined(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one blank behind each, and where each begins; the last entry is where all end."""
+    length = words.end - words.start
+    begin = np.concatenate([[0], np.cumsum(length + 1)])
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    out[ranges(begin[:-1], length)] = words.data[ranges(words.start, length)]
+    return out, begin
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

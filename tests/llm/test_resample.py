@@ -88,5 +88,5 @@ def test_empty_tables_and_clashing_columns(spark):
     assert rows(R.resample(docs, target.limit(0), 10, 1, 20)) == brute(DOCS, [], 10, 1, 20)
     odd = docs.select("*", *(F.lit("old").alias(c) for c in ("n_words", "n_features", "weight", "score", "rank", "lang")))
     done = R.resample(odd, target, 10, 1, 20)
-    assert done.columns == ["doc_id", "lang", "score", "n_words", "n_features", "weight", "rank"]
+    assert done.columns == ["doc_id", "score", "lang", "n_words", "n_features", "weight", "rank"]
     assert rows(done) == brute(DOCS, TARGET, 10, 1, 20)
