@@ -83,7 +83,7 @@ def main() -> None:
     seconds["stream_ingest"] = round(timed(lambda: QUERIES["stream_ingest"](spark, sf_dir)), 3)
     models: dict = {}
     seconds["train"] = round(timed(lambda: models.update(train_models(
-        profiles, settings=settings, parallelism=int(cpus)))), 3)
+        profiles, settings=settings))), 3)
     seconds["score"] = round(timed(lambda: score_profiles(profiles, models)), 3)
     rows = raw.agg(F.count(F.lit(1))).first()[0]
     spark.stop()

