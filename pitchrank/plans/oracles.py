@@ -287,13 +287,27 @@ SELECT {_ID}, game_date, pitcher, CAST(year(game_date) AS INTEGER) AS season, CA
     "stream_ingest": _sql("pitch", f"""
 SELECT {_ID}, game_date, pitcher, CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month,
   {_r('release_speed')} FROM pitch"""),
+    "stream_close": _sql("pitch", """
+, months AS (
+  SELECT CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month, count(*) AS rows,
+    max(game_date) < DATE '1998-06-01' AS first
+  FROM pitch GROUP BY ALL)
+SELECT season, month, CAST(CASE WHEN first THEN 1 ELSE 2 END AS BIGINT) AS latest,
+  CAST(CASE WHEN first THEN 0 ELSE 1 END AS INTEGER) AS open_deliveries,
+  CASE WHEN first THEN rows ELSE 0 END AS late_rows, rows, first AS is_complete FROM months"""),
+    "replace_visible": _sql("pitch", f"""
+, seasons AS (
+  SELECT CAST(year(game_date) AS INTEGER) AS season, count(*) AS rows, sum(release_speed) AS speed
+  FROM pitch WHERE game_date IS NOT NULL GROUP BY ALL)
+SELECT moment, season, rows, {_r(speed="speed * CASE WHEN season = 1997 AND moment = 'committed' THEN 2 ELSE 1 END")}
+FROM seasons, (VALUES ('written'), ('failed'), ('committed')) m(moment)"""),
     "manifest": _sql("pitch", """
 SELECT CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month, count(*) AS rows,
   year(game_date) < 2001 AS is_complete FROM pitch GROUP BY ALL"""),
     "cache_summary": _sql("pitch", """
 SELECT 'season=' || year(game_date) || '/month=' || month(game_date) AS file,
   CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month, count(*) AS rows,
-  year(game_date) < 2001 AS complete FROM pitch GROUP BY ALL"""),
+  year(game_date) < 2001 AS complete, true AS size_agrees FROM pitch GROUP BY ALL"""),
     "leaderboard_csv": _sql("recent_board", f"SELECT {_BOARD} FROM recent_board"),
     # projections
     "normalize_codes": _sql("coded", f"SELECT {_ID}, pitch_type FROM coded"),

@@ -33,7 +33,7 @@ from pitchrank.session import materialize, scratch_path, tune
 from pitchrank.sources import calendar as K
 from pitchrank.sources import landing as L
 from pitchrank.sources import tables as S
-from pitchrank.streaming.ingest import follow_landing
+from pitchrank.streaming.ingest import follow_landing, month_states
 
 # The tables hold about 29 pitches per profile, so the default of 50 would leave
 # little. Models are fitted with the method's rounds and patience.
@@ -193,25 +193,82 @@ def manifest(spark, d):
 
 @query
 def cache_summary(spark, d):
-    listed = L.cache_summary(L.read_manifest(spark, _full_store(spark, d)))
-    return listed.select("file", "season", "month", "rows", "complete")
-
-
-@query
-def stream_ingest(spark, d):
+    """The summary, its sizes held against the lengths of the files themselves."""
+    root = _full_store(spark, d)
+    listed = L.cache_summary(L.read_manifest(spark, root))
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+             .load(root).select(F.regexp_extract("path", "season=[0-9]+/month=[0-9]+", 0).alias("file"), "length"))
+    sizes = files.groupBy("file").agg(F.bround(F.sum("length") / F.lit(1e6), 1).alias("mb"))  # a row a month
+    return listed.join(sizes, "file").select("file", "season", "month", "rows", "complete",
+                                             (F.col("size_mb") == F.col("mb")).alias("size_agrees"))
+
+
+def _stream(spark, d):
+    """Paths of a landing area, a store and checkpoints, and a function that lands a delivery."""
     landing, root, marks = (scratch_path(spark, n) for n in ("landing", "store", "marks"))
     rows = pitch_view(spark, d)
-    half = F.col("game_date") < F.to_date(F.lit("1998-06-01"))
 
-    def deliver(part, delivery):
+    def follow(today, **how):
+        follow_landing(spark, landing, root, marks, today, schema=rows.schema, **how)
+
+    def land(part, delivery):
         part.withColumn("delivery", F.lit(delivery)).write.mode("append").partitionBy("delivery").parquet(landing)
-        follow_landing(spark, landing, root, marks, today=date(2002, 1, 1), force=True,
-                       schema=rows.schema).awaitTermination()
 
-    deliver(rows.where(half), 1)
+    return root, marks, rows, land, follow
+
+
+_FIRST_HALF = "game_date < DATE '1998-06-01'"
+
+
+@query
+def stream_ingest(spark, d):
+    root, _, rows, land, follow = _stream(spark, d)
+    land(rows.where(_FIRST_HALF), 1)
+    follow(date(2002, 1, 1))
     # the first half comes again, with the second
-    deliver(rows, 2)
-    return _store_columns(S.read_table(spark, root))
+    land(rows, 2)
+    follow(date(2002, 1, 1))
+    return _store_columns(S.read_store(spark, root))
+
+
+@query
+def stream_close(spark, d):
+    """Months of a first delivery close by its mark alone; the second one brings them again, too late."""
+    root, marks, rows, land, follow = _stream(spark, d)
+    land(rows.where(_FIRST_HALF), 1)
+    follow(date(2002, 1, 1))
+    follow(date(2002, 1, 1), finished=(1,))
+    land(rows, 2)
+    follow(date(2002, 1, 1))
+    return month_states(spark, root, marks)
+
+
+@query
+def replace_visible(spark, d):
+    """What readers see while the months of 1997 are replaced by twice as fast pitches: before the
+    commit, after a write that failed, and after the commit."""
+    root = scratch_path(spark, "store")
+    rows = pitch_view(spark, d)
+    L.replace_months(spark, rows, root, _TODAY)
+
+    def seen(moment):
+        stored = S.read_store(spark, root).groupBy("season").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("release_speed").alias("speed"))
+        return materialize(stored.select(F.lit(moment).alias("moment"), "season", "rows", "speed"), "seen")
+
+    fast = rows.where(F.year("game_date") == 1997).withColumn("release_speed", F.col("release_speed") * 2)
+    staged = L.stage_months(spark, fast, root)
+    moments = [seen("written")]
+    broken = F.when(F.month("game_date") == 11, F.raise_error(F.lit("broken off"))).otherwise(F.col("release_speed"))
+    try:
+        L.replace_months(spark, fast.withColumn("release_speed", broken.cast("double")), root, _TODAY)
+    except Exception as error:
+        if "broken off" not in str(error):
+            raise
+        moments.append(seen("failed"))
+    L.commit_months(spark, staged, F.lit(True))
+    moments.append(seen("committed"))
+    return tidy(S.union_tables(*moments))
 
 
 @query

@@ -61,6 +61,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("is_complete", T.BooleanType()),
         T.StructField("season", T.IntegerType()),
         T.StructField("month", T.IntegerType()),
+        T.StructField("version", T.StringType()),
     ]
 )
 

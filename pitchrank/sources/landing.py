@@ -1,39 +1,30 @@
 """Keeping the stored pitch table up to date from a landing area.
 
-The store is Parquet under ``<root>/season=S/month=M``. Next to it lies the
-manifest, a small table with one row per stored month. A month is always replaced
-as a whole, so repeating a delivery changes nothing.
+Months are written to versioned folders and become visible with one commit of the
+manifest (``sources.versions``). A month is always replaced as a whole, so repeating a
+delivery changes nothing.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchrank.functions.codes import round_even
 from pitchrank.params import DEFAULTS, Settings
 from pitchrank.schema import MANIFEST_SCHEMA, as_pitches, game_day
 from pitchrank.sources.calendar import season_months, season_range
-from pitchrank.sources.tables import read_store, write_table
+from pitchrank.sources.tables import STORE_SCHEMA, read_store, write_table
+from pitchrank.sources.versions import commit, new_version, read_manifest
 
 PARTS = ("season", "month")
 
 
-def manifest_path(root: str) -> str:
-    return f"{root.rstrip('/')}_manifest"
-
-
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """One row per stored month; empty before the first ingest."""
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_path(root))
-    except AnalysisException:
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-
-
 def by_month(df: DataFrame) -> DataFrame:
     """Pitches in the declared schema with their season and month."""
     return as_pitches(df).where(F.col("game_date").isNotNull()).withColumns(
@@ -56,14 +47,55 @@ def measure(stored: DataFrame) -> DataFrame:
         F.max("file_modification_time").alias("fetched_at"))
 
 
-def manifest_of(stored: DataFrame, is_complete) -> DataFrame:
-    return measure(stored).withColumn("is_complete", is_complete).select(
-        "rows", "size_bytes", "fetched_at", "is_complete", *PARTS)
+@dataclass
+class Staged:
+    """Months that are written but not visible yet."""
+
+    root: str
+    version: str
+    rows: list  # a manifest row for each month
+
+
+def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "snappy") -> Staged:
+    """Write the months that ``rows`` holds to folders of a new version; readers see nothing of it."""
+    version = new_version()
+    write_table(by_month(rows).withColumn("version", F.lit(version)), root, codec, [*PARTS, "version"], mode="append")
+    versioned = T.StructType([*STORE_SCHEMA.fields, T.StructField("version", T.StringType())])
+    try:
+        written = (spark.read.schema(versioned).option("basePath", root)
+                   .parquet(f"{root.rstrip('/')}/season=*/month=*/version={version}"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return Staged(root, version, [])  # there were no rows
+    return Staged(root, version, measure(written).collect())  # one row per month
+
+
+def commit_months(spark: SparkSession, staged: Staged, is_complete, drop_season: int | None = None) -> None:
+    """Make staged months visible in place of the former ones, all at once.
+
+    ``is_complete`` is a condition on season and month. Other months of ``drop_season`` go.
+    """
+    if not staged.rows:
+        return
+    found = [r.asDict() | {"is_complete": None, "version": staged.version} for r in staged.rows]
+    new = spark.createDataFrame([tuple(r[f] for f in MANIFEST_SCHEMA.fieldNames()) for r in found], MANIFEST_SCHEMA)
+    new = new.withColumn("is_complete", is_complete)
+
+    def change(old: DataFrame) -> DataFrame:
+        kept = old if drop_season is None else old.where(F.col("season") != drop_season)
+        return kept.join(new.select(*PARTS), list(PARTS), "left_anti").unionByName(new)
+
+    commit(spark, staged.root, change)
+
 
+def close_months(spark: SparkSession, root: str, months: DataFrame) -> None:
+    """Mark the listed months (season, month) complete, in one commit."""
+    def change(old: DataFrame) -> DataFrame:
+        done = months.select(*PARTS).distinct().withColumn("_done", F.lit(True))
+        return old.join(done, list(PARTS), "left").withColumn("is_complete", F.col("is_complete") | F.col("_done").isNotNull())
 
-def _write_manifest(spark: SparkSession, root: str, stored: DataFrame, is_complete) -> None:
-    write_table(manifest_of(stored, is_complete), manifest_path(root),
-                partition_by=PARTS, overwrite="dynamic")
+    commit(spark, root, change)
 
 
 def _stored(spark: SparkSession, root: str, season: int) -> DataFrame:
@@ -86,34 +118,16 @@ def ingest_season(spark: SparkSession, landing: DataFrame, root: str, season: in
     today = today or date.today()
     known = read_manifest(spark, root).where(F.col("season") == season)
     state = known.agg(F.count(F.lit(1)), F.min(F.col("is_complete").cast("int"))).first()
-    if state[0] and state[1] == 1 and not force and _exists(spark, f"{root}/season={season}"):
+    if state[0] and state[1] == 1 and not force:
         return _stored(spark, root, season)
 
     start, end = season_range(season)
     rows = by_month(landing.where(day_of(landing).between(F.lit(start), F.lit(end))))
-    if rows.isEmpty():
+    staged = stage_months(spark, rows, root, codec)
+    if not staged.rows:
         return rows
-    # an interrupted replacement must not look complete; at most twelve rows
-    stale = [r.asDict() | {"is_complete": False} for r in known.collect()]
-    if stale:
-        _replace_manifest(spark.createDataFrame(stale, MANIFEST_SCHEMA), root, season)
-    write_table(rows.drop("season"), f"{root}/season={season}", codec, ["month"])
-    stored = _stored(spark, root, season)
-    _replace_manifest(manifest_of(stored, F.lit(season < today.year)), root, season)
-    return stored
-
-
-def _replace_manifest(rows: DataFrame, root: str, season: int) -> None:
-    """Replace all manifest rows of a season, months that are gone included."""
-    write_table(rows.drop("season"), f"{manifest_path(root)}/season={season}", partition_by=["month"])
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    commit_months(spark, staged, F.lit(season < today.year), drop_season=season)
+    return _stored(spark, root, season)
 
 
 def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: int | None = None,
@@ -139,7 +153,7 @@ def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: i
         wanted = F.lit(False)
         for first, last in spans:
             wanted = wanted | day.between(F.lit(first), F.lit(last))
-        replace_months(spark, landing.where(wanted), root, today, codec, [(f.year, f.month) for f, _ in spans])
+        replace_months(spark, landing.where(wanted), root, today, codec)
     try:
         return _stored(spark, root, season)
     except FileNotFoundError:
@@ -147,40 +161,14 @@ def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: i
 
 
 def replace_months(spark: SparkSession, rows: DataFrame, root: str, today: date,
-                   codec: str = "snappy", months: list[tuple[int, int]] | None = None,
-                   may_close: bool = True) -> None:
-    """Replace every month that ``rows`` holds, and its manifest row.
-
-    A caller that knows the (season, month) pairs ``rows`` lies in passes them as
-    ``months``, and the rows are scanned once. While a month is being replaced its
-    manifest row says it is open, so an interrupted replacement is done again.
-    Months the calendar has passed are complete, unless ``may_close`` is false.
+                   codec: str = "snappy", may_close: bool = True) -> None:
+    """Replace every month that ``rows`` holds, and its manifest row, in one commit.
+
+    ``rows`` are read once. Months the calendar has passed are complete, unless
+    ``may_close`` is false.
     """
-    monthly = by_month(rows)
-    if months is None:
-        # the months touched: at most twelve per season
-        months = [tuple(r) for r in monthly.select(*PARTS).distinct().collect()]
-    if not months:
-        return
-    names = [f"{season}-{month}" for season, month in months]
-
-    def touched(df: DataFrame) -> DataFrame:
-        # the seasons prune folders, the pairs decide
-        return df.where(F.col("season").isin(sorted({s for s, _ in months}))
-                        & F.concat_ws("-", "season", "month").isin(names))
-
-    # one row per month; read before it is overwritten
-    stale = [r.asDict() | {"is_complete": False} for r in touched(read_manifest(spark, root)).collect()]
-    if stale:
-        write_table(spark.createDataFrame(stale, MANIFEST_SCHEMA), manifest_path(root),
-                    partition_by=PARTS, overwrite="dynamic")
-    write_table(monthly, root, codec, PARTS, overwrite="dynamic")
-    try:
-        stored = touched(read_store(spark, root))
-    except FileNotFoundError:  # nothing landed, nothing stored
-        return
     passed = month_first() < F.lit(today.replace(day=1))
-    _write_manifest(spark, root, stored, passed if may_close else F.lit(False))
+    commit_months(spark, stage_months(spark, rows, root, codec), passed if may_close else F.lit(False))
 
 
 def cache_summary(manifest: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pitchrank.params import DEFAULTS, SCORE, Settings
 from pitchrank.schema import PITCH_SCHEMA
+from pitchrank.sources.versions import has_commits, month_folders, read_manifest
 
 CODECS = ("snappy", "zstd", "gzip", "none")
 
@@ -20,8 +21,18 @@ STORE_SCHEMA = T.StructType([*PITCH_SCHEMA.fields, T.StructField("season", T.Int
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """The stored pitch table by its declared schema: a column that a file lacks is null there."""
-    return read_table(spark, root, schema=STORE_SCHEMA)
+    """The stored pitch table by its declared schema: a column that a file lacks is null there.
+
+    Of a store with a manifest, the months it lists as of now, each in its visible version;
+    a store without one is read as it lies there.
+    """
+    if not has_commits(spark, root):
+        return read_table(spark, root, schema=STORE_SCHEMA)
+    folders = month_folders(read_manifest(spark, root), root)
+    if not folders:
+        return spark.createDataFrame([], STORE_SCHEMA)
+    versioned = T.StructType([*STORE_SCHEMA.fields, T.StructField("version", T.StringType())])
+    return spark.read.schema(versioned).option("basePath", root).parquet(*folders).drop("version")
 
 
 def read_table(spark: SparkSession, path: str, columns=None, schema: T.StructType | None = None) -> DataFrame:
@@ -70,7 +81,11 @@ def load_seasons(spark: SparkSession, root: str, seasons=None, include_current:
     if include_current:
         wanted.add(settings.current_season)
     df = read_store(spark, root)
-    absent = [s for s in sorted(wanted) if not _is_stored(spark, f"{root.rstrip('/')}/season={s}")]
+    if has_commits(spark, root):
+        stored = {r["season"] for r in read_manifest(spark, root).select("season").distinct().collect()}
+        absent = sorted(wanted - stored)
+    else:
+        absent = [s for s in sorted(wanted) if not _is_stored(spark, f"{root.rstrip('/')}/season={s}")]
     if absent:
         raise FileNotFoundError(f"not stored under {root}: season {', '.join(map(str, absent))}; ingest it first")
     df = df.where(F.col("season").isin(sorted(wanted)))

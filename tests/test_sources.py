@@ -11,7 +11,8 @@ from pitchrank.schema import KEEP_COLUMNS, as_pitches, ensure_columns, keep_colu
 from pitchrank.sources import calendar as K
 from pitchrank.sources import landing as L
 from pitchrank.sources import tables as S
-from pitchrank.streaming.ingest import follow_landing
+from pitchrank.sources import versions as V
+from pitchrank.streaming.ingest import finish_deliveries, follow_landing, late_rows, month_states
 
 
 def days(*isos, first=0, **other):
@@ -121,7 +122,7 @@ def test_season_is_taken_once(spark, pitches, tmp_path):
     assert ids(L.ingest_season(spark, more, root, 2022, today=today)) == [3, 4]
     # an empty landing area leaves the store alone
     assert L.ingest_season(spark, more.limit(0), root, 2022, today=today).count() == 0
-    assert ids(S.read_table(spark, root)) == [3, 4, 50]
+    assert ids(S.read_store(spark, root)) == [3, 4, 50]
     shown = L.cache_summary(L.read_manifest(spark, root)).collect()
     assert [r.file for r in shown] == ["season=2021/month=7", "season=2022/month=5"]
 
@@ -149,8 +150,8 @@ def test_streamed_deliveries(spark, pitches, tmp_path):
         (pitches(rows).withColumn("delivery", F.lit(delivery)).repartition(files, "game_pk")
          .write.mode("append").partitionBy("delivery").parquet(landing))
         follow_landing(spark, landing, root, marks, today, force, files_per_batch=1, schema=schema,
-                       finished=finished).awaitTermination()
-        return ids(S.read_table(spark, root))
+                       finished=finished)
+        return ids(S.read_store(spark, root))
 
     march = days("2026-03-27", "2026-03-28", "2026-03-29", "2026-03-30")
     assert deliver(march, 1, date(2026, 3, 31), files=3) == [0, 1, 2, 3]  # several batches, no row lost
@@ -165,6 +166,75 @@ def test_streamed_deliveries(spark, pitches, tmp_path):
     assert deliver(late, 4, date(2026, 4, 5)) == [0, 1, 20, 21]
     assert deliver(days("2026-03-26", first=40), 5, date(2026, 4, 5), force=True) == [20, 21, 40]
     # nothing new: nothing changes
-    follow_landing(spark, landing, root, marks, date(2026, 4, 6), schema=schema).awaitTermination()
-    assert ids(S.read_table(spark, root)) == [20, 21, 40]
+    follow_landing(spark, landing, root, marks, date(2026, 4, 6), schema=schema)
+    assert ids(S.read_store(spark, root)) == [20, 21, 40]
     assert {(r.month, r.rows) for r in L.read_manifest(spark, root).collect()} == {(3, 1), (4, 2)}
+
+
+def test_months_close_without_new_files(spark, pitches, tmp_path):
+    landing, root, marks = (str(tmp_path / n) for n in ("landing", "raw", "marks"))
+    schema = pitches([{}]).schema
+
+    def land(rows, delivery):
+        pitches(rows).withColumn("delivery", F.lit(delivery)).write.mode("append").partitionBy("delivery").parquet(landing)
+
+    def follow(today, **how):
+        follow_landing(spark, landing, root, marks, today, schema=schema, **how)
+        return {r.month: (r.latest, r.open_deliveries, r.late_rows, r.rows, r.is_complete)
+                for r in month_states(spark, root, marks).collect()}
+
+    march, april = days("2026-03-27", "2026-03-28"), days("2026-04-02", first=20)
+    land(march + april, 1)
+    assert follow(date(2026, 4, 10)) == {3: (1, 1, 0, 2, False), 4: (1, 1, 0, 1, False)}
+    # the delivery is over: March closes, April runs on
+    assert follow(date(2026, 4, 10), finished=(1,)) == {3: (1, 0, 0, 2, True), 4: (1, 0, 0, 1, False)}
+    # the calendar alone closes April
+    assert follow(date(2026, 5, 1)) == {3: (1, 0, 0, 2, True), 4: (1, 0, 0, 1, True)}
+    # late rows of March lie aside; May is open until the mark comes, before or after its files
+    land(days("2026-03-30", first=30) + days("2026-05-02", first=40), 2)
+    assert follow(date(2026, 6, 2)) == {3: (1, 0, 1, 2, True), 4: (1, 0, 0, 1, True), 5: (2, 1, 0, 1, False)}
+    assert [(r.game_pk, r.delivery) for r in late_rows(spark, marks, schema).collect()] == [(30, 2)]
+    land(days("2026-05-03", first=41), 2)
+    finish_deliveries(spark, landing, 2, 2)
+    assert follow(date(2026, 6, 2), files_per_batch=1)[5] == (2, 0, 0, 2, True)
+    assert ids(S.read_store(spark, root)) == [0, 1, 20, 40, 41]
+    # forced rows open a month again
+    land(days("2026-04-09", first=50), 3)
+    assert follow(date(2026, 6, 2), force=True)[4] == (3, 1, 0, 1, False)
+    assert follow(date(2026, 6, 2), finished=(3,))[4] == (3, 0, 0, 1, True)
+
+
+def test_replacement_is_seen_at_once(spark, pitches, tmp_path):
+    root = str(tmp_path / "raw")
+    L.replace_months(spark, pitches(days("2026-03-27", "2026-03-28", "2026-04-01")), root, date(2026, 5, 1))
+    reader = S.read_store(spark, root)
+    staged = L.stage_months(spark, pitches(days("2026-03-29", first=10)), root)
+    assert ids(S.read_store(spark, root)) == [0, 1, 2] and len(staged.rows) == 1  # written, not visible
+    with pytest.raises(Exception, match="no such pitch"):
+        bad = pitches(days("2026-03-30", "2026-04-02", first=20)).repartition(2, "game_pk")
+        L.replace_months(spark, bad.withColumn("release_speed", F.when(F.col("game_pk") == 21, F.raise_error(F.lit("no such pitch")))
+                                               .otherwise(F.lit(90.0)).cast("double")), root, date(2026, 5, 1))
+    assert ids(S.read_store(spark, root)) == [0, 1, 2]
+    L.commit_months(spark, staged, F.lit(True))
+    assert ids(S.read_store(spark, root)) == [2, 10]
+    assert ids(reader) == [0, 1, 2]  # a reader that had begun goes on with what it saw
+    # nothing is removed that is listed; of the rest all that is older
+    assert V.remove_unlisted(spark, root, 0) == 0
+    assert V.remove_unlisted(spark, root, 1 << 60) > 0
+    assert ids(S.read_store(spark, root)) == [2, 10] and ids(S.load_seasons(spark, root, [2026])) == [2, 10]
+
+
+def test_writers_that_meet_lose_nothing(spark, pitches, tmp_path):
+    root = str(tmp_path / "raw")
+    march, april = (L.stage_months(spark, pitches(days(d, first=n)), root) for n, d in enumerate(("2026-03-27", "2026-04-01")))
+    met = []
+
+    def change(old):
+        if not met:
+            met.append(1)
+            L.commit_months(spark, april, F.lit(True))  # another writer comes in between
+        return old.unionByName(spark.createDataFrame([(1, 1, None, False, 2026, 3, march.version)], old.schema))
+
+    V.commit(spark, root, change)
+    assert ids(S.read_store(spark, root)) == [0, 1]
+    assert {(r.month, r.is_complete) for r in L.read_manifest(spark, root).collect()} == {(3, False), (4, True)}
