@@ -56,7 +56,7 @@ class Letters:
     script: np.ndarray
 
 
-def _letters(column) -> tuple[Words, np.ndarray, Letters, np.ndarray]:
+def _letters(column, kinds: tuple[np.ndarray, np.ndarray]) -> tuple[Words, np.ndarray, Letters, np.ndarray]:
     """Words with a letter, where each text's begin, and the letters of the different ones with each word's number.
 
     Runs of bytes that may be letters are found first; the different ones are then cut by
@@ -69,7 +69,7 @@ def _letters(column) -> tuple[Words, np.ndarray, Letters, np.ndarray]:
     raw = [runs.data[a:b].tobytes().decode() for a, b in zip(runs.start[lead], runs.end[lead], strict=True)]
     codes = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32) if raw else np.zeros(0, np.uint32)
     run = np.repeat(np.arange(len(raw)), [len(w) for w in raw])
-    kind = _kinds()[codes]
+    kind = kinds[1][np.searchsorted(kinds[0], codes, "right") - 1]
     codes, run, cut = (x[kind != _INSIDE] for x in (codes, run, kind == _CUT))
     script = np.searchsorted(SCRIPTS, codes, "right") - 1
     for a, b in FOLDED.items():
@@ -93,11 +93,14 @@ _LETTER, _INSIDE, _CUT = 0, 1, 2
 
 
 @cache
-def _kinds() -> np.ndarray:
-    """Of every code point: a letter, a mark or format character inside a word, or what parts words."""
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """First code points of stretches of one kind, and the kinds: a letter, a mark or format character
+    inside a word, or what parts words. Built on the driver; functions for the workers carry it."""
     kind = {"L": _LETTER, "M": _INSIDE, "Cf": _INSIDE}
     names = [unicodedata.category(chr(c)) for c in range(0x110000)]
-    return np.array([kind.get(n, kind.get(n[0], _CUT)) for n in names], np.uint8)
+    every = np.array([kind.get(n, kind.get(n[0], _CUT)) for n in names], np.uint8)
+    first = np.flatnonzero(np.diff(every, prepend=255))
+    return first.astype(np.uint32), every[first]
 
 
 def _grams(letters: Letters) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +134,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     rows = pick(labelled.where(F.col(lang_col).isNotNull()), most_rows, id_col).where(
         F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sample = materialize(rows.repartition(max(1, most_rows // 500)), "labelled")
-    counts = sample.mapInArrow(_count, "lang string, slot int, script int, n long").groupBy(
+    counts = sample.mapInArrow(_counter(_kinds()), "lang string, slot int, script int, n long").groupBy(
         "lang", "slot", "script").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
@@ -148,23 +151,26 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     return Model(languages, scores.astype(np.float32), scripts > scripts.sum(axis=0) / 1000)
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 2 << 20):
-        names = np.array(part.column("lang").to_pylist(), object)
-        for name in sorted(set(names)):
-            own = part.filter(pa.array(names == name))
-            _, _, letters, which = _letters(own.column("text"))
-            often = np.bincount(which, minlength=len(letters.size))
-            word, slot = _grams(letters)
-            grams = np.bincount(slot, often[word], SLOTS).astype(np.int64)
-            scripts = np.bincount(letters.script, often * (letters.size > 0), len(SCRIPTS)).astype(np.int64)
-            some, kinds = np.flatnonzero(grams), np.flatnonzero(scripts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([name] * (len(some) + len(kinds)), pa.string()),
-                pa.array(np.concatenate([some, np.full(len(kinds), -1)]), pa.int32()),
-                pa.array(np.concatenate([np.zeros(len(some), int), kinds]), pa.int32()),
-                pa.array(np.concatenate([grams[some], scripts[kinds]]), pa.int64())],
-                names=["lang", "slot", "script", "n"])
+def _counter(kinds: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            names = np.array(part.column("lang").to_pylist(), object)
+            for name in sorted(set(names)):
+                own = part.filter(pa.array(names == name))
+                _, _, letters, which = _letters(own.column("text"), kinds)
+                often = np.bincount(which, minlength=len(letters.size))
+                word, slot = _grams(letters)
+                grams = np.bincount(slot, often[word], SLOTS).astype(np.int64)
+                scripts = np.bincount(letters.script, often * (letters.size > 0), len(SCRIPTS)).astype(np.int64)
+                some, used = np.flatnonzero(grams), np.flatnonzero(scripts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * (len(some) + len(used)), pa.string()),
+                    pa.array(np.concatenate([some, np.full(len(used), -1)]), pa.int32()),
+                    pa.array(np.concatenate([np.zeros(len(some), int), used]), pa.int32()),
+                    pa.array(np.concatenate([grams[some], scripts[used]]), pa.int64())],
+                    names=["lang", "slot", "script", "n"])
+
+    return run
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
@@ -214,13 +220,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
     added one are replaced.
     """
     docs = bounded(docs).drop("lang_pred", "score", "spans")
+    kinds = _kinds()
     span = [("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
         names = np.array([*model.languages, "und"], object)
         for part in slices(batches, text_col, 2 << 20):
-            _, first, letters, which = _letters(part.column(text_col))
+            _, first, letters, which = _letters(part.column(text_col), kinds)
             if not k:
                 which, first = which[:0], first * 0
             word, slot = _grams(letters)

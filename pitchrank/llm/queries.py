@@ -57,8 +57,8 @@ def op3_sharding(spark, sf_dir):
 
 
 def remainder(modulus: int):
-    """The fold of a row by its id."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    """The fold of a row by its id; -1 without one."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
 @query

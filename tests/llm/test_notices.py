@@ -1,3 +1,4 @@
+import functools
 import re
 
 from helpers import prose
@@ -20,6 +21,7 @@ def phrase_places(text):
                   if w[i:i + len(p.text.split())] == p.text.split())
 
 
+@functools.cache
 def notice_places(text):
     """(label, text, edits) of every notice, matching the whole text without looking up pieces."""
     whole = "".join(f" {w}" for w in words(text)) + " "
