@@ -56,6 +56,29 @@ def test_each_stage_does_its_work(spark, tmp_path):
     assert sorted(r.doc_id for r in C.run(spark, root).collect()) == sorted(r.doc_id for r in last)
 
 
+def test_ids_with_several_texts_and_extra_columns(spark, tmp_path):
+    """Nothing is lost under a repeated id, and columns of the user's pass through all stages."""
+    root = str(tmp_path)
+    rows = [(1, "alpha beta gamma"), (1, "other words here now"), (1, "alpha beta gamma"), (2, "other words here now"),
+            (3, None), (3, None), (None, "x y"), (None, "x y"), (4, "")]
+    docs = spark.createDataFrame([(i, t, "de", "s", 1, "mine", 7) for i, t in rows],
+                                 COLUMNS + ", class_id string, score long")
+    docs.write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    done = C.run(spark, root)
+    assert done.columns[:7] == docs.columns
+    got = sorted(((r.doc_id, r.text, r.class_id, r.score) for r in done.collect()), key=str)
+    assert got == sorted(((i, t, "mine", 7) for i, t in [*rows[:2], *rows[4:]]), key=str)
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_without_labels_no_document_is_toxic(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "c")], "doc_id long, text string")
     for name, labels in (("none", []), ("other", [(900, 0, 1)])):
