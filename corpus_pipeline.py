@@ -29,10 +29,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, once.
 
-    Documents without a text or an id are in no group and stay.
+    Documents without a text or an id are in no group and stay. Different texts under one id
+    are different documents; of rows equal in id and text one stays.
     """
-    kept = near_duplicates(docs).where("class_id IS NULL OR class_id = doc_id").select(*docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    done = near_duplicates(docs)
+    lone = F.col("doc_id").isNull() | F.col("text").isNull()
+    stands = done.where(~lone & (F.col("class_id") == F.col("doc_id")) & (F.col("class_key") == F.md5("text")))
+    return stands.dropDuplicates(["doc_id", "class_key"]).select(*docs.columns).unionByName(
+        done.where(lone).select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
