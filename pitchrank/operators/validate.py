@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchrank.functions.codes import round_even
 from pitchrank.operators.joins import lookup_join
-from pitchrank.operators.ranks import average_ranks
+from pitchrank.operators.ranks import rank_rows
 from pitchrank.params import DEFAULTS, SCORE, Settings
 from pitchrank.session import materialize
 
@@ -33,36 +33,34 @@ def fit_metrics(df: DataFrame, actual: str, predicted: str, keys=("pitch_type",)
 def rank_correlations(df: DataFrame, settings: Settings = DEFAULTS, score: str = SCORE) -> DataFrame:
     """Spearman correlation of the score with both outcome rates per type.
 
-    Both measures and both sides are ranked in one pass. A correlation needs
-    ``min_rank_pairs`` pairs; ``low`` flags one with the whiff rate that is too small.
+    Both measures and both sides are ranked in one pass; the two ranks of a row meet by its
+    number. A correlation needs ``min_rank_pairs`` pairs; ``low`` flags one with the whiff
+    rate that is too small.
     """
     rates = [c for c in _RATES if c in df.columns]
-    rows = materialize(df.where(F.col("pitch_type").isNotNull()).select("pitch_type", score, *rates), "scores")
-    counts = rows.groupBy("pitch_type").agg(F.count(score).alias("n"))
     labels = {"whiff_rate": "r_whiff", "csw_rate": "r_csw"}
-    if rates:
-        pairs = rows.select(
-            "pitch_type", F.col(score).alias("x"),
-            F.stack(F.lit(len(rates)), *[p for c in rates for p in (F.lit(c), F.col(c))])
-            .alias("measure", "y"),
-        ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        sides = pairs.select(
-            "pitch_type", "measure",
-            F.stack(F.lit(2), F.lit("x"), F.col("x"), F.lit("y"), F.col("y")).alias("side", "value"))
-        ranks = materialize(average_ranks(sides, ["pitch_type", "measure", "side"], "value"), "ranks")
-        for side in ("x", "y"):
-            one = ranks.where(F.col("side") == side).select(
-                "pitch_type", "measure", F.col("value").alias(side),
-                F.col("avg_rank").alias(f"r{side}"), F.col("n_at"))
-            pairs = lookup_join(pairs, one, ["pitch_type", "measure", side], "n_at")
+    rows = df.where(F.col("pitch_type").isNotNull()).select(
+        "pitch_type", F.col(score).alias("_x"), *rates, F.monotonically_increasing_id().alias("_row"))
+    if not rates:
+        wide = rows.groupBy("pitch_type").agg(F.count("_x").alias("n"))
+    else:
+        def side(measure, name, own, other):
+            return F.struct(F.lit(measure).alias("measure"), F.lit(name).alias("side"),
+                            F.when(F.col(other).isNotNull(), F.col(own)).cast("double").alias("value"))
+
+        sides = rows.select("pitch_type", "_row", F.col("_x").isNotNull().alias("_scored"), F.explode(F.array(*[
+            s for c in rates for s in (side(c, "x", "_x", c), side(c, "y", c, "_x"))])).alias("s")).select(
+            "pitch_type", "_row", "_scored", "s.*")
+        ranks = rank_rows(sides, ["pitch_type", "measure", "side"], "value")
+        pairs = ranks.groupBy("pitch_type", "measure", "_row", "_scored").agg(*[
+            F.max(F.when(F.col("side") == s, F.col("avg_rank"))).alias(f"r{s}") for s in ("x", "y")])
         by_measure = pairs.groupBy("pitch_type", "measure").agg(
-            F.when(F.count(F.lit(1)) >= settings.min_rank_pairs, safe_corr("rx", "ry")).alias("r"))
-        wide = by_measure.groupBy("pitch_type").agg(*[
+            F.count_if("_scored").alias("n"),
+            F.when(F.count("rx") >= settings.min_rank_pairs, safe_corr("rx", "ry")).alias("r"))
+        wide = by_measure.groupBy("pitch_type").agg(F.max("n").alias("n"), *[
             round_even(F.max(F.when(F.col("measure") == c, F.col("r"))), 3).alias(labels[c]) for c in rates])
-        # one row per type on both sides
-        counts = counts.join(wide, "pitch_type", "left")
     absent = {labels[c]: F.lit(None).cast("double") for c in _RATES if c not in rates}
-    out = counts.withColumns(absent) if absent else counts
+    out = wide.withColumns(absent) if absent else wide
     return out.select(
         "pitch_type", "n", "r_whiff", "r_csw",
         F.coalesce(F.col("r_whiff") < settings.low_rank_correlation, F.lit(False)).alias("low"),

@@ -28,6 +28,7 @@ from pitchrank.operators.tunnel import add_tunnel_features, tunnel_summary
 from pitchrank.operators.zscore import add_zscores
 from pitchrank.params import Settings
 from pitchrank.plans.fused import profiles_from_raw
+from pitchrank.plans.incremental import refresh_profiles
 from pitchrank.schema import keep_columns
 from pitchrank.session import materialize, scratch_path, tune
 from pitchrank.sources import calendar as K
@@ -428,6 +429,17 @@ def profile_two_scans(spark, d):
     return tidy(profiles(spark, d))
 
 
+@query
+def profile_incremental(spark, d):
+    """Profiles after two deliveries, the second of which is all that the second call reads."""
+    root, states = scratch_path(spark, "store"), scratch_path(spark, "states")
+    rows = pitch_view(spark, d)
+    L.replace_months(spark, rows.where(_FIRST_HALF), root, _TODAY)
+    refresh_profiles(spark, root, states, SHARED)
+    L.replace_months(spark, rows.where(f"NOT ({_FIRST_HALF})"), root, _TODAY)
+    return tidy(refresh_profiles(spark, root, states, SHARED))
+
+
 @query
 def type_summary(spark, d):
     return R.type_summary(profiles(spark, d))

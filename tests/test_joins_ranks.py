@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchrank.operators.joins import lookup_join
-from pitchrank.operators.ranks import average_ranks, median_of
+from pitchrank.operators.ranks import average_ranks, median_of, rank_rows
 from pitchrank.operators.zscore import add_zscores
 
 
@@ -47,6 +47,25 @@ def test_average_ranks_and_medians(spark):
     assert medians == pytest.approx(full.groupby("g").x.median().to_dict())
 
 
+def test_ranks_of_rows(spark):
+    """Every row comes back with its rank, though a third of them share a value that fills several ranges."""
+    pdf = sample()
+    rows = [(r.g, None if pd.isna(r.x) else float(r.x), i) for i, r in enumerate(pdf.itertuples())]
+    rows += [("b", float("nan"), 9001), (None, 1.0, 9002), (None, 1.0, 9003), ("one", 4.0, 9004)]
+    df = spark.createDataFrame(rows, "g string, x double, i long")
+    out = rank_rows(df, ["g"], "x")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "x#" in line]
+    got = {r.i: r.avg_rank for r in out.collect()}
+    assert len(got) == len(rows)
+    want = pdf.groupby("g").x.rank(method="average")
+    assert all(got[i] == (None if pd.isna(w) else w) for i, w in want.items())
+    assert (got[9001], got[9004]) == (None, 1.0)
+    few = spark.createDataFrame([("a", 2.0)] * 5000 + [("a", 1.0), ("a", 3.0)], "g string, x double").repartition(4)
+    assert {(r.x, r.avg_rank) for r in rank_rows(few, ["g"], "x").collect()} == {(1.0, 1.0), (2.0, 2501.5), (3.0, 5002.0)}
+    assert rank_rows(few.limit(0), ["g"], "x").count() == 0
+
+
 def test_median_of_even_and_single(spark):
     df = spark.createDataFrame([("e", 1.0), ("e", 4.0), ("s", 7.0)], "g string, x double")
     assert {r.g: r.median for r in median_of(df, ["g"], "x").collect()} == {"e": 2.5, "s": 7.0}
