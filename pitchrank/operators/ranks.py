@@ -62,9 +62,12 @@ def rank_rows(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank")
         df.withColumns(spread).repartitionByRange(*keys, value, "_order").withColumn("_range", F.spark_partition_id())
         .drop("_order"), "ranges")
     ranked = placed.where(known)
-    held = ranked.groupBy("_range", *keys, value).agg(F.count(F.lit(1)).alias("_n")).groupBy("_range", *keys).agg(
-        F.sum("_n").alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"),
-        F.min_by("_n", value).alias("_n_low"), F.max_by("_n", value).alias("_n_high"))
+    within = Window.partitionBy("_range", *keys).orderBy(value)
+    local = ranked.withColumns({
+        "_lower": F.rank().over(within) - 1, "_same": F.count(F.lit(1)).over(Window.partitionBy("_range", *keys, value))})
+    held = local.groupBy("_range", *keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"),
+        F.min_by("_same", value).alias("_n_low"), F.max_by("_same", value).alias("_n_high"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     one = F.struct(F.col("_low").alias("v"), F.col("_n_low").alias("n"), F.col("_before").alias("below"))
@@ -79,9 +82,6 @@ def rank_rows(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank")
         F.first("_before").alias("_before"), F.first("_low").alias("_low"), F.first("_high").alias("_high"),
         *[F.max(F.when(at, F.struct("_below", "_n"))).alias(name) for at, name in ((first, "_at_low"), (last, "_at_high"))])
 
-    within = Window.partitionBy("_range", *keys).orderBy(value)
-    local = ranked.withColumns({
-        "_lower": F.rank().over(within) - 1, "_same": F.count(F.lit(1)).over(Window.partitionBy("_range", *keys, value))})
     here = F.struct((F.col("_lower") + F.col("_before")).alias("_below"), F.col("_same").alias("_n"))
     place = F.when(F.col(value) == F.col("_low"), F.col("_at_low")).when(
         F.col(value) == F.col("_high"), F.col("_at_high")).otherwise(here)

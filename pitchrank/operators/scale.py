@@ -22,11 +22,8 @@ def fit_scaler(train: DataFrame, raw: str, settings: Settings = DEFAULTS) -> Dat
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, raw: str, score: str = SCORE) -> DataFrame:
     """Score every row with its type's scaler; a type without one gets null."""
-    counts = df.groupBy("pitch_type").agg(F.count(F.lit(1)).alias("_rows"))
-    lookup = scaler.join(counts, "pitch_type", "left").select(
-        "pitch_type", "mean_raw", "std_raw", "center", "scale",
-        F.coalesce("_rows", F.lit(0)).alias("_rows"))
-    joined = lookup_join(df, lookup, ["pitch_type"], "_rows")
+    lookup = scaler.select("pitch_type", "mean_raw", "std_raw", "center", "scale")
+    joined = lookup_join(df, lookup, ["pitch_type"])
     value = codes.plus_score(
         F.col(raw), F.col("mean_raw"), F.col("std_raw"), F.col("center"), F.col("scale"))
     return joined.withColumn(score, value).drop("mean_raw", "std_raw", "center", "scale")

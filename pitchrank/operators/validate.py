@@ -64,7 +64,7 @@ def rank_correlations(df: DataFrame, settings: Settings = DEFAULTS, score: str =
     return out.select(
         "pitch_type", "n", "r_whiff", "r_csw",
         F.coalesce(F.col("r_whiff") < settings.low_rank_correlation, F.lit(False)).alias("low"),
-    ).orderBy("pitch_type")
+    ).coalesce(1).sortWithinPartitions("pitch_type")  # a row a type
 
 
 def score_histogram(df: DataFrame, bins: int = 40, group: str | None = None, score: str = SCORE) -> DataFrame:

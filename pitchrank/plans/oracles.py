@@ -301,6 +301,11 @@ SELECT season, month, CAST(CASE WHEN first THEN 1 ELSE 2 END AS BIGINT) AS lates
   FROM pitch WHERE game_date IS NOT NULL GROUP BY ALL)
 SELECT moment, season, rows, {_r(speed="speed * CASE WHEN season = 1997 AND moment = 'committed' THEN 2 ELSE 1 END")}
 FROM seasons, (VALUES ('written'), ('failed'), ('committed')) m(moment)"""),
+    "unchanged_months": _sql("pitch", """
+SELECT CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month, count(*) AS rows,
+  NOT bool_or(year(game_date) = 1997 AND release_speed > 103) AS same_rows,
+  NOT bool_or(year(game_date) = 1997 AND release_speed > 103) AS same_files
+FROM pitch WHERE game_date IS NOT NULL GROUP BY ALL"""),
     "manifest": _sql("pitch", """
 SELECT CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month, count(*) AS rows,
   year(game_date) < 2001 AS is_complete FROM pitch GROUP BY ALL"""),
@@ -476,6 +481,13 @@ SELECT pitch_type, true AS has_error, true AS within_rounds, CAST({_INPUTS} AS I
 {_GATES}
 SELECT pitch_type, count(*) AS profiles, count(rows_complete) AS scored, count(*) - count(rows_complete) AS unscored
 FROM profiles LEFT JOIN gates USING (pitch_type) GROUP BY pitch_type"""),
+    "job_tables": _sql("profiles", f"""
+{_GATES}, fitted AS (SELECT p.* FROM profiles p JOIN gates USING (pitch_type)),
+recent AS (SELECT fitted.* FROM fitted, newest WHERE season = v AND n_pitches >= 20)
+SELECT 'clean' AS name, count(*) AS rows FROM cleaned UNION ALL SELECT 'features', count(*) FROM features
+UNION ALL SELECT 'profiles', count(*) FROM profiles UNION ALL SELECT 'scored', count(*) FROM fitted
+UNION ALL SELECT 'board', count(*) FROM recent UNION ALL SELECT 'board_by_type', count(*) FROM recent
+UNION ALL SELECT 'career', count(*) FROM (SELECT DISTINCT pitcher, player_name, pitch_type FROM fitted)"""),
     "feature_importance": _sql("profiles", f"""
 {_GATES}
 SELECT pitch_type, CAST(15 AS BIGINT) AS entries, true AS without_gaps, true AS falling, true AS sums_to_one FROM gates"""),

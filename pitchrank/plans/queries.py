@@ -27,6 +27,7 @@ from pitchrank.operators.scale import apply_scaler, fit_scaler
 from pitchrank.operators.tunnel import add_tunnel_features, tunnel_summary
 from pitchrank.operators.zscore import add_zscores
 from pitchrank.params import Settings
+from pitchrank.plans import jobs
 from pitchrank.plans.fused import profiles_from_raw
 from pitchrank.plans.incremental import refresh_profiles
 from pitchrank.schema import keep_columns
@@ -204,6 +205,23 @@ def cache_summary(spark, d):
                                              (F.col("size_mb") == F.col("mb")).alias("size_agrees"))
 
 
+@query
+def unchanged_months(spark, d):
+    """All months delivered twice, the second time in other files and with the fastest pitches of 1997
+    faster still: which months keep their fingerprint, and which their files."""
+    root = scratch_path(spark, "store")
+    rows = pitch_view(spark, d)
+    L.replace_months(spark, rows, root, _TODAY)
+    first = materialize(L.read_manifest(spark, root), "manifest").select(
+        "season", "month", F.col("version").alias("_version"), F.col("fingerprint").alias("_fingerprint"))
+    chosen = (F.year("game_date") == 1997) & (F.col("release_speed") > 103)
+    faster = rows.withColumn("release_speed", F.when(chosen, F.col("release_speed") + 1).otherwise(F.col("release_speed")))
+    L.replace_months(spark, faster.repartition(7), root, _TODAY)
+    return L.read_manifest(spark, root).join(first, ["season", "month"]).select(
+        "season", "month", "rows", (F.col("fingerprint") == F.col("_fingerprint")).alias("same_rows"),
+        (F.col("version") == F.col("_version")).alias("same_files"))
+
+
 def _stream(spark, d):
     """Paths of a landing area, a store and checkpoints, and a function that lands a delivery."""
     landing, root, marks = (scratch_path(spark, n) for n in ("landing", "store", "marks"))
@@ -262,7 +280,7 @@ def replace_visible(spark, d):
     moments = [seen("written")]
     broken = F.when(F.month("game_date") == 11, F.raise_error(F.lit("broken off"))).otherwise(F.col("release_speed"))
     try:
-        L.replace_months(spark, fast.withColumn("release_speed", broken.cast("double")), root, _TODAY)
+        L.stage_months(spark, fast.withColumn("release_speed", broken.cast("double")), root, skip_same=False)
     except Exception as error:
         if "broken off" not in str(error):
             raise
@@ -650,6 +668,26 @@ def score(spark, d):
         F.count_if(F.col(P.SCORE).isNull()).alias("unscored"))
 
 
+@query
+def job_tables(spark, d):
+    """Rows of the tables that the five steps after fetching write, one run from a store to the boards.
+
+    Models of three small trees are enough to pass every step.
+    """
+    root = scratch_path(spark, "job")
+    L.replace_months(spark, pitch_view(spark, d), f"{root}/raw", _TODAY)
+    seasons = tuple(r[0] for r in L.read_manifest(spark, f"{root}/raw").select("season").distinct().collect())
+    few = {"rounds": 3, "depth": 2, "column_sample": 1.0}
+    quick = replace(SHARED, standard_boost=replace(SHARED.standard_boost, **few), small_boost=replace(SHARED.small_boost, **few))
+    jobs.run(spark, root, jobs.STEPS[1:], seasons=seasons, settings=quick)
+    tables = {n: S.read_table(spark, f"{root}/{n}") for n in ("clean", "features", "profiles")}
+    tables["scored"] = S.read_table(spark, f"{root}/scored").where(F.col(P.SCORE).isNotNull())
+    tables["board"] = S.read_board(spark, f"{root}/boards/all")
+    tables["board_by_type"] = S.read_board(spark, f"{root}/boards/by_type")
+    tables["career"] = spark.read.option("header", True).csv(f"{root}/boards/career")
+    return S.union_tables(*[t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n, t in tables.items()])
+
+
 @query
 def feature_importance_(spark, d):
     """Per model: entries, whether places run without a gap and weights fall, and whether they sum to 1 at most."""

@@ -62,6 +62,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("season", T.IntegerType()),
         T.StructField("month", T.IntegerType()),
         T.StructField("version", T.StringType()),
+        T.StructField("fingerprint", T.StringType()),
     ]
 )
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from pitchrank.functions.codes import round_even
 from pitchrank.params import DEFAULTS, Settings
-from pitchrank.schema import MANIFEST_SCHEMA, as_pitches, game_day
+from pitchrank.schema import MANIFEST_SCHEMA, PITCH_SCHEMA, as_pitches, game_day
 from pitchrank.sources.calendar import season_months, season_range
 from pitchrank.sources.tables import STORE_SCHEMA, read_store, write_table
 from pitchrank.sources.versions import commit, new_version, read_manifest
@@ -53,13 +53,39 @@ class Staged:
 
     root: str
     version: str
-    rows: list  # a manifest row for each month
+    rows: list  # a manifest row for each month; those of months that are stored already are as they were
 
 
-def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "snappy") -> Staged:
-    """Write the months that ``rows`` holds to folders of a new version; readers see nothing of it."""
-    version = new_version()
-    write_table(by_month(rows).withColumn("version", F.lit(version)), root, codec, [*PARTS, "version"], mode="append")
+def fingerprints(monthly: DataFrame) -> DataFrame:
+    """(season, month, fingerprint) of what the months hold, whatever the order or the files of its rows.
+
+    The sum of a hash of each row, with the number of rows; the hash knows which column a
+    value or a null stands in, and an absent column is one of nulls.
+    """
+    values = [F.xxhash64(F.lit(n), F.col(f.name) if f.name in monthly.columns else F.lit(None).cast(f.dataType))
+              for n, f in enumerate(PITCH_SCHEMA)]
+    total = F.sum(F.xxhash64(*values).cast("decimal(38,0)"))
+    return monthly.groupBy(*PARTS).agg(F.concat_ws(":", F.count(F.lit(1)), total.cast("string")).alias("fingerprint"))
+
+
+def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "snappy", skip_same: bool = True) -> Staged:
+    """Write the months that ``rows`` holds to folders of a new version; readers see nothing of it.
+
+    Unless ``skip_same`` is off, ``rows`` are first read for their fingerprints, and months
+    that are stored just so already are not written again.
+    """
+    version, monthly = new_version(), by_month(rows)
+    prints, same = {}, []
+    if skip_same:
+        found = fingerprints(monthly).collect()  # one row per month, as below
+        prints = {(r["season"], r["month"]): r["fingerprint"] for r in found}
+        stored = [r.asDict() for r in read_manifest(spark, root).where("fingerprint IS NOT NULL").collect()]
+        same = [r for r in stored if prints.get((r["season"], r["month"])) == r["fingerprint"]]
+        if len(same) == len(prints):
+            return Staged(root, version, same)
+        for r in same:
+            monthly = monthly.where((F.col("season") != r["season"]) | (F.col("month") != r["month"]))
+    write_table(monthly.withColumn("version", F.lit(version)), root, codec, [*PARTS, "version"], mode="append")
     versioned = T.StructType([*STORE_SCHEMA.fields, T.StructField("version", T.StringType())])
     try:
         written = (spark.read.schema(versioned).option("basePath", root)
@@ -67,8 +93,10 @@ def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return Staged(root, version, [])  # there were no rows
-    return Staged(root, version, measure(written).collect())  # one row per month
+        return Staged(root, version, same)  # there were no rows
+    new = [{**r.asDict(), "version": version, "fingerprint": prints.get((r["season"], r["month"]))}
+           for r in measure(written).collect()]
+    return Staged(root, version, [*same, *new])
 
 
 def commit_months(spark: SparkSession, staged: Staged, is_complete, drop_season: int | None = None) -> None:
@@ -78,7 +106,7 @@ def commit_months(spark: SparkSession, staged: Staged, is_complete, drop_season:
     """
     if not staged.rows:
         return
-    found = [r.asDict() | {"is_complete": None, "version": staged.version} for r in staged.rows]
+    found = [{**r, "is_complete": None} for r in staged.rows]
     new = spark.createDataFrame([tuple(r[f] for f in MANIFEST_SCHEMA.fieldNames()) for r in found], MANIFEST_SCHEMA)
     new = new.withColumn("is_complete", is_complete)
 

@@ -19,6 +19,8 @@ def test_large_lookup_gives_the_same_rows(spark, how):
     large = lookup_join(df, lookup, ["k", "s"], "_rows", how, limit=0)
     assert small.columns == large.columns
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    uncounted = lookup_join(df, lookup.drop("_rows"), ["k", "s"], None, how, limit=0)
+    assert sorted(map(str, uncounted.collect())) == sorted(map(str, small.collect()))
     plain = df.join(lookup.drop("_rows"), ["k", "s"], how)
     assert small.count() == plain.count()
 

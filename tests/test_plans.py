@@ -1,14 +1,18 @@
 """What the physical plans must look like, whatever the data size."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from pitchrank.operators import clean as C
 from pitchrank.operators import features as X
 from pitchrank.operators import profile as R
+from pitchrank.operators.scale import apply_scaler, fit_scaler
 from pitchrank.operators.tunnel import add_tunnel_features
+from pitchrank.operators.validate import rank_correlations
 from pitchrank.operators.zscore import add_zscores
-from pitchrank.params import DEFAULTS, PROFILE_KEYS, Settings
+from pitchrank.params import DEFAULTS, LABEL, PROFILE_KEYS, Settings
 from pitchrank.session import materialize
 
 
@@ -62,3 +66,28 @@ def test_nothing_runs_in_python(spark, stored):
                          Settings(min_pitches_per_type=3))
     assert "Python" not in plan(profiles) and "Pandas" not in plan(profiles)
     assert set(PROFILE_KEYS) <= set(profiles.columns)
+
+
+def jobs_of(spark, build):
+    """How many Spark jobs building a result and reading all of it takes."""
+    group = f"counted-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        build().write.format("noop").mode("overwrite").save()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_lookups_take_few_jobs(spark, stored):
+    """The scaler is weighed and broadcast; the rows it is joined to are not counted for that."""
+    rows = materialize(R.summarize(X.build_features(C.label_and_group(stored)), DEFAULTS), "rows")
+    assert jobs_of(spark, lambda: apply_scaler(rows, fit_scaler(rows, LABEL), LABEL)) <= 4
+
+
+def test_rank_correlations_take_few_jobs_and_no_join_on_a_value(spark, stored):
+    rows = materialize(R.summarize(X.build_features(C.label_and_group(stored)), DEFAULTS).withColumn(
+        "score", F.col(LABEL)), "rows")
+    assert jobs_of(spark, lambda: rank_correlations(rows)) <= 12
+    p = plan(rank_correlations(rows))
+    assert not [line for line in p.splitlines() if "Join" in line and "value#" in line]

@@ -212,8 +212,8 @@ def test_replacement_is_seen_at_once(spark, pitches, tmp_path):
     assert ids(S.read_store(spark, root)) == [0, 1, 2] and len(staged.rows) == 1  # written, not visible
     with pytest.raises(Exception, match="no such pitch"):
         bad = pitches(days("2026-03-30", "2026-04-02", first=20)).repartition(2, "game_pk")
-        L.replace_months(spark, bad.withColumn("release_speed", F.when(F.col("game_pk") == 21, F.raise_error(F.lit("no such pitch")))
-                                               .otherwise(F.lit(90.0)).cast("double")), root, date(2026, 5, 1))
+        L.stage_months(spark, bad.withColumn("release_speed", F.when(F.col("game_pk") == 21, F.raise_error(F.lit("no such pitch")))
+                                             .otherwise(F.lit(90.0)).cast("double")), root, skip_same=False)
     assert ids(S.read_store(spark, root)) == [0, 1, 2]
     L.commit_months(spark, staged, F.lit(True))
     assert ids(S.read_store(spark, root)) == [2, 10]
@@ -233,8 +233,36 @@ def test_writers_that_meet_lose_nothing(spark, pitches, tmp_path):
         if not met:
             met.append(1)
             L.commit_months(spark, april, F.lit(True))  # another writer comes in between
-        return old.unionByName(spark.createDataFrame([(1, 1, None, False, 2026, 3, march.version)], old.schema))
+        return old.unionByName(spark.createDataFrame([(1, 1, None, False, 2026, 3, march.version, None)], old.schema))
 
     V.commit(spark, root, change)
     assert ids(S.read_store(spark, root)) == [0, 1]
     assert {(r.month, r.is_complete) for r in L.read_manifest(spark, root).collect()} == {(3, False), (4, True)}
+
+
+def test_unchanged_months_are_not_written_again(spark, pitches, tmp_path):
+    root, today = str(tmp_path / "raw"), date(2026, 6, 1)
+    rows = pitches(days("2026-03-27", "2026-03-28", "2026-04-01"))
+
+    def files():
+        return {f for _, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+    L.replace_months(spark, rows, root, today)
+    before, listed = files(), L.read_manifest(spark, root).select("month", "version", "fingerprint").collect()
+    # the same rows in other files, another order and with other types
+    other = rows.repartition(3, "game_pk").withColumn("game_date", F.col("game_date").cast("string"))
+    L.replace_months(spark, other.select(*reversed(other.columns)), root, today)
+    assert files() == before
+    assert sorted(L.read_manifest(spark, root).select("month", "version", "fingerprint").collect()) == sorted(listed)
+    # one value moves to another column: its month is written, the other is not
+    moved = rows.withColumns({"ax": F.when(F.col("game_pk") == 0, F.col("az")).otherwise(F.col("ax")),
+                              "az": F.when(F.col("game_pk") == 0, F.col("ax")).otherwise(F.col("az"))})
+    L.replace_months(spark, moved, root, today)
+    now = {r.month: r.version for r in L.read_manifest(spark, root).collect()}
+    old = {r.month: r.version for r in listed}
+    assert now[4] == old[4] and now[3] != old[3] and files() > before
+    # a repeated row counts
+    L.replace_months(spark, S.union_tables(rows, rows.where("game_pk = 2")), root, today)
+    assert ids(S.read_store(spark, root)) == [0, 1, 2, 2]
+    L.replace_months(spark, rows.limit(0), root, today)
+    assert ids(S.read_store(spark, root)) == [0, 1, 2, 2]
