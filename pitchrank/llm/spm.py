@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pitchrank.llm.textbytes import U, Words, bounded, buffers, mix, slices, word_hashes
+from pitchrank.llm.textbytes import U, Words, bounded, buffers, mix, ranges, slices, word_hashes
 
 BLANK = 0x2581
 BASE = 0x9E3779B97F4A7C55
@@ -155,9 +155,11 @@ class Encoder:
 
     CACHE = 1 << 20   # pairs of pieces kept
     WORDS = 1 << 19   # words kept
+    LONG = 64         # characters of a word that is cut before it is searched
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.joints = None  # neighbouring characters within pieces, once a long word comes
         self.power = U(BASE) ** np.arange(1 << 8, dtype=U)
         self.pair_keys = np.full(self.CACHE, ~U(0), U)
         self.pair_fits = np.zeros(self.CACHE, bool)
@@ -222,7 +224,8 @@ class Encoder:
         chars = np.add.reduceat(head, np.cumsum(length) - length).astype(np.int64)
         codes = np.where(codes == 0x20, BLANK, codes).astype(np.int64)
         begin = np.cumsum(chars) - chars
-        steps, counts = [], np.zeros(len(lead), np.int64)
+        begin, chars, held = self._cut(codes, begin, chars)
+        steps, counts = [], np.zeros(len(begin), np.int64)
         order = np.argsort(chars, kind="stable")
         cuts = np.flatnonzero(np.diff(chars[order], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -234,10 +237,33 @@ class Encoder:
                 counts[group] = count
                 steps.append(found)
         ids = np.concatenate(steps)
-        where = np.empty(len(lead), np.int64)
+        where = np.empty(len(begin), np.int64)
         where[order] = np.cumsum(counts[order]) - counts[order]
         ids, first = self._fall_back(ids, where, counts)
-        return ids, first
+        return ids, first[held]
+
+    def _cut(self, codes: np.ndarray, begin: np.ndarray, chars: np.ndarray):
+        """Parts of the words, their sizes, and the first part of each word; a word of up to ``LONG`` characters is one.
+
+        Longer ones, such as text written without blanks, are cut wherever no piece holds the
+        characters on both sides of the cut. No piece and no merge reaches over it, so the ids
+        of the parts are those of the word, and the parts are searched side by side.
+        """
+        long = np.flatnonzero(chars > self.LONG)
+        held = np.arange(len(begin) + 1)
+        if not len(long):
+            return begin, chars, held
+        if self.joints is None:
+            pairs = {ord(a) << 32 | ord(b) for p in self.v.pieces for a, b in zip(p, p[1:])}
+            self.joints = np.array(sorted(pairs), np.int64)
+        inside = np.zeros(len(codes), bool)
+        inside[ranges(begin[long] + 1, chars[long] - 1)] = True
+        at = np.flatnonzero(inside)
+        joint = codes[at - 1] << 32 | codes[at]
+        near = np.minimum(np.searchsorted(self.joints, joint), max(len(self.joints) - 1, 0))
+        free = at[self.joints[near] != joint] if len(self.joints) else at
+        every = np.union1d(begin, free)
+        return every, np.diff(every, append=len(codes)), np.append(np.searchsorted(every, begin), len(every))
 
     def _fall_back(self, ids, where, counts):
         """Puts byte pieces in place of unknown characters, and the words in order."""
@@ -364,7 +390,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for part in slices(batches, text_col, 1 << 20):
+        for part in slices(batches, text_col, 4 << 20):  # new words of many texts are searched together
             column = part.column(text_col)
             ids, first = encoder.encode(column)
             yield part.append_column(out, _lists(ids, first, column))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -24,6 +26,18 @@ def test_ids_equal_the_library(vocabulary):
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [model.encode(t) for t in TEXTS]
 
 
+def test_long_unbroken_words_equal_the_library(vocabulary):
+    """Texts without blanks are cut where no piece reaches over, which changes no id and keeps the time in bounds."""
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    signs = "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(200_000))
+    mixed = "".join(f"{chr(0x4E00 + k * 31 % 9000)}日本語テキストabc" if k % 3 else "Donaudampfschifffahrt" for k in range(300))
+    texts = [signs, mixed, "é" * 70 + "x" * 70 + "日" * 70, ("y" * 63 + "語") * 5, "a b " + "語x" * 40 + " c", "\u0301" * 200]
+    began = time.process_time()
+    ids, first = spm.Encoder(vocabulary).encode(pa.array(texts))
+    assert time.process_time() - began < 20
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [model.encode(t) for t in texts]
+
+
 def test_documents_equal_the_library(spark, vocabulary):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
