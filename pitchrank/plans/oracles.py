@@ -371,6 +371,7 @@ GROUP BY description ORDER BY n DESC, description LIMIT 10"""),
     "display_name": _sql("names", "SELECT pitcher, player_name FROM names"),
     "profile": _sql("profiles", f"SELECT {_PROFILE_OUT} FROM profiles"),
     "profile_two_scans": _sql("profiles", f"SELECT {_PROFILE_OUT} FROM profiles"),
+    "profile_co_located": _sql("profiles", f"SELECT {_PROFILE_OUT} FROM profiles"),
     "profile_incremental": _sql("profiles", f"SELECT {_PROFILE_OUT} FROM profiles"),
     "type_summary": _sql("profiles", """
 SELECT pitch_type, count(*) AS profiles, CAST(sum(n_pitches) AS BIGINT) AS total_pitches FROM profiles GROUP BY pitch_type"""),

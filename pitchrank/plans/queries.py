@@ -447,6 +447,14 @@ def profile_two_scans(spark, d):
     return tidy(profiles(spark, d))
 
 
+@query
+def profile_co_located(spark, d):
+    """Profiles from pitches that are stored by pitcher, without a shuffle of pitches."""
+    path = scratch_path(spark, "bucketed")
+    table = f"pitches_{path.rsplit('-', 1)[1]}"
+    return tidy(profiles_from_raw(S.write_bucketed(pitch_view(spark, d), table, path, 8), SHARED))
+
+
 @query
 def profile_incremental(spark, d):
     """Profiles after two deliveries, the second of which is all that the second call reads."""

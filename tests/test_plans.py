@@ -14,6 +14,7 @@ from pitchrank.operators.validate import rank_correlations
 from pitchrank.operators.zscore import add_zscores
 from pitchrank.params import DEFAULTS, LABEL, PROFILE_KEYS, Settings
 from pitchrank.session import materialize
+from pitchrank.sources.tables import open_bucketed, write_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +92,20 @@ def test_rank_correlations_take_few_jobs_and_no_join_on_a_value(spark, stored):
     assert jobs_of(spark, lambda: rank_correlations(rows)) <= 12
     p = plan(rank_correlations(rows))
     assert not [line for line in p.splitlines() if "Join" in line and "value#" in line]
+
+
+def test_pitches_stored_by_pitcher_are_not_shuffled(spark, stored, tmp_path):
+    from pitchrank.plans import fused
+
+    settings = Settings(min_pitches_per_season=20, min_pitches_per_type=3)
+    path = str(tmp_path / "bucketed")
+    table = write_bucketed(stored, "stored_by_pitcher", path, 4)
+    assert "Exchange" not in plan(fused.pitcher_seasons(table, settings))
+    rows, _ = fused.prepare(table, settings)
+    assert "Exchange hashpartitioning" not in plan(R.summarize(rows, settings))
+    assert "Exchange hashpartitioning" in plan(R.summarize(fused.prepare(stored, settings)[0], settings))
+    spark.sql("DROP TABLE stored_by_pitcher")  # another session knows only the folder
+    again = open_bucketed(spark, "stored_again", path, 4, stored.schema)
+    assert "Exchange" not in plan(fused.pitcher_seasons(again, settings))
+    assert sorted(map(str, again.collect())) == sorted(map(str, stored.select(*again.columns).collect()))
+    spark.sql("DROP TABLE stored_again")
