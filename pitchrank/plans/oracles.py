@@ -301,6 +301,8 @@ SELECT season, month, CAST(CASE WHEN first THEN 1 ELSE 2 END AS BIGINT) AS lates
   FROM pitch WHERE game_date IS NOT NULL GROUP BY ALL)
 SELECT moment, season, rows, {_r(speed="speed * CASE WHEN season = 1997 AND moment = 'committed' THEN 2 ELSE 1 END")}
 FROM seasons, (VALUES ('written'), ('failed'), ('committed')) m(moment)"""),
+    "pitcher_scan": _sql("pitch", f"""
+SELECT {_ID}, pitcher, pitch_type, {_r('release_speed')}, true AS less_than_half FROM pitch WHERE pitcher = 103"""),
     "unchanged_months": _sql("pitch", """
 SELECT CAST(year(game_date) AS INTEGER) AS season, CAST(month(game_date) AS INTEGER) AS month, count(*) AS rows,
   NOT bool_or(year(game_date) = 1997 AND release_speed > 103) AS same_rows,

@@ -205,6 +205,20 @@ def cache_summary(spark, d):
                                              (F.col("size_mb") == F.col("mb")).alias("size_agrees"))
 
 
+@query
+def pitcher_scan(spark, d):
+    """One pitcher's pitches from a clustered store, and whether less than half of all rows left the files for it.
+
+    The months of this table are short; the share falls as they grow.
+    """
+    root = scratch_path(spark, "store")
+    L.replace_months(spark, pitch_view(spark, d), root, _TODAY, clustered=True, page_rows=64)
+    stored = S.read_store(spark, root)
+    one = stored.where("pitcher = 103").select(*ID, "pitcher", "pitch_type", "release_speed")
+    read = S.rows_scanned(one)
+    return tidy(one.withColumn("less_than_half", F.lit(read) * 2 < F.lit(stored.count())))
+
+
 @query
 def unchanged_months(spark, d):
     """All months delivered twice, the second time in other files and with the fastest pitches of 1997

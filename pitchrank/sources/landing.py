@@ -19,7 +19,7 @@ from pitchrank.functions.codes import round_even
 from pitchrank.params import DEFAULTS, Settings
 from pitchrank.schema import MANIFEST_SCHEMA, PITCH_SCHEMA, as_pitches, game_day
 from pitchrank.sources.calendar import season_months, season_range
-from pitchrank.sources.tables import STORE_SCHEMA, read_store, write_table
+from pitchrank.sources.tables import STORE_SCHEMA, by_pitcher_and_type, read_store, write_table
 from pitchrank.sources.versions import commit, new_version, read_manifest
 
 PARTS = ("season", "month")
@@ -68,7 +68,8 @@ def fingerprints(monthly: DataFrame) -> DataFrame:
     return monthly.groupBy(*PARTS).agg(F.concat_ws(":", F.count(F.lit(1)), total.cast("string")).alias("fingerprint"))
 
 
-def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "snappy", skip_same: bool = True) -> Staged:
+def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "snappy", skip_same: bool = True,
+                 clustered: bool = False, page_rows: int | None = None) -> Staged:
     """Write the months that ``rows`` holds to folders of a new version; readers see nothing of it.
 
     Unless ``skip_same`` is off, ``rows`` are first read for their fingerprints, and months
@@ -85,7 +86,8 @@ def stage_months(spark: SparkSession, rows: DataFrame, root: str, codec: str = "
             return Staged(root, version, same)
         for r in same:
             monthly = monthly.where((F.col("season") != r["season"]) | (F.col("month") != r["month"]))
-    write_table(monthly.withColumn("version", F.lit(version)), root, codec, [*PARTS, "version"], mode="append")
+    layout = {"order": by_pitcher_and_type(monthly), "bloom": ["pitcher"], "page_rows": page_rows} if clustered else {}
+    write_table(monthly.withColumn("version", F.lit(version)), root, codec, [*PARTS, "version"], mode="append", **layout)
     versioned = T.StructType([*STORE_SCHEMA.fields, T.StructField("version", T.StringType())])
     try:
         written = (spark.read.schema(versioned).option("basePath", root)
@@ -189,14 +191,14 @@ def refresh_months(spark: SparkSession, landing: DataFrame, root: str, season: i
 
 
 def replace_months(spark: SparkSession, rows: DataFrame, root: str, today: date,
-                   codec: str = "snappy", may_close: bool = True) -> None:
+                   codec: str = "snappy", may_close: bool = True, **layout) -> None:
     """Replace every month that ``rows`` holds, and its manifest row, in one commit.
 
     ``rows`` are read once. Months the calendar has passed are complete, unless
-    ``may_close`` is false.
+    ``may_close`` is false. ``layout`` is that of ``stage_months``.
     """
     passed = month_first() < F.lit(today.replace(day=1))
-    commit_months(spark, stage_months(spark, rows, root, codec), passed if may_close else F.lit(False))
+    commit_months(spark, stage_months(spark, rows, root, codec, **layout), passed if may_close else F.lit(False))
 
 
 def cache_summary(manifest: DataFrame) -> DataFrame:

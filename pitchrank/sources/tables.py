@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchrank.params import DEFAULTS, SCORE, Settings
+from pitchrank.params import DEFAULTS, FASTBALLS, MODEL_TYPES, SCORE, Settings
 from pitchrank.schema import PITCH_SCHEMA
 from pitchrank.sources.versions import has_commits, month_folders, read_manifest
 
 CODECS = ("snappy", "zstd", "gzip", "none")
+PITCH_CODES = tuple(sorted({*FASTBALLS, *MODEL_TYPES}))
 
 
 STORE_SCHEMA = T.StructType([*PITCH_SCHEMA.fields, T.StructField("season", T.IntegerType()),
@@ -50,25 +51,71 @@ def read_table(spark: SparkSession, path: str, columns=None, schema: T.StructTyp
 
 
 def write_table(df: DataFrame, path: str, codec: str = "snappy", partition_by=(),
-                mode: str = "overwrite", overwrite: str = "static") -> None:
+                mode: str = "overwrite", overwrite: str = "static", order=None, bloom=(), page_rows: int | None = None) -> None:
     """Write a Parquet table.
 
     A partitioned write is first rebalanced on the partition columns: small
     partitions share tasks, and one that holds much of the data is split over
-    several tasks and files.
+    several tasks and files. Rows are put into ``order`` (a column) within each file, so
+    that readers skip pages by their bounds; ``bloom`` columns get a filter per row group,
+    and ``page_rows`` bounds a page.
     """
     if codec not in CODECS:
         raise ValueError(f"codec must be one of {', '.join(CODECS)}")
     out = df
     if partition_by:
         out = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    if order is not None:
+        out = out.withColumn("_order", order).sortWithinPartitions(*partition_by, "_order").drop("_order")
     writer = (out.write.mode(mode).option("compression", codec)
                  .option("partitionOverwriteMode", overwrite))
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if page_rows:
+        writer = writer.option("parquet.page.row.count.limit", page_rows)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def interleaved(*ranks, bits: int = 8):
+    """One key from several whole numbers of ``bits`` bits, taking a bit of each in turn, the highest first.
+
+    Rows close in this key are close in every number, so files in its order can be skipped by
+    any of them.
+    """
+    key = F.lit(0).cast("long")
+    for bit in range(bits):
+        for n, rank in enumerate(ranks):
+            one = F.shiftright(rank.cast("long"), bit).bitwiseAND(F.lit(1))
+            key = key + F.shiftleft(one, bit * len(ranks) + len(ranks) - 1 - n)
+    return key
+
+
+def by_pitcher_and_type(pitches: DataFrame, types=PITCH_CODES):
+    """The order in which both one pitcher's and one type's pitches lie together.
+
+    Reads the least and the largest pitcher once. Pitchers fall into 256 even ranges, types
+    into places of the sorted ``types``; unknown ones come last.
+    """
+    low, high = pitches.agg(F.min("pitcher"), F.max("pitcher")).first()
+    if low is None:
+        return F.lit(0)
+    place = F.floor((F.col("pitcher") - low) * 255 / max(high - low, 1))
+    names = sorted(types)
+    known = F.array_position(F.array(*[F.lit(t) for t in names]), F.col("pitch_type"))
+    kind = F.floor((F.when(known > 0, known - 1).otherwise(len(names))) * 255 / len(names))
+    return interleaved(F.coalesce(place, F.lit(255)), F.coalesce(kind, F.lit(255)))
+
+
+def rows_scanned(df: DataFrame) -> int:
+    """Rows that the scans of a plan without a shuffle hand on after skipping row groups and pages; runs it once."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    leaves = execution.executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, by: str = "pitcher", sort=("pitch_type",)) -> DataFrame:
     """Store pitches dealt to ``buckets`` by pitcher, each bucket one sorted file, and return the table.
 

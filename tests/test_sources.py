@@ -266,3 +266,25 @@ def test_unchanged_months_are_not_written_again(spark, pitches, tmp_path):
     assert ids(S.read_store(spark, root)) == [0, 1, 2, 2]
     L.replace_months(spark, rows.limit(0), root, today)
     assert ids(S.read_store(spark, root)) == [0, 1, 2, 2]
+
+
+def test_clustered_months_are_skipped_by_pitcher_and_by_type(spark, pitches, tmp_path):
+    rows = spark.range(40000).select(F.date_add(F.lit("2026-03-27").cast("date"), (F.col("id") % 40).cast("int")).alias("game_date"),
+                                     F.col("id").alias("game_pk"), (400000 + F.pmod(F.xxhash64("id"), F.lit(400))).alias("pitcher"),
+                                     F.element_at(F.array(*[F.lit(t) for t in ("FF", "SL", "CH", "CU", "??")]),
+                                                  (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) + 1).cast("int")).alias("pitch_type"))
+    share = {}
+    for name, layout in (("plain", {}), ("clustered", {"clustered": True, "page_rows": 200})):
+        root = str(tmp_path / name)
+        L.replace_months(spark, rows.repartition(3), root, date(2026, 6, 1), **layout)
+        stored = S.read_store(spark, root)
+        assert ids(stored) == list(range(40000))
+        for wanted in ("pitcher = 400123", "pitch_type = 'CU'"):
+            found = stored.where(wanted)
+            assert found.count() == rows.where(wanted).count()
+            share[name, wanted] = S.rows_scanned(found.select("game_pk", "pitcher", "pitch_type")) / 40000
+    assert share["plain", "pitcher = 400123"] > 0.9
+    assert share["clustered", "pitcher = 400123"] < 0.15 and share["clustered", "pitch_type = 'CU'"] < 0.5
+    key = spark.range(1).select(S.interleaved(F.lit(0b101), F.lit(0b011), bits=3)).first()[0]
+    assert key == 0b100111
+    L.replace_months(spark, rows.limit(0), str(tmp_path / "none"), date(2026, 6, 1), skip_same=False, clustered=True)
