@@ -7,6 +7,7 @@ texts there are. No word ever reaches over the end of its text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -188,6 +189,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20)
                 yield from _joined(held)
                 held, size = [], 0
     yield from _joined(held)
+    if not isinstance(batches, list):
+        held = []
+        _give_back()  # the worker stays for later tasks; what its allocators keep would add to theirs
+
+
+def _give_back() -> None:
+    """Return memory that is free, but kept, to the system; once a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
 
 
 def _joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
