@@ -70,6 +70,13 @@ def test_ids_with_several_texts_and_extra_columns(spark, tmp_path):
     assert done.columns[:7] == docs.columns
     got = sorted(((r.doc_id, r.text, r.class_id, r.score) for r in done.collect()), key=str)
     assert got == sorted(((i, t, "mine", 7) for i, t in [*rows[:2], *rows[4:]]), key=str)
+    names = ("score", "evidence", "class_id", "class_key", "n_words", "kept", "removed", "hits", "ids", "n_tokens", "decoded")
+    odd = spark.createDataFrame([(1, "a b c", *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for name, function in C.STAGES:
+        out = function(spark, odd, root).first().asDict()
+        added = {"ids", "n_tokens"} if name == "sentencepiece" else set()
+        assert {c: out[c] for c in names if c not in added} == {c: c for c in names if c not in added}
+        assert all(out[c] != c for c in added)
 
 
 def test_empty_documents(spark, tmp_path):
