@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,26 @@ from pitchrank.llm.substring import mark_repeats
 from pitchrank.session import materialize
 
 
+READ = ("doc_id", "text", "n_chars")  # what the stages themselves read or change
+
+
+def stage(fn):
+    """A stage that leaves the user's other columns alone, whatever names it uses itself.
+
+    They go through under other names. One named like a column that the stage adds to its
+    result is replaced by that.
+    """
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        away = {c: f"_own_{c}" for c in docs.columns if c not in READ}
+        done = fn(spark, docs.withColumnsRenamed(away), sf_dir)
+        replaced = [c for c in away if c in done.columns]
+        return done.drop(*[away[c] for c in replaced]).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a toxicity score of 0.5 or more; learns from all labelled ones.
 
@@ -26,6 +48,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, index).where("score < 0.5").select(*docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, once.
 
@@ -39,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         done.where(lone).select(*docs.columns))
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 13 words or more that an earlier document has.
 
@@ -53,12 +77,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return done.select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return find_items(docs, items).where(F.size("hits") == 0).select(*docs.columns)
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the piece ids of each text and checks that they decode to it."""
     return piece_ids(docs)
