@@ -16,7 +16,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import functions as F, types as T  # noqa: E402
 
 from pitchrank.fixtures import pitch_view  # noqa: E402
 from pitchrank.models.scoring import score_profiles  # noqa: E402
@@ -31,6 +31,7 @@ from pitchrank.operators.zscore import add_zscores  # noqa: E402
 from pitchrank.params import LABEL, Settings  # noqa: E402
 from pitchrank.plans.fused import profiles_from_raw  # noqa: E402
 from pitchrank.plans.queries import QUERIES  # noqa: E402
+from pitchrank.schema import PITCH_SCHEMA  # noqa: E402
 from pitchrank.session import build_session, materialize  # noqa: E402
 
 RUNS = 3
@@ -45,7 +46,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     settings = Settings() if sf_dir.rstrip("/").endswith("sf0.1") else Settings(min_pitches_per_type=20)
 
-    # the tables come as one file; a store of this size would be several
+    # the tables come as one file; a store of this size would be several. Columns the view lacks
+    # are filled, so that a season is read with all its declared columns
+    view = pitch_view(spark, sf_dir)
+    filler = {T.StringType(): F.col("description"), T.DoubleType(): F.col("release_speed") * F.rand(1)}
+    view = view.withColumns({f.name: filler.get(f.dataType, F.col("game_pk") % 97).cast(f.dataType)
+                             for f in PITCH_SCHEMA if f.name not in view.columns})
+    whole = materialize(view.repartition(int(cpus)), "whole")
     raw = materialize(pitch_view(spark, sf_dir).repartition(int(cpus)), "raw")
     cleaned = materialize(clean(raw, settings), "clean")
     features = materialize(build_features(cleaned, settings), "features")
@@ -55,8 +62,8 @@ def main() -> None:
     scored = materialize(apply_scaler(profiles, fit_scaler(profiles, LABEL), LABEL), "scored")
 
     queries = {
-        "season_read": lambda: raw,
-        "season_read_4_columns": lambda: raw.select("pitcher", "pitch_type", "release_speed", "game_date"),
+        "season_read": lambda: whole,
+        "season_read_4_columns": lambda: whole.select("pitcher", "pitch_type", "release_speed", "game_date"),
         "clean": lambda: clean(raw, settings),
         "physics_features": lambda: build_features(cleaned, settings),
         "profile": lambda: prof.profile(features, settings),
@@ -79,6 +86,7 @@ def main() -> None:
         times = [timed(build) for _ in range(RUNS + 1)]
         seconds[name] = round(statistics.median(times[1:]), 3)
     # the dear ones, once each
+    seconds["profile_incremental"] = round(timed(lambda: QUERIES["profile_incremental"](spark, sf_dir)), 3)
     seconds["refresh_months"] = round(timed(lambda: QUERIES["refresh_months"](spark, sf_dir)), 3)
     seconds["stream_ingest"] = round(timed(lambda: QUERIES["stream_ingest"](spark, sf_dir)), 3)
     models: dict = {}
