@@ -33,7 +33,8 @@ def near_classes(rows, threshold=0.8):
     whole = [(i, t, bag(t)) for i, t in rows if i is not None and t is not None]
     for n, (i, t, b) in enumerate(whole):
         for j, u, c in whole[:n]:
-            if t == u or (b and c and jaccard(b, c) >= threshold - 1e-9):
+            less, more = sorted((sum(b.values()), sum(c.values())))
+            if t == u or (less >= threshold * more - 1e-6 and b and c and jaccard(b, c) >= threshold - 1e-9):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}

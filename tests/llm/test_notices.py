@@ -49,7 +49,7 @@ def spoil(text, seed, n):
 
 
 TEXTS = [" ".join(prose(k, k % 9)) + " " + spoil(n.text.title() + n.tail, k, k % (n.edits + 3)) + ". " + " ".join(prose(k + 1, 4))
-         for k, n in enumerate(N.NOTICES * 2)] + [
+         for k, n in enumerate(N.NOTICES)] + [
     None, "", "...", "Released under the MIT License.", "UNDER THE MIT-license, under the mit license; under the mitt license",
     "cc by nc cc by nc CC-BY-NC 4.0", "apache license version 20", "Apache License, Version 2.0", "the mit license",
     "Licensed under the Apache License, Version 1.1", "licenced under the apache licence, version 2.0!",
