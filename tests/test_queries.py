@@ -15,7 +15,9 @@ SF_DIR = os.environ.get("PITCHRANK_SF_DIR", "/root/testdata/sf0.01")
 QUICK = ("normalize_codes", "season_of", "run_value", "count_leverage", "velocity_floors", "min_group_count",
          "min_group_count_events", "season_calendar", "month_ranges", "speed_diff", "clean_report",
          "unknown_descriptions", "profile_two_scans", "nearest_in_group", "zscore_events",
-         "leaderboard_top20", "career", "spearman_by_type", "score_histogram", "tunnel_summary", "train_set")
+         "leaderboard_top20", "career", "spearman_by_type", "score_histogram", "tunnel_summary", "train_set",
+         "boost_first_split", "stream_close", "replace_visible", "unchanged_months", "pitcher_scan", "profile_incremental",
+         "profile_co_located")
 NAMES = list(E.oracle_sql()) if os.environ.get("PITCHRANK_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
