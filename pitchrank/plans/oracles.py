@@ -399,8 +399,14 @@ SELECT event_id, event_type, {_r(z_value='''CASE WHEN stddev_samp(value) OVER (P
     "leaderboard_group": _sql("board", f"SELECT {_BOARD} FROM board WHERE pitch_group = 'breaking'"),
     "leaderboard_recent": _sql("recent_board", f"SELECT {_BOARD} FROM recent_board"),
     "leaderboard_top20": _sql("recent_board", f"SELECT {_BOARD} FROM recent_board ORDER BY recent_board.score DESC, pitcher, pitch_type LIMIT 20"),
-    "leaderboard_all_types": _sql("recent_board", f"SELECT {_BOARD} FROM recent_board"),
-    "leaderboard_all_groups": _sql("recent_board", f"SELECT {_BOARD} FROM recent_board"),
+    "leaderboard_all_types": _sql("recent_board", f"""
+SELECT {_BOARD}, CAST(row_number() OVER (PARTITION BY pitch_type ORDER BY recent_board.score DESC, pitcher, pitch_type) AS INTEGER)
+  AS place
+FROM recent_board"""),
+    "leaderboard_all_groups": _sql("recent_board", f"""
+SELECT {_BOARD}, CAST(row_number() OVER (PARTITION BY pitch_group ORDER BY recent_board.score DESC, pitcher, pitch_type) AS INTEGER)
+  AS place
+FROM recent_board"""),
     "top20_events": f"SELECT event_id, {_r('value')} FROM events ORDER BY events.value DESC, event_id LIMIT 20",
     "career": _sql("scored", f"""
 SELECT pitcher, player_name, pitch_type,

@@ -7,7 +7,7 @@ from dataclasses import replace
 from datetime import date
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -559,14 +559,20 @@ def leaderboard_top20(spark, d):
     return tidy(B.top(B.leaderboard(B.most_recent(scaled(spark, d)), 20)))
 
 
+def _with_places(board: DataFrame, column: str) -> DataFrame:
+    """The place of each line of a board among those of its type or group, by the order the lines come in."""
+    lines = board.withColumn("_line", F.monotonically_increasing_id())
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy(column).orderBy("_line"))).drop("_line")
+
+
 @query
 def leaderboard_all_types(spark, d):
-    return tidy(B.leaderboards_by(B.most_recent(scaled(spark, d)), "pitch_type", 20))
+    return tidy(_with_places(B.leaderboards_by(B.most_recent(scaled(spark, d)), "pitch_type", 20), "pitch_type"))
 
 
 @query
 def leaderboard_all_groups(spark, d):
-    return tidy(B.leaderboards_by(B.most_recent(scaled(spark, d)), "pitch_group", 20))
+    return tidy(_with_places(B.leaderboards_by(B.most_recent(scaled(spark, d)), "pitch_group", 20), "pitch_group"))
 
 
 @query
