@@ -211,6 +211,8 @@ def fit_boosters(rows: DataFrame, inputs: list[str], target: str, params: dict[s
     fallen for ``patience`` rounds; the trees after the best round are dropped. The driver
     holds trees and sums of a few groups; their rows may be any number.
     """
+    if not params:
+        return {}
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     numbers = [F.col(c).cast("double") for c in inputs]
     used = materialize(rows.where(F.col(group).isin(list(params)) & F.col(split).isin("train", "val")).select(

@@ -97,6 +97,8 @@ def train_models(df: DataFrame, val_season: int | None = None, types=None,
     params = {t: settings.small_boost if n < settings.small_model_below else settings.standard_boost
               for t, n in sizes.items()}
     boosters = fit_boosters(chosen, inputs, P.LABEL, params, "n_pitches" if "n_pitches" in df.columns else None)
+    if not boosters:
+        return {}
     scored = materialize(
         with_predictions(chosen, boosters, RAW).select("pitch_type", "split", P.LABEL, RAW), "fitted")
     scalers = {r["pitch_type"]: r.asDict() for r in fit_scaler(scored.where("split = 'train'"), RAW, settings).collect()}

@@ -118,5 +118,6 @@ def test_importance(spark, models):
 
 
 def test_no_models(profiles):
+    assert M.train_models(profiles, val_season=2023, settings=FAST) == {}  # no earlier season to learn from
     out = score_profiles(profiles, {})
     assert out.count() == profiles.count() and out.where("score IS NOT NULL").count() == 0
