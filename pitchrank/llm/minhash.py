@@ -31,19 +31,22 @@ from pitchrank.session import materialize
 # At a similarity of 0.8 a pair shares no band with a probability of
 # (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
+CELLS = 256         # of a sketch
+BLOCK = 4096        # members of a bucket that are compared with as many others in one go
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id",
-                    text_col: str = "text", bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
+                    text_col: str = "text", bands: int = BANDS, rows: int = ROWS, exact: bool = True) -> DataFrame:
     """``docs`` with ``class_id``: the smallest id among the documents it is a near copy of.
 
     Documents are linked if their texts are equal, or if the weighted Jaccard similarity of
     their shingles of ``size`` words is ``threshold`` or more (a text of fewer words is one
     shingle; words are runs of anything but white space). Classes are the connected
-    components of these links. Every link is verified exactly. Candidates are those that share
-    a signature band; in a band's bucket that stays divided a document is compared with
-    representatives of the other classes (see ``_classes``), and with all of them if ``exact``,
-    which takes time with the square of the largest bucket.
+    components of these links. Every link is verified exactly. Candidates are all pairs that
+    share a signature band: none is left out, however large a bucket is, but those whose
+    documents are in one class anyway. In a bucket that stays divided a document meets
+    representatives of the other classes first and then all their members by sketches (see
+    ``_classes``). Without ``exact`` only the representatives are met.
 
     Texts without words are alike only if equal. A row with a null text or a null id is a
     class of its own, ``class_id`` being its id. ``class_key`` is the MD5 of the text that
@@ -154,21 +157,23 @@ def _classes(keyed: DataFrame, texts: DataFrame, threshold: float, size: int, ex
         F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = materialize(_verify(tried, bodies, threshold, size), "alike")
     found = materialize(components(links), "components")
+    n_links, stale = links.count(), False
     while True:
         pairs = materialize(_untried(_to_representatives(members, found), tried), "pairs")
         fresh = materialize(_verify(pairs, bodies, threshold, size), "alike")
-        if fresh.isEmpty():
-            break
-        tried, links = tried.unionByName(pairs), links.unionByName(fresh)
+        n_fresh = fresh.count()
+        if n_fresh:
+            tried, links, n_links = tried.unionByName(pairs), links.unionByName(fresh), n_links + n_fresh
+        stale = n_fresh > 0
+        if not n_fresh or exact and n_fresh * 100 < n_links:
+            break  # the rest finds what few links further rounds would bring
         found = materialize(components(links), "components")
     if exact:
-        placed = _placed(members, found)
-        one = placed.select("band", F.col("node").alias("a"), F.col("component").alias("its"))
-        every = one.join(placed, "band").where("its <> component").select(
-            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        rest = materialize(_untried(every, tried), "pairs")
-        found = components(links.unionByName(_verify(rest, bodies, threshold, size)))
-    return found
+        rest = materialize(_untried(_rest(members, found, bodies, threshold, size), tried), "pairs")
+        fresh = materialize(_verify(rest, bodies, threshold, size), "alike")
+        if not fresh.isEmpty():
+            links, stale = links.unionByName(fresh), True
+    return components(links) if stale else found
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -206,6 +211,85 @@ def _to_representatives(members: DataFrame, found: DataFrame) -> DataFrame:
     return met.select(F.least("node", "end.ends").alias("a"), F.greatest("node", "end.ends").alias("b"))
 
 
+def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may be alike, none of them left out.
+
+    Every text has a sketch, the counts of its shingles in ``CELLS`` cells. Two texts differ in
+    their cells by no more than in their shingles, so a pair whose cells differ too much, or whose
+    sizes do, is not alike; the others are to be verified. The time still grows with the
+    square of a bucket, at some 0.1 us a pair, but a bucket is dealt out in pairs of blocks of some
+    ``BLOCK`` members, which are all that a task holds at a time.
+    """
+    placed = materialize(_placed(members, found).select("band", "node", "component"), "divided")
+    sketches = bodies.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _sketches(size), "node long, total long, cells binary")
+    blocks = placed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    copies = dealt.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = copies.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                          "block", "node", "component", "total", "cells")
+    return tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
+        _close(threshold), "a long, b long").distinct()
+
+
+def _sketches(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "body", 1 << 20):
+            n = part.num_rows
+            words = find_words(*buffers(part.column("body")))
+            hashes, text = shingles(words, word_hashes(words), size)
+            cell = text.astype(np.int64) * CELLS + (mix(hashes) % U(CELLS)).astype(np.int64)
+            # counts beyond a byte are cut, which brings no two of them further apart
+            counts = np.minimum(np.bincount(cell, minlength=n * CELLS), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), pa.array(np.bincount(text, minlength=n).astype(np.int64)),
+                 pa.array([line.tobytes() for line in counts.reshape(n, CELLS)], pa.binary())],
+                names=["node", "total", "cells"])
+
+    return run
+
+
+def _close(threshold: float):
+    """Pairs of each tile (band, i, j) that sizes and sketches do not rule out; rows come sorted by tile."""
+    def pairs(tile: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        i, j, block, node, component, total, cells = tile
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        at_once = max(1, (1 << 16) // max(1, len(two)))
+        for start in range(0, len(one), at_once):
+            some = one[start:start + at_once]
+            less, more = (f(total[some, None], total[two]) for f in (np.minimum, np.maximum))
+            met = (component[some, None] != component[two]) & (less >= threshold * more - 1e-9)
+            if i[0] == j[0]:
+                met &= some[:, None] < two
+            left, right = (x[y] for x, y in zip((some, two), np.nonzero(met), strict=True))
+            for at in range(0, len(left), 1 << 13):
+                a, b = left[at:at + (1 << 13)], right[at:at + (1 << 13)]
+                apart = (np.maximum(cells[a], cells[b]) - np.minimum(cells[a], cells[b])).sum(1, dtype=np.int64)
+                near = apart <= (1 - threshold) / (1 + threshold) * (total[a] + total[b]) + 1e-6
+                a, b = node[a[near]], node[b[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last tile so far, which the next batch may continue
+        for batch in batches:
+            own = [batch.column(k).to_numpy() for k in range(7)]
+            cells = batch.column(7).to_pylist()
+            own.append(np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), CELLS))
+            held = own if held is None else [np.concatenate(both) for both in zip(held, own, strict=True)]
+            band, i, j = held[:3]
+            cuts = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for low, high in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield from pairs([x[low:high] for x in held[1:]])
+            if len(cuts):
+                held = [x[cuts[-1]:] for x in held]
+        if held is not None:
+            yield from pairs(held[1:])
+
+    return run
+
+
 def _verify(pairs: DataFrame, bodies: DataFrame, threshold: float, size: int) -> DataFrame:
     one = bodies.select(F.col("node").alias("a"), F.col("body").alias("left"))
     two = bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -67,3 +69,20 @@ def prose(seed, n, vocabulary=4000):
         x = (1103515245 * x + 12345) % (1 << 31)
         out.append(f"w{(x >> 8) % vocabulary}")
     return out
+
+
+def variants(n):
+    """Variants of a text at 15 places, few of them alike, so that buckets hold hundreds of components; and their classes.
+
+    Each place is in five shingles of its own, so two are alike if they differ at three places or fewer.
+    """
+    base, kind = prose(5, 150), np.random.default_rng(1).integers(0, 3, (n, 15))
+    rows, classes = [], list(range(n))
+    for i in range(n):
+        words = list(base)
+        words[5::10] = [f"v{k}" for k in kind[i]]
+        rows.append((i, " ".join(words)))
+        for j in np.flatnonzero((kind[:i] != kind[i]).sum(1) <= 3):
+            one, two = classes[i], classes[j]
+            classes = [min(one, two) if w in (one, two) else w for w in classes]
+    return rows, classes

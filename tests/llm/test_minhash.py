@@ -1,6 +1,7 @@
 import numpy as np
-from helpers import near_classes, prose
+from helpers import bag, jaccard, near_classes, prose, variants
 
+from pitchrank.llm import minhash
 from pitchrank.llm.components import components
 from pitchrank.llm.minhash import bag_minhash, near_duplicates
 
@@ -81,6 +82,28 @@ def test_recall_in_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(df, exact=True).collect()} == want
 
 
+def test_no_link_is_left_out_of_a_large_bucket(spark):
+    rows, want = variants(1500)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(set(want)) == 1159 and got == dict(enumerate(want))
+
+
+def test_blocks_and_sketches_leave_nothing_out(spark, monkeypatch):
+    """Buckets cut into many blocks; long texts whose counts go beyond a byte."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    base = prose(5, 60)
+    long = [w for w in base for _ in range(400)]
+    rows = [(i, " ".join(w if k % 60 != i else f"x{i}" for k, w in enumerate(base))) for i in range(60)]
+    rows += [(100 + i, " ".join(long[:24000 - 1500 * i])) for i in range(6)]
+    texts = spark.createDataFrame([(i, i, 7, t) for i, t in rows], "node long, component long, band long, body string")
+    members = texts.select("node", "band")
+    found = texts.select("node", "component")
+    got = {(r.a, r.b) for r in minhash._rest(members, found, texts.select("node", "body"), 0.8, 5).collect()}
+    bags = [(i, bag(t)) for i, t in rows]
+    alike = {(i, j) for n, (j, c) in enumerate(bags) for i, b in bags[:n] if jaccard(b, c) >= 0.8}
+    assert alike <= got and len(alike) > 100 and len(got) < len(bags) * (len(bags) - 1) // 2
+
+
 def test_very_long_text(spark):
     words = prose(9, 60000)
     rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(prose(10, 60000))), (4, "x" * 100000)]
