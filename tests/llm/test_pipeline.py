@@ -1,4 +1,4 @@
-from helpers import near_classes, prose, words
+from helpers import near_classes, prose, variants, words
 
 import corpus_pipeline as C
 
@@ -92,3 +92,9 @@ def test_without_labels_no_document_is_toxic(spark, tmp_path):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         kept = C.drop_toxic(spark, docs, f"{tmp_path}/{name}")
         assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_dedup_leaves_no_link_out(spark):
+    rows, classes = variants(1500)
+    kept = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes))
