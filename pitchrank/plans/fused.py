@@ -24,13 +24,13 @@ from pitchrank.session import materialize
 _KEYS = ["pitcher", C.SEASON_KEY]
 
 
-def _screened(raw: DataFrame) -> DataFrame:
-    return C.screen(raw).withColumn(C.SEASON_KEY, F.year("game_date")).dropna(subset=_KEYS)
+def _screened(raw: DataFrame, season: str | None) -> DataFrame:
+    return C.screen(raw).withColumn(C.SEASON_KEY, F.col(season) if season else F.year("game_date")).dropna(subset=_KEYS)
 
 
-def pitcher_seasons(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def pitcher_seasons(raw: DataFrame, settings: Settings = DEFAULTS, season: str | None = None) -> DataFrame:
     """Counts, fastball sums and names of each pitcher-season, from one scan."""
-    rows = _screened(raw).transform(C.add_run_value).transform(C.add_pitch_group, settings.pitch_groups)
+    rows = _screened(raw, season).transform(C.add_run_value).transform(C.add_pitch_group, settings.pitch_groups)
     usable = F.col(P.LABEL).isNotNull() & F.col("pitch_group").isNotNull()
     fastball = usable & X.is_fastball()
     speed = codes.clip(F.col("release_speed"), *P.CLIP_BOUNDS["release_speed"])
@@ -42,25 +42,31 @@ def pitcher_seasons(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def prepare(raw: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def prepare(raw: DataFrame, settings: Settings = DEFAULTS, season: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Pitch-level features, and the display names."""
-    seasons = materialize(pitcher_seasons(raw, settings), "pitcher_seasons")
+    seasons = materialize(pitcher_seasons(raw, settings, season), "pitcher_seasons")
     totals = seasons.groupBy(*_KEYS).agg(
         F.sum("rows").alias("_rows"),
         F.try_divide(F.sum("fastball_speed"), F.sum("fastballs")).alias("_fastball"),
     ).where(F.col("_rows") >= settings.min_pitches_per_season)
-    kept = lookup_join(_screened(raw), totals, _KEYS, "_rows", "inner")
+    kept = lookup_join(_screened(raw, season), totals, _KEYS, "_rows", "inner")
     rows = (
         kept.transform(C.label_and_group, settings).transform(X.add_physics, settings)
         .withColumn("speed_diff", X.speed_gap(F.col("_fastball"), F.col("release_speed")))
         .drop("_fastball", C.SEASON_KEY)
     )
+    if season:
+        rows = rows.withColumnRenamed(season, "season").drop("game_date")
     # names count only pitches of kept pitcher-seasons, as the profile does
     regular = seasons.join(totals.select(*_KEYS), _KEYS, "left_semi")
     return rows, most_common_name(regular)
 
 
-def profiles_from_raw(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The full profile table straight from raw pitches."""
-    rows, names = prepare(raw, settings)
+def profiles_from_raw(raw: DataFrame, settings: Settings = DEFAULTS, season: str | None = None) -> DataFrame:
+    """The full profile table straight from raw pitches.
+
+    ``season`` names a stored column that holds the year of the date. It is grouped by in place
+    of that year, so that a table dealt by pitcher and season needs no shuffle.
+    """
+    rows, names = prepare(raw, settings, season)
     return finish_profiles(summarize(rows, settings), rows.columns, names, settings)

@@ -463,10 +463,12 @@ def profile_two_scans(spark, d):
 
 @query
 def profile_co_located(spark, d):
-    """Profiles from pitches that are stored by pitcher, without a shuffle of pitches."""
+    """Profiles from pitches that are stored by pitcher and season, without a shuffle of pitches."""
     path = scratch_path(spark, "bucketed")
     table = f"pitches_{path.rsplit('-', 1)[1]}"
-    return tidy(profiles_from_raw(S.write_bucketed(pitch_view(spark, d), table, path, 8), SHARED))
+    rows = pitch_view(spark, d).withColumn("season", F.year("game_date"))
+    stored = S.write_bucketed(rows, table, path, S.buckets_for(rows), by=("pitcher", "season"))
+    return tidy(profiles_from_raw(stored, SHARED, season="season"))
 
 
 @query

@@ -116,26 +116,41 @@ def rows_scanned(df: DataFrame) -> int:
     return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, by: str = "pitcher", sort=("pitch_type",)) -> DataFrame:
+BUCKET_ROWS = 250_000  # in a bucket, if keys fill them evenly
+
+
+def buckets_for(df: DataFrame, least: int = 8) -> int:
+    """Buckets for the rows of ``df``, which are counted; their number grows with the table and their size does not."""
+    return max(least, -(-df.count() // BUCKET_ROWS))
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, by="pitcher", sort=("pitch_type",)) -> DataFrame:
     """Store pitches dealt to ``buckets`` by pitcher, each bucket one sorted file, and return the table.
 
     Whatever is grouped or joined by keys that include the pitcher then finds its rows in
     one place: counts, fastball means and profiles need no shuffle. A pitcher's rows lie in
     one bucket, so the busiest one bounds how even the tasks are; where a few hold much of a
-    table, the plain store is the better one. The table is known to this session;
-    ``open_bucketed`` makes the folder known to another.
+    table, deal by several columns (``by``), as pitcher and season: what is grouped by both needs
+    no shuffle then, and a bucket holds seasons of a pitcher instead of a career. The table is
+    known to this session; ``open_bucketed`` makes the folder known to another.
     """
-    (df.repartition(buckets, by).write.mode("overwrite").option("path", path)
-       .bucketBy(buckets, by).sortBy(by, *sort).saveAsTable(table))
+    by = _columns(by)
+    (df.repartition(buckets, *by).write.mode("overwrite").option("path", path)
+       .bucketBy(buckets, *by).sortBy(*by, *sort).saveAsTable(table))
     return df.sparkSession.table(table)
 
 
+def _columns(by) -> tuple[str, ...]:
+    return (by,) if isinstance(by, str) else tuple(by)
+
+
 def open_bucketed(spark: SparkSession, table: str, path: str, buckets: int, schema: T.StructType,
-                  by: str = "pitcher", sort=("pitch_type",)) -> DataFrame:
+                  by="pitcher", sort=("pitch_type",)) -> DataFrame:
     """A folder that ``write_bucketed`` has filled, as a table of this session."""
+    by = _columns(by)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    order = ", ".join(f"`{c}`" for c in (by, *sort))
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (`{by}`) "
+    clustered, order = (", ".join(f"`{c}`" for c in names) for names in (by, (*by, *sort)))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({clustered}) "
               f"SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(table)
 

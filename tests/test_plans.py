@@ -109,3 +109,23 @@ def test_pitches_stored_by_pitcher_are_not_shuffled(spark, stored, tmp_path):
     assert "Exchange" not in plan(fused.pitcher_seasons(again, settings))
     assert sorted(map(str, again.collect())) == sorted(map(str, stored.select(*again.columns).collect()))
     spark.sql("DROP TABLE stored_again")
+
+
+def test_a_pitcher_of_many_seasons_is_dealt_by_season(spark, stored, tmp_path):
+    from pitchrank.plans import fused
+    from pitchrank.sources.tables import buckets_for
+
+    settings = Settings(min_pitches_per_season=20, min_pitches_per_type=3)
+    dated = stored.withColumn("season", F.year("game_date"))
+    one = dated.where(F.col("pitcher") == dated.agg(F.min("pitcher")).scalar())
+    table = write_bucketed(dated, "stored_by_season", str(tmp_path / "bucketed"), 16, by=("pitcher", "season"))
+    buckets = table.where(F.col("pitcher") == one.first()["pitcher"]).select("_metadata.file_path").distinct().count()
+    assert 1 < buckets <= one.select("season").distinct().count()
+    assert "Exchange" not in plan(fused.pitcher_seasons(table, settings, "season"))
+    rows, _ = fused.prepare(table, settings, "season")
+    assert "Exchange hashpartitioning" not in plan(R.summarize(rows, settings))
+    got, want = fused.profiles_from_raw(table, settings, "season"), fused.profiles_from_raw(stored, settings)
+    keys = ["pitcher", "season", "pitch_type", "n_pitches"]
+    assert sorted(map(str, got.select(keys).collect())) == sorted(map(str, want.select(keys).collect()))
+    spark.sql("DROP TABLE stored_by_season")
+    assert buckets_for(spark.range(10)) == 8 and buckets_for(spark.range(2_250_001)) == 10
