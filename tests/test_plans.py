@@ -129,3 +129,16 @@ def test_a_pitcher_of_many_seasons_is_dealt_by_season(spark, stored, tmp_path):
     assert sorted(map(str, got.select(keys).collect())) == sorted(map(str, want.select(keys).collect()))
     spark.sql("DROP TABLE stored_by_season")
     assert buckets_for(spark.range(10)) == 8 and buckets_for(spark.range(2_250_001)) == 10
+
+
+def test_a_delivery_is_dealt_over_more_partitions_the_larger_it_is(spark):
+    from pitchrank.plans.queries import dealt_anew
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        parts = [dealt_anew(spark.range(n)).rdd.getNumPartitions() for n in (1000, 1_000_000)]
+    finally:
+        spark.conf.set(key, before)
+    assert parts[0] <= 4 and parts[1] > 7
