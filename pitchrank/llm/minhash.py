@@ -217,7 +217,7 @@ def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: fl
     Every text has a sketch, the counts of its shingles in ``CELLS`` cells. Two texts differ in
     their cells by no more than in their shingles, so a pair whose cells differ too much, or whose
     sizes do, is not alike; the others are to be verified. The time still grows with the
-    square of a bucket, at some 0.1 us a pair, but a bucket is dealt out in pairs of blocks of some
+    square of a bucket, but a bucket is dealt out in pairs of blocks of some
     ``BLOCK`` members, which are all that a task holds at a time.
     """
     placed = materialize(_placed(members, found).select("band", "node", "component"), "divided")
