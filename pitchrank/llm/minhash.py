@@ -20,11 +20,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pitchrank.llm.components import components
-from pitchrank.llm.textbytes import U, bounded, buffers, counted, find_words, mix, shingles, slices, word_hashes
+from pitchrank.llm.components import components, gathered
+from pitchrank.llm.textbytes import (
+    U, bounded, buffers, counted, find_words, give_back, mix, shingles, slices, word_hashes,
+)
 from pitchrank.operators.joins import lookup_join
 from pitchrank.session import materialize
 
@@ -33,6 +35,7 @@ from pitchrank.session import materialize
 BANDS, ROWS = 26, 5
 CELLS = 256         # of a sketch
 BLOCK = 4096        # members of a bucket that are compared with as many others in one go
+TEXTS = 4096        # different texts that a task takes, besides one task for each core
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id",
@@ -59,24 +62,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
                         F.col(text_col).alias("body")).where("doc IS NOT NULL AND body IS NOT NULL")
     # copies are folded first, so that a text counts once however often it occurs
     signed = keyed.mapInArrow(_signatures(size, bands, rows), "doc long, key string, bands array<long>")
+    seen = Observation()
     texts = materialize(signed.groupBy("key").agg(
-        F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "signatures")
+        F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"),
+    ).observe(seen, F.count(F.lit(1)).alias("n")), "signatures")
+    n = seen.get["n"]
     # a text is known by its smallest id, or by a hash if that is another text's too
     lead = texts.groupBy("doc").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     node = F.when(F.col("key") > F.col("lead"), F.xxhash64("doc", "key")).otherwise(F.col("doc"))
-    texts = texts.join(lead.select("doc", "lead"), "doc", "left").withColumn("node", node).drop("lead")
-    found = _classes(keyed, texts, threshold, size, exact)
-    known = texts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    texts = texts.join(_few(lead.select("doc", "lead"), n), "doc", "left").withColumn("node", node).drop("lead")
+    texts = materialize(_few(texts, n), "texts")
+    found = _classes(keyed, texts, n, threshold, size, exact)
+    known = _few(texts.drop("bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), n)
     stands = known.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
     # texts that are alone stand for themselves and are not looked up
     classes = known.join(stands, "component").where("copies > 1 OR n > 1").select(
         F.col("key").alias("_key"), F.col("first.doc").alias("_class"), F.col("first.key").alias("_stands"), "copies")
     own = F.when(F.col(id_col).isNotNull(), F.md5(text_col))
-    done = lookup_join(docs.withColumn("_key", own), classes, ["_key"], "copies")
+    done = lookup_join(docs.withColumn("_key", own), _few(classes, n), ["_key"], "copies")
     return done.select(*docs.columns, F.coalesce("_class", F.col(id_col).cast("long")).alias("class_id"),
                        F.coalesce("_stands", "_key").alias("class_key"))
 
 
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, which has some rows for each of ``n`` texts, in partitions of a size that is worth a task."""
+    return gathered(df, n, TEXTS)
+
+
 # ---------------------------------------------------------------- signatures
 
 def _signatures(size: int, bands: int, rows: int):
@@ -133,8 +145,8 @@ def bag_minhash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
 
 # ---------------------------------------------------------------- links
 
-def _classes(keyed: DataFrame, texts: DataFrame, threshold: float, size: int, exact: bool) -> DataFrame:
-    """(node, component): the class of every text that is linked to another one.
+def _classes(keyed: DataFrame, texts: DataFrame, n: int, threshold: float, size: int, exact: bool) -> DataFrame:
+    """(node, component): the class of every text that is linked to another one; ``texts`` are ``n``.
 
     Each band's bucket is compared with its smallest member first, which settles the usual
     bucket of copies of one text at once. What is left are buckets whose members lie in
@@ -147,71 +159,75 @@ def _classes(keyed: DataFrame, texts: DataFrame, threshold: float, size: int, ex
     """
     members = texts.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("node").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = materialize(members.join(shared, "band"), "buckets")
+    members = materialize(_few(members.join(shared, "band"), n), "buckets")
     wanted = members.select("node").distinct().join(texts.select("node", "doc", "key"), "node").select(
         "doc", "key", "node", F.lit(1).alias("n"))
-    bodies = lookup_join(keyed, wanted, ["doc", "key"], "n", "inner")
-    bodies = materialize(bodies.groupBy("node").agg(F.first("body").alias("body")), "bodies")
-
-    tried = materialize(members.where("node <> pivot").select(
-        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = materialize(_verify(tried, bodies, threshold, size), "alike")
-    found = materialize(components(links), "components")
-    n_links, stale = links.count(), False
+    bodies = lookup_join(keyed, _few(wanted, n), ["doc", "key"], "n", "inner")
+    bodies = materialize(_few(bodies.groupBy("node").agg(F.first("body").alias("body")), n), "bodies")
+
+    tried = materialize(_few(members.where("node <> pivot").select(
+        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), n), "pairs")
+    links = materialize(_verify(tried, bodies, n, threshold, size), "alike")
+    found = materialize(_few(components(links, n), n), "components")
+    n_links, new = links.count(), None
     while True:
-        pairs = materialize(_untried(_to_representatives(members, found), tried), "pairs")
-        fresh = materialize(_verify(pairs, bodies, threshold, size), "alike")
+        pairs = materialize(_few(_untried(_to_representatives(members, found, n), tried), n), "pairs")
+        fresh = materialize(_verify(pairs, bodies, n, threshold, size), "alike")
         n_fresh = fresh.count()
-        if n_fresh:
-            tried, links, n_links = tried.unionByName(pairs), links.unionByName(fresh), n_links + n_fresh
-        stale = n_fresh > 0
+        tried, n_links, new = tried.unionByName(pairs), n_links + n_fresh, fresh if n_fresh else None
         if not n_fresh or exact and n_fresh * 100 < n_links:
             break  # the rest finds what few links further rounds would bring
-        found = materialize(components(links), "components")
+        found = materialize(_few(_joined(found, fresh, n), n), "components")
     if exact:
-        rest = materialize(_untried(_rest(members, found, bodies, threshold, size), tried), "pairs")
-        fresh = materialize(_verify(rest, bodies, threshold, size), "alike")
+        rest = materialize(_few(_untried(_rest(members, found, bodies, threshold, size, n), tried), n), "pairs")
+        fresh = materialize(_verify(rest, bodies, n, threshold, size), "alike")
         if not fresh.isEmpty():
-            links, stale = links.unionByName(fresh), True
-    return components(links) if stale else found
+            new = fresh if new is None else new.unionByName(fresh)
+    return found if new is None else _joined(found, new, n)
+
+
+def _joined(found: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """Components that ``found`` and further links make together."""
+    return components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links), n)
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.distinct().join(tried, ["a", "b"], "left_anti")
 
 
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """Members of the buckets that hold several components, with their component."""
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = _few(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), n)
     divided = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return placed.join(divided.select("band"), "band")
+    return _few(placed.join(_few(divided.select("band"), n), "band"), n)
 
 
-def _to_representatives(members: DataFrame, found: DataFrame) -> DataFrame:
+def _to_representatives(members: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of members of divided buckets and representatives of other components there.
 
     A member is the more central the larger its buckets are. Every member has its bands and
     the pairs of neighbours among them as keys, twice the number of bands at most.
     """
-    held = _placed(members, found).groupBy("node", "component").agg(
+    held = _placed(members, found, n).groupBy("node", "component").agg(
         F.sort_array(F.collect_list("band")).alias("bands"), F.sum("n").alias("central"))  # as many as bands at most
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    held = held.join(sizes, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    held = _few(held, n).join(_few(sizes, n), "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     two = F.transform(F.slice("bands", F.lit(2), F.greatest(F.size("bands") - 1, F.lit(0))),
                       lambda b, i: F.xxhash64(F.get("bands", i), b))
-    keys = materialize(held.select("node", "component", "central", "weight", F.explode(F.concat("bands", two)).alias("part")), "parts")
+    keys = materialize(_few(held.select(
+        "node", "component", "central", "weight", F.explode(F.concat("bands", two)).alias("part")), n), "parts")
     ends = keys.groupBy("part").agg(
         F.max(F.struct("weight", "component", "central", "node")).alias("most"),
         F.min(F.struct("weight", "component", -F.col("central"), "node")).alias("least")
     ).where("most.component <> least.component").select(
         "part", F.col("most.component").alias("main"), F.array("most.node", "least.node").alias("ends"),
         F.array("most.component", "least.component").alias("of"))
-    met = keys.join(ends, "part").where("component <> main").select(
+    met = _few(keys.join(_few(ends, n), "part"), n).where("component <> main").select(
         "node", "component", F.explode(F.arrays_zip("ends", "of")).alias("end")).where("end.of <> component")
     return met.select(F.least("node", "end.ends").alias("a"), F.greatest("node", "end.ends").alias("b"))
 
 
-def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: float, size: int) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: float, size: int, n: int = 0) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be alike, none of them left out.
 
     Every text has a sketch, the counts of its shingles in ``CELLS`` cells. Two texts differ in
@@ -220,12 +236,12 @@ def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: fl
     square of a bucket, but a bucket is dealt out in pairs of blocks of some
     ``BLOCK`` members, which are all that a task holds at a time.
     """
-    placed = materialize(_placed(members, found).select("band", "node", "component"), "divided")
-    sketches = bodies.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(
+    placed = materialize(_placed(members, found, n).select("band", "node", "component"), "divided")
+    sketches = _few(bodies.join(_few(placed.select("node").distinct(), n), "node", "left_semi"), n).mapInArrow(
         _sketches(size), "node long, total long, cells binary")
     blocks = placed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    copies = dealt.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = placed.join(_few(blocks, n), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    copies = _few(_few(dealt, n).join(sketches, "node"), n).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = copies.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                           "block", "node", "component", "total", "cells")
     return tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
@@ -286,14 +302,16 @@ def _close(threshold: float):
                 held = [x[cuts[-1]:] for x in held]
         if held is not None:
             yield from pairs(held[1:])
+            held = None
+        give_back()
 
     return run
 
 
-def _verify(pairs: DataFrame, bodies: DataFrame, threshold: float, size: int) -> DataFrame:
+def _verify(pairs: DataFrame, bodies: DataFrame, n: int, threshold: float, size: int) -> DataFrame:
     one = bodies.select(F.col("node").alias("a"), F.col("body").alias("left"))
     two = bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(
+    return _few(_few(pairs.join(one, "a"), n).join(two, "b"), n).select("a", "b", "left", "right").mapInArrow(
         _alike(threshold, size), "a long, b long")
 
 

@@ -191,11 +191,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20)
     yield from _joined(held)
     if not isinstance(batches, list):
         held = []
-        _give_back()  # the worker stays for later tasks; what its allocators keep would add to theirs
+        give_back()  # the worker stays for later tasks; what its allocators keep would add to theirs
 
 
-def _give_back() -> None:
-    """Return memory that is free, but kept, to the system; once a task."""
+def give_back() -> None:
+    """Return memory that is free, but kept, to the system; once a task or a large group."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
     if trim:

@@ -1,6 +1,7 @@
 import numpy as np
 from helpers import bag, jaccard, near_classes, prose, variants
 
+from pitchrank.llm import components as module
 from pitchrank.llm import minhash
 from pitchrank.llm.components import components
 from pitchrank.llm.minhash import bag_minhash, near_duplicates
@@ -53,6 +54,22 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 40: 40, 45: 40, 50: 40, 70: 70, 71: 70}
 
 
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    written, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for key, value in zip(before, ("64", "false"), strict=True):
+        spark.conf.set(key, value)
+    try:
+        links = [(i, i + 1) for i in range(300)]
+        got = components(spark.createDataFrame(links, "a long, b long"), len(links)).collect()
+        assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(301)]
+        assert written and max(len(t.inputFiles()) for t in written) <= spark.sparkContext.defaultParallelism
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_different_texts_under_one_id(spark):
     one, two = " ".join(prose(1, 40)), " ".join(prose(2, 40))
     rows = [(1, one), (1, two), (2, one), (3, two + " more"), (1, one)]
