@@ -2,8 +2,8 @@
 
 All groups (pitch types) are fitted side by side. Inputs are binned once at exact
 quantiles of their training values. A level of all trees under construction is one Spark
-aggregate: gradient and weight sums per (group, node, input, bin), from which the driver
-picks the splits; their number is bounded by depth, inputs and bins, not by rows. Sums
+aggregate: gradient and weight sums per (group, node, input, bin), of which tasks pick the
+split of each node; their number is bounded by depth, inputs and bins, not by rows. Sums
 are taken over whole multiples of a fixed step, so they are exact and do not depend on
 how rows are dealt: a second fit gives the same trees.
 
@@ -27,6 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pitchrank.operators.ranks import ordered_counts
 from pitchrank.params import BoostParams
@@ -37,7 +39,9 @@ REWRITE = 16            # trees after which predictions are written down with th
 CELLS = 100_000         # in one partition of the sums
 EXACT = 50              # bits of a sum that doubles hold without rounding, with some to spare
 _TABLE = "grp int, val boolean, y double, w double, id long, bins binary, margin double"
-_CELLS = "grp int, cell int, g double, h double"
+_CELLS = "grp int, node int, cell int, g double, h double"
+_BEST = ("grp int, node int, g double, h double, gain double, missing_left boolean, input int, bin int, "
+         "lg double, lh double, rg double, rh double")
 
 
 @dataclass
@@ -141,38 +145,44 @@ class _Fit:
             b.trees = b.trees[:b.best + 1]
         return over
 
-    def shrink(self, g: np.ndarray) -> np.ndarray:
-        return np.sign(g) * np.maximum(np.abs(g) - self.params.l1, 0)
-
-    def leaf(self, g: float, h: float) -> float:
-        return float(-self.params.learning_rate * self.shrink(g) / (h + self.params.l2)) if h > 0 else 0.0
-
-    def split(self, node: int, cells: np.ndarray) -> None:
-        """Split ``node`` where it gains most; ``cells`` is (2, drawn inputs, bins and the missing)."""
-        p, tree = self.params, self.tree
-        all_g, all_h = cells[0, 0].sum() * self.step_g, cells[1, 0].sum() * self.step_h
-        tree.leaf[node], tree.weight[node] = self.leaf(all_g, all_h), all_h
-        score = lambda g, h: self.shrink(g) ** 2 / np.where(h > 0, h + p.l2, 1)
-        best = (LEAST_GAIN, None)
-        for missing_left in (False, True):
-            # whole steps are summed, so that equal sums are equal to the last bit
-            left = np.cumsum(cells[:, :, :-1], axis=2) + (cells[:, :, -1:] if missing_left else 0)
-            lg, lh = left[0] * self.step_g, left[1] * self.step_h
-            rg, rh = (cells[0].sum(1)[:, None] - left[0]) * self.step_g, (cells[1].sum(1)[:, None] - left[1]) * self.step_h
-            fits = (lh > 0) & (rh > 0) & (lh >= p.min_child_weight) & (rh >= p.min_child_weight)
-            gain = np.where(fits, score(lg, lh) + score(rg, rh) - score(all_g, all_h), -1.0)
-            at = np.unravel_index(np.argmax(gain), gain.shape)
-            if gain[at] > best[0]:
-                best = (gain[at], (missing_left, *at, lg[at], lh[at], rg[at], rh[at]))
-        if best[1] is None:
+    def split(self, found: dict) -> None:
+        """Give a node its worth and split it as a row of ``_BEST`` says."""
+        tree, node = self.tree, found["node"]
+        tree.leaf[node], tree.weight[node] = _leaf(found["g"], found["h"], self.params), found["h"]
+        if found["input"] < 0:
             return
-        missing_left, f, b, lg, lh, rg, rh = best[1]
-        tree.feature[node] = self.drawn[f]
-        cuts = self.cuts[self.drawn[f]]
+        tree.feature[node] = self.drawn[found["input"]]
+        cuts, b = self.cuts[tree.feature[node]], found["bin"]
         tree.bin[node], tree.threshold[node] = b, cuts[b] if b < len(cuts) else np.inf
-        tree.missing_left[node], tree.gain[node] = missing_left, best[0]
-        for child, (cg, ch) in ((2 * node + 1, (lg, lh)), (2 * node + 2, (rg, rh))):
-            tree.leaf[child], tree.weight[child] = self.leaf(cg, ch), ch
+        tree.missing_left[node], tree.gain[node] = found["missing_left"], found["gain"]
+        for child, (cg, ch) in ((2 * node + 1, (found["lg"], found["lh"])), (2 * node + 2, (found["rg"], found["rh"]))):
+            tree.leaf[child], tree.weight[child] = _leaf(cg, ch, self.params), ch
+
+
+def _shrink(g: np.ndarray, p: BoostParams) -> np.ndarray:
+    return np.sign(g) * np.maximum(np.abs(g) - p.l1, 0)
+
+
+def _leaf(g: float, h: float, p: BoostParams) -> float:
+    return float(-p.learning_rate * _shrink(g, p) / (h + p.l2)) if h > 0 else 0.0
+
+
+def _best_split(cells: np.ndarray, p: BoostParams, step_g: float, step_h: float) -> tuple:
+    """Sums of a node and where it gains most; ``cells`` is (2, drawn inputs, bins and the missing)."""
+    all_g, all_h = cells[0, 0].sum() * step_g, cells[1, 0].sum() * step_h
+    score = lambda g, h: _shrink(g, p) ** 2 / np.where(h > 0, h + p.l2, 1)
+    best = (LEAST_GAIN, False, -1, 0, 0.0, 0.0, 0.0, 0.0)
+    for missing_left in (False, True):
+        # whole steps are summed, so that equal sums are equal to the last bit
+        left = np.cumsum(cells[:, :, :-1], axis=2) + (cells[:, :, -1:] if missing_left else 0)
+        lg, lh = left[0] * step_g, left[1] * step_h
+        rg, rh = (cells[0].sum(1)[:, None] - left[0]) * step_g, (cells[1].sum(1)[:, None] - left[1]) * step_h
+        fits = (lh > 0) & (rh > 0) & (lh >= p.min_child_weight) & (rh >= p.min_child_weight)
+        gain = np.where(fits, score(lg, lh) + score(rg, rh) - score(all_g, all_h), -1.0)
+        at = np.unravel_index(np.argmax(gain), gain.shape)
+        if gain[at] > best[0]:
+            best = (gain[at], missing_left, *at, lg[at], lh[at], rg[at], rh[at])
+    return (all_g, all_h, *best)
 
 
 def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
@@ -209,7 +219,7 @@ def fit_boosters(rows: DataFrame, inputs: list[str], target: str, params: dict[s
     Null and NaN inputs are missing values. A group without training rows has no booster,
     one without validation rows gets all its rounds. Fitting stops when the loss has not
     fallen for ``patience`` rounds; the trees after the best round are dropped. The driver
-    holds trees and sums of a few groups; their rows may be any number.
+    holds trees and splits of a few groups; their rows may be any number.
     """
     if not params:
         return {}
@@ -231,16 +241,16 @@ def fit_boosters(rows: DataFrame, inputs: list[str], target: str, params: dict[s
     for round_ in range(max(f.params.rounds for f in fits) + 1):
         for f in active:
             f.begin(round_)
-        cells, losses = _sums(table, active, 0, round_, bins)
+        nodes, losses = _sums(table, active, 0, round_, bins)
         active = [f for f in active if not f.settle(losses.get(f.number) if round_ else None)]
         if not active:
             break
         for level in range(max(f.params.depth for f in active)):
             if level:
-                cells, _ = _sums(table, [f for f in active if level < f.params.depth], level, round_, bins)
+                nodes, _ = _sums(table, [f for f in active if level < f.params.depth], level, round_, bins)
             for f in active:
-                for node in cells.get(f.number, {}):
-                    f.split(node, cells[f.number][node])
+                for found in nodes.get(f.number, []):
+                    f.split(found)
         for f in active:
             f.booster.trees.append(f.tree)
             f.pending.append(f.tree)
@@ -352,9 +362,10 @@ def _sampled(ids: np.ndarray, seed: int, round_: int, share: float) -> np.ndarra
 
 
 def _sums(table: DataFrame, fits: list[_Fit], level: int, round_: int, bins: int):
-    """Sums of one level: {group: {node: (2, drawn inputs, bins + 1)}}, and validation losses before the tree.
+    """Best splits of one level: {group: rows of ``_BEST``, one a node}, and validation losses before the tree.
 
-    Every task adds up what it reads; one row per cell goes through the shuffle and to the driver.
+    Every task adds up what it reads; one row per cell goes through the shuffle, and the cells of
+    a node meet in a task, which picks the node's split. Only that reaches the driver.
     """
     jobs = {f.number: (f.pending, f.tree, f.drawn, f.step_g, f.step_h, f.step_loss, f.params.seed, f.params.subsample)
             for f in fits}
@@ -362,7 +373,7 @@ def _sums(table: DataFrame, fits: list[_Fit], level: int, round_: int, bins: int
         return {}, {}
     n_inputs, first, width = len(fits[0].cuts), (1 << level) - 1, 1 << level
     n_cells = len(fits) * width * len(fits[0].drawn) * (bins + 1)
-    table.sparkSession.conf.set("spark.sql.shuffle.partitions", -(-n_cells // CELLS))
+    n_parts = max(1, -(-n_cells // CELLS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -387,28 +398,39 @@ def _sums(table: DataFrame, fits: list[_Fit], level: int, round_: int, bins: int
                 total[g] = total.get(g, 0) + np.stack(both)
         for g, sums in total.items():
             cell = np.flatnonzero(sums[1])
-            yield _cells(g, cell, *sums[:, cell])
+            of_node = len(jobs[g][2]) * (bins + 1)
+            yield _cells(g, first + cell // of_node, cell % of_node, *sums[:, cell])
         for g, loss in losses.items():
-            yield _cells(g, np.array([-1]), *loss[:, None])
-
-    found = (table.where(F.col("grp").isin(list(jobs))).mapInArrow(run, _CELLS)
-             .groupBy("grp", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow())
-    grp, cell, g, h = (found.column(k).to_numpy() for k in range(4))
-    sums, losses = {}, {}
-    for f in fits:
-        own = (grp == f.number) & (cell >= 0)
-        dense = np.zeros((2, width * len(f.drawn) * (bins + 1)))
-        dense[:, cell[own]] = g[own], h[own]
-        dense = dense.reshape(2, width, len(f.drawn), bins + 1)
-        sums[f.number] = {first + k: dense[:, k] for k in range(width) if dense[1, k].any()}
-        for at in np.flatnonzero((grp == f.number) & (cell == -1)):
-            losses[f.number] = math.sqrt(g[at] * f.step_loss / h[at])
-    return sums, losses
-
-
-def _cells(grp: int, cell: np.ndarray, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), grp, np.int32)), pa.array(cell.astype(np.int32)),
-                                       pa.array(g), pa.array(h)], ["grp", "cell", "g", "h"])
+            yield _cells(g, np.array([-1]), np.array([0]), *loss[:, None])
+
+    params = {f.number: f.params for f in fits}
+
+    def best(cells: pa.Table) -> pa.Table:
+        grp, node = cells.column("grp")[0].as_py(), cells.column("node")[0].as_py()
+        cell, g, h = (cells.column(c).to_numpy() for c in ("cell", "g", "h"))
+        if node < 0:
+            row = (g[0], h[0], 0.0, False, -1, 0, 0.0, 0.0, 0.0, 0.0)
+        else:
+            _, _, drawn, step_g, step_h = jobs[grp][:5]
+            dense = np.zeros((2, len(drawn) * (bins + 1)))
+            dense[:, cell] = g, h
+            row = _best_split(dense.reshape(2, len(drawn), bins + 1), params[grp], step_g, step_h)
+        values = (grp, node, *(v.item() if isinstance(v, np.generic) else v for v in row))
+        return pa.table({f.name: pa.array([v], to_arrow_type(f.dataType)) for f, v in zip(best_type, values, strict=True)})
+
+    best_type = T.StructType.fromDDL(_BEST)
+    found = (table.where(F.col("grp").isin(list(jobs))).mapInArrow(run, _CELLS).repartition(n_parts, "grp", "node")
+             .groupBy("grp", "node", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+             .groupBy("grp", "node").applyInArrow(best, best_type).toArrow().to_pylist())  # a row a node
+    nodes = {f.number: sorted((r for r in found if r["grp"] == f.number and r["node"] >= 0), key=lambda r: r["node"]) for f in fits}
+    step = {f.number: f.step_loss for f in fits}
+    return nodes, {r["grp"]: math.sqrt(r["g"] * step[r["grp"]] / r["h"]) for r in found if r["node"] < 0}
+
+
+def _cells(grp: int, node: np.ndarray, cell: np.ndarray, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(cell), grp, np.int32)), pa.array(node.astype(np.int32)), pa.array(cell.astype(np.int32)),
+         pa.array(g), pa.array(h)], ["grp", "node", "cell", "g", "h"])
 
 
 def tree_rows(name: str, booster: Booster) -> Iterator[tuple]:

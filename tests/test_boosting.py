@@ -177,3 +177,21 @@ def test_rows_of_trees(spark):
     x[::7, 3] = np.nan
     assert (back.predict(x) == got.predict(x)).all()
     assert got.importance().sum() == pytest.approx(1) and got.importance()[0] == got.importance().max()
+
+
+def test_only_splits_reach_the_driver_and_trees_walk_alike(spark, monkeypatch):
+    kind, sizes = type(spark.range(1)), []
+    take = kind.toArrow
+
+    def counted(df):
+        found = take(df)
+        sizes.append(found.num_rows)
+        return found
+
+    monkeypatch.setattr(kind, "toArrow", counted)
+    p = replace(FEW, rounds=2)
+    booster = B.fit_boosters(spark.createDataFrame(data(3, 600), SCHEMA), NAMES, "y", {"a": p}, "w")["a"]
+    assert len(sizes) > 3 and max(sizes[1:]) <= 1 << (p.depth - 1)  # cuts come first; then a row a node, and a loss
+    bins = np.random.default_rng(1).integers(0, 257, (500, len(NAMES))).astype(np.uint16)
+    for tree in booster.trees:
+        assert (tree.of_bins(bins, 256) == tree.walk(bins, tree.bin, bins == 256)).all()
