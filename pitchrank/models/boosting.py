@@ -74,7 +74,17 @@ class Tree:
         return node
 
     def of_bins(self, bins: np.ndarray, missing: int) -> np.ndarray:
-        return self.walk(bins, self.bin, bins == missing)
+        """Node each row of bins ends in, by a table of the next node for each node and bin."""
+        split, at, codes = self.feature >= 0, np.arange(len(self.feature))[:, None], np.arange(missing + 1)
+        left = np.where(codes == missing, self.missing_left[:, None], codes <= self.bin[:, None])
+        following = np.where(split[:, None], 2 * at + 2 - left, at).ravel()
+        column, flat, row = np.maximum(self.feature, 0), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        node = np.zeros(len(bins), np.int64)
+        first = 0
+        while split[first:2 * first + 1].any():
+            node = following[node * (missing + 1) + flat[row + column[node]]]
+            first = 2 * first + 1
+        return node
 
 
 @dataclass
@@ -328,7 +338,10 @@ def _binned(used: DataFrame, fits: list[_Fit], bins: int) -> DataFrame:
 def _groups(batch: pa.RecordBatch, wanted: set[int], n_inputs: int):
     """(group, its rows, their bins) for the wanted groups of a batch of the table."""
     grp = batch.column(0).to_numpy()
-    bins = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(batch.num_rows, n_inputs)
+    packed = batch.column(5).cast(pa.binary())
+    _, offsets, data = packed.buffers()  # two bytes an input, end to end
+    start = np.frombuffer(offsets, np.int32)[packed.offset] if n_inputs and batch.num_rows else 0
+    bins = np.frombuffer(data or b"", np.uint16, n_inputs * batch.num_rows, start).reshape(batch.num_rows, n_inputs)
     for g in np.unique(grp).tolist():
         if g in wanted:
             own = np.flatnonzero(grp == g)
