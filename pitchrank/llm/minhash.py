@@ -36,6 +36,10 @@ BANDS, ROWS = 26, 5
 CELLS = 256         # of a sketch
 BLOCK = 4096        # members of a bucket that are compared with as many others in one go
 TEXTS = 4096        # different texts that a task takes, besides one task for each core
+SOME = 64           # one text of so many tells which shingles are common
+COMMON = 1 << 17    # shingles that are known to be common, at most
+FEW_CELLS = 64      # of a sketch of texts that share a mark
+SKETCH = "node long, total long, cells binary"
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id",
@@ -49,7 +53,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     share a signature band: none is left out, however large a bucket is, but those whose
     documents are in one class anyway. In a bucket that stays divided a document meets
     representatives of the other classes first and then all their members by sketches (see
-    ``_classes``). Without ``exact`` only the representatives are met.
+    ``_classes``). Pairs that happen to share no band are found by their marks (see ``_marks``),
+    which any two alike texts have in common, so no link is left to chance. Without ``exact``
+    only the representatives are met.
 
     Texts without words are alike only if equal. A row with a null text or a null id is a
     class of its own, ``class_id`` being its id. ``class_key`` is the MD5 of the text that
@@ -155,15 +161,13 @@ def _classes(keyed: DataFrame, texts: DataFrame, n: int, threshold: float, size:
     next one its members have, and in every part each member is compared with two others:
     the most central one of the largest component and one of the smallest, if these are
     not its own. That is a bounded number of pairs for each member. Rounds follow until one
-    brings no link; what remains unseen after that is compared only if ``exact``.
+    brings no link; what remains unseen after that is compared only if ``exact``, and so are
+    texts of different components that have marks in common.
     """
     members = texts.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("node").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = materialize(_few(members.join(shared, "band"), n), "buckets")
-    wanted = members.select("node").distinct().join(texts.select("node", "doc", "key"), "node").select(
-        "doc", "key", "node", F.lit(1).alias("n"))
-    bodies = lookup_join(keyed, _few(wanted, n), ["doc", "key"], "n", "inner")
-    bodies = materialize(_few(bodies.groupBy("node").agg(F.first("body").alias("body")), n), "bodies")
+    bodies = _bodies(_rows_of(members.select("node"), keyed, texts, n), n)
 
     tried = materialize(_few(members.where("node <> pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), n), "pairs")
@@ -183,7 +187,31 @@ def _classes(keyed: DataFrame, texts: DataFrame, n: int, threshold: float, size:
         fresh = materialize(_verify(rest, bodies, n, threshold, size), "alike")
         if not fresh.isEmpty():
             new = fresh if new is None else new.unionByName(fresh)
-    return found if new is None else _joined(found, new, n)
+    if new is not None:
+        found = materialize(_few(_joined(found, new, n), n), "components")
+    if not exact:
+        return found
+    placed = materialize(_marked(keyed, texts, found, threshold, size, n), "divided")
+    sketches = _rows_of(placed.select("node"), keyed, texts, n).select("node", "body").mapInArrow(
+        _sketches(size, FEW_CELLS), SKETCH).dropDuplicates(["node"])
+    met = _met(placed, _few(sketches, n), threshold, n).groupBy("a", "b").agg(
+        F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+    pairs = materialize(_few(_untried(met, tried.unionByName(rest)), n), "pairs")
+    if pairs.isEmpty():
+        return found
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links = materialize(_verify(pairs, _bodies(_rows_of(ends, keyed, texts, n), n), n, threshold, size), "alike")
+    return found if links.isEmpty() else _joined(found, links, n)
+
+
+def _rows_of(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Rows of ``keyed`` that hold the texts of ``nodes``."""
+    wanted = nodes.distinct().join(texts.select("node", "doc", "key"), "node").select("doc", "key", "node", F.lit(1).alias("n"))
+    return lookup_join(keyed, _few(wanted, n), ["doc", "key"], "n", "inner")
+
+
+def _bodies(rows: DataFrame, n: int) -> DataFrame:
+    return materialize(_few(rows.groupBy("node").agg(F.first("body").alias("body")), n), "bodies")
 
 
 def _joined(found: DataFrame, links: DataFrame, n: int) -> DataFrame:
@@ -227,6 +255,95 @@ def _to_representatives(members: DataFrame, found: DataFrame, n: int) -> DataFra
     return met.select(F.least("node", "end.ends").alias("a"), F.greatest("node", "end.ends").alias("b"))
 
 
+def _marked(keyed: DataFrame, texts: DataFrame, found: DataFrame, threshold: float, size: int, n: int) -> DataFrame:
+    """(band, node, component, weight) of the marks, here the bands, that texts of different components have.
+
+    Most marks are those of one text; they are exchanged once and go no further.
+    """
+    rows = keyed.select(F.xxhash64("key").alias("id"), "body").mapInArrow(
+        _all_marks(size, threshold, _common(keyed, size)), "band long, id long, weight int")
+    shared = rows.repartition("band").sortWithinPartitions("band").mapInArrow(_several, rows.schema)
+    known = texts.select(F.xxhash64("key").alias("id"), "node").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    each = materialize(shared.join(_few(known, n), "id").select("band", "node", "component", "weight"), "marks")
+    divided = each.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+    ).where("low <> high").select("band", "n")
+    return lookup_join(each, divided, ["band"], "n", "inner").dropDuplicates(["band", "node"])
+
+
+def _common(keyed: DataFrame, size: int) -> pa.Table:
+    """(shingle, n) of shingles that several texts of a few have, the commonest if they are many.
+
+    They only tell which shingles to put last in ``_marks``; whichever these are, no pair is lost.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "body", 1 << 20):
+            words = find_words(*buffers(part.column("body")))
+            hashes, text = shingles(words, word_hashes(words), size)
+            yield pa.RecordBatch.from_arrays([pa.array(counted(text, hashes)[1].view(np.int64))], names=["shingle"])
+
+    some = keyed.select("body").where(F.pmod(F.xxhash64("body"), F.lit(SOME)) == 0)
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n > 3").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow().sort_by("shingle")
+
+
+def _all_marks(size: int, threshold: float, common: pa.Table):
+    """Marks of each text (id, body) with the number of times they occur; copies in a task count once."""
+    names, counts = common.column("shingle").to_numpy().view(U), common.column("n").to_numpy()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches, "body", 1 << 20):
+            part = part.filter(pa.array([not (i in seen or seen.add(i)) for i in part.column("id").to_pylist()]))
+            words = find_words(*buffers(part.column("body")))
+            hashes, text = shingles(words, word_hashes(words), size)
+            text, shingle, weight = _marks(*counted(text, hashes), part.num_rows, threshold, names, counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle.view(np.int64)), pa.array(part.column("id").to_numpy()[text]),
+                 pa.array(weight.astype(np.int32))], names=["band", "id", "weight"])
+
+    return run
+
+
+def _marks(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, threshold: float,
+           names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of each text in one order of all shingles, so many that alike texts share one of them.
+
+    Of ``m`` shingles, counted with repetition, a text that is alike has ``threshold * m`` or more,
+    so the first of these is among the first ``m - threshold * m + 1``. Bags come ordered by text
+    and shingle. The common shingles ``names`` are put last, the commonest behind the others, so
+    that few texts share a mark.
+    """
+    if len(names) and len(shingle):
+        at = np.minimum(np.searchsorted(names, shingle), len(names) - 1)
+        level = np.where(names[at] == shingle, np.log2(counts)[at].astype(np.int64), 0)
+        if level.any():
+            order = np.argsort(text * 64 + level, kind="stable")
+            shingle, weight = shingle[order], weight[order]
+    total = np.bincount(text, weight, n)
+    most = (total - np.ceil(threshold * total - 1e-9) + 1).astype(np.int64)
+    before = np.cumsum(weight) - weight - (np.cumsum(total) - total).astype(np.int64)[text]
+    taken = before < most[text]
+    return text[taken], shingle[taken], weight[taken]
+
+
+def _several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are not alone in their band; they come sorted by it."""
+    last, kept = None, False  # the row before, and whether it has been found to be one of several
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        both = batch if last is None else pa.concat_batches([last, batch])
+        band = both.column("band").to_numpy()
+        same = band[1:] == band[:-1]
+        keep = np.concatenate([[kept], same]) | np.concatenate([same, [False]])
+        last, kept = both.slice(both.num_rows - 1), bool(keep[-1])
+        yield both.slice(0, both.num_rows - 1).filter(pa.array(keep[:-1]))
+    if kept:
+        yield last
+
+
 def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: float, size: int, n: int = 0) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be alike, none of them left out.
 
@@ -236,30 +353,39 @@ def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: fl
     square of a bucket, but a bucket is dealt out in pairs of blocks of some
     ``BLOCK`` members, which are all that a task holds at a time.
     """
-    placed = materialize(_placed(members, found, n).select("band", "node", "component"), "divided")
+    placed = materialize(_placed(members, found, n).select("band", "node", "component", F.lit(1).alias("weight")), "divided")
     sketches = _few(bodies.join(_few(placed.select("node").distinct(), n), "node", "left_semi"), n).mapInArrow(
-        _sketches(size), "node long, total long, cells binary")
+        _sketches(size), SKETCH)
+    return _met(placed, sketches, threshold, n).select("a", "b").distinct()
+
+
+def _met(placed: DataFrame, sketches: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Pairs (a, b) of different components in a band of ``placed`` that their sketches do not rule out, for each band.
+
+    ``shared`` is how often both have the band, if that is a mark. Summed over the marks of an
+    alike pair it comes to ``least`` or more: all they share but for what lies behind one text's marks.
+    """
     blocks = placed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = placed.join(_few(blocks, n), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     copies = _few(_few(dealt, n).join(sketches, "node"), n).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = copies.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                          "block", "node", "component", "total", "cells")
+                          "block", "node", "component", "weight", "total", "cells")
     return tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
-        _close(threshold), "a long, b long").distinct()
+        _close(threshold), "a long, b long, shared long, least double")
 
 
-def _sketches(size: int):
+def _sketches(size: int, n_cells: int = CELLS):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "body", 1 << 20):
             n = part.num_rows
             words = find_words(*buffers(part.column("body")))
             hashes, text = shingles(words, word_hashes(words), size)
-            cell = text.astype(np.int64) * CELLS + (mix(hashes) % U(CELLS)).astype(np.int64)
+            cell = text.astype(np.int64) * n_cells + (mix(hashes) % U(n_cells)).astype(np.int64)
             # counts beyond a byte are cut, which brings no two of them further apart
-            counts = np.minimum(np.bincount(cell, minlength=n * CELLS), 255).astype(np.uint8)
+            counts = np.minimum(np.bincount(cell, minlength=n * n_cells), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [part.column("node"), pa.array(np.bincount(text, minlength=n).astype(np.int64)),
-                 pa.array([line.tobytes() for line in counts.reshape(n, CELLS)], pa.binary())],
+                 pa.array([line.tobytes() for line in counts.reshape(n, n_cells)], pa.binary())],
                 names=["node", "total", "cells"])
 
     return run
@@ -268,7 +394,7 @@ def _sketches(size: int):
 def _close(threshold: float):
     """Pairs of each tile (band, i, j) that sizes and sketches do not rule out; rows come sorted by tile."""
     def pairs(tile: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        i, j, block, node, component, total, cells = tile
+        i, j, block, node, component, weight, total, cells = tile
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
         at_once = max(1, (1 << 16) // max(1, len(two)))
         for start in range(0, len(one), at_once):
@@ -282,17 +408,23 @@ def _close(threshold: float):
                 a, b = left[at:at + (1 << 13)], right[at:at + (1 << 13)]
                 apart = (np.maximum(cells[a], cells[b]) - np.minimum(cells[a], cells[b])).sum(1, dtype=np.int64)
                 near = apart <= (1 - threshold) / (1 + threshold) * (total[a] + total[b]) + 1e-6
-                a, b = node[a[near]], node[b[near]]
+                a, b = a[near], b[near]
                 if len(a):
+                    shared, both, more = np.minimum(weight[a], weight[b]), total[a] + total[b], np.maximum(total[a], total[b])
+                    least = threshold / (1 + threshold) * both - np.ceil(threshold * more) + 1 - 1e-6
+                    a, b = node[a], node[b]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared.astype(np.int64)),
+                         pa.array(least)], names=["a", "b", "shared", "least"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last tile so far, which the next batch may continue
         for batch in batches:
-            own = [batch.column(k).to_numpy() for k in range(7)]
-            cells = batch.column(7).to_pylist()
-            own.append(np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), CELLS))
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k).to_numpy() for k in range(8)]
+            cells = batch.column(8).to_pylist()
+            own.append(np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1))
             held = own if held is None else [np.concatenate(both) for both in zip(held, own, strict=True)]
             band, i, j = held[:3]
             cuts = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from helpers import bag, jaccard, near_classes, prose, variants
 
 from pitchrank.llm import components as module
@@ -136,3 +139,44 @@ def test_recall_on_documents(spark):
     linked = [i for i in want if want[i] != i]
     assert len(linked) > 50 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
     assert all(want[got[i]] == want[i] for i in got)
+
+
+def test_alike_texts_that_share_no_band(spark):
+    """Pairs with 40 of 50 shingles in common, which one in some tens of thousands has in no band of its signatures."""
+    rows = []
+    for seed in (21062, 116447, 309348):
+        words = prose(seed, 54, 100000)
+        rows += [(len(rows), " ".join(words[:49])), (len(rows) + 1, " ".join(words[5:]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    signed = df.selectExpr("doc_id AS doc", "'' AS key", "text AS body").mapInArrow(
+        minhash._signatures(5, minhash.BANDS, minhash.ROWS), "doc long, key string, bands array<long>")
+    bands = {r.doc: set(r.bands) for r in signed.collect()}
+    assert not any(bands[i] & bands[i + 1] for i in (0, 2, 4))
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert got == near_classes(rows) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_alike_texts_share_a_mark():
+    """Whichever shingles are taken to be common, and with repetitions."""
+    rng = np.random.default_rng(2)
+    for trial in range(300):
+        base = rng.integers(1, 60, 40).astype(np.uint64)
+        other = base.copy()
+        other[rng.choice(40, 4, replace=False)] = rng.integers(100, 200, 4)
+        if trial % 2:
+            other = other[:int(rng.integers(32, 40))]
+        text, shingle, weight = minhash.counted(
+            np.repeat([0, 1], [len(base), len(other)]), np.concatenate([base, other]) << np.uint64(16))
+        names = np.sort(rng.choice(60, 20, replace=False))
+        text, shingle, _ = minhash._marks(text, shingle, weight, 2, 0.8, names.astype(np.uint64), rng.integers(4, 999, 20))
+        one, two = (set(shingle[text == n].tolist()) for n in (0, 1))
+        bags = [Counter(base.tolist()), Counter(other.tolist())]
+        assert jaccard(*bags) < 0.8 or one & two
+
+
+def test_shared_bands_over_batches():
+    bands = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    whole = pa.RecordBatch.from_pydict({"band": bands, "id": list(range(10))})
+    for cut in range(1, 5):
+        parts = [whole.slice(at, cut) for at in range(0, 10, cut)]
+        assert [i for b in minhash._several(parts) for i in b.column("id").to_pylist()] == [1, 2, 4, 5, 6, 8, 9]

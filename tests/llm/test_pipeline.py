@@ -98,3 +98,9 @@ def test_near_dedup_leaves_no_link_out(spark):
     rows, classes = variants(1500)
     kept = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes))
+
+
+def test_near_dedup_finds_copies_that_share_no_band(spark):
+    words = prose(21062, 54, 100000)
+    docs = spark.createDataFrame([(1, " ".join(words[:49])), (2, " ".join(words[5:]))], "doc_id long, text string")
+    assert [r.doc_id for r in C.near_dedup(spark, docs, "").collect()] == [1]
