@@ -87,7 +87,7 @@ def _signatures(rows: pa.Table, size: int) -> dict | None:
         minima[power] = np.unique(hashes[first])
     sizes = np.bincount(item, minlength=rows.num_rows)
     return {"ids": rows.column("id").to_pylist(), "sizes": sizes, "minima": minima, "hash": hashes, "item": item,
-            "few": np.unique(hashes[sizes[item] < FEW])}
+            "few": np.unique(hashes[sizes[item] < FEW]), "every": np.unique(hashes)}
 
 
 def _bits(power: int) -> int:
@@ -100,21 +100,32 @@ def _lower(column) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[data], off
 
 
+def _distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each text, ordered by text and hash."""
+    order = np.argsort(hashes)
+    order = order[np.argsort(text[order], kind="stable")]
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], text[new]
+
+
 def _search(block: dict, threshold: float, size: int, text_col: str, out: str):
     ids, sizes = block["ids"], block["sizes"]
     known = np.zeros(1 << 20, bool)  # a quick test that nearly all shingles fail
-    known[(np.unique(block["hash"]) >> U(44)).astype(np.int64)] = True
+    every = block["every"]
+    known[(every >> U(44)).astype(np.int64)] = True
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             words = find_words(*_lower(part.column(text_col)), ALNUM)
             hashes, text = shingles(words, word_hashes(words), size)
-            order = np.argsort(hashes)
-            order = order[np.argsort(text[order], kind="stable")]
-            hashes, text = hashes[order], text[order]
-            new = np.ones(len(text), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-            hashes, text = hashes[new], text[new]
+            seen = np.flatnonzero(known[(hashes >> U(44)).astype(np.int64)])
+            seen = seen[every[np.minimum(np.searchsorted(every, hashes[seen]), len(every) - 1)] == hashes[seen]]
+            # texts without a shingle of any item need no signature
+            some = np.zeros(part.num_rows, bool)
+            some[text[seen]] = True
+            hashes, text = _distinct(hashes[some[text]], text[some[text]])
             count = np.bincount(text, minlength=part.num_rows)
             power = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
             bin_of = hashes >> (U(64) - (power + _bits(0)).astype(U)[text])
@@ -125,7 +136,7 @@ def _search(block: dict, threshold: float, size: int, text_col: str, out: str):
             mine, few = mine[least[mine] | few], few[least[mine] | few]
             hits: list[list] = [[] for _ in range(part.num_rows)]
             for doc in np.unique(text[mine]):
-                own = text[mine] == doc
+                own = slice(*np.searchsorted(text[mine], [doc, doc + 1]))
                 its = hashes[mine[own]]
                 if few[own].any() or np.isin(its, block["minima"][int(power[doc])]).any():
                     lo, hi = np.searchsorted(text, [doc, doc + 1])

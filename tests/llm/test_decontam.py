@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from helpers import prose
 
 from pitchrank.llm import decontam
@@ -50,3 +51,16 @@ def test_items_of_few_shingles_are_always_found(spark):
     got = find_items(spark.createDataFrame(docs, "doc_id long, text string"),
                      spark.createDataFrame(items, "item_id long, text string")).collect()
     assert all([h.item_id for h in r.hits] == [items[r.doc_id % 9][0]] for r in got)
+
+
+def test_texts_without_an_items_shingle_get_no_signature(monkeypatch):
+    items = pa.table({"id": [1, 2], "text": [" ".join(prose(n, 30)) for n in (1, 2)]})
+    texts = [" ".join(prose(n, 200)) for n in range(100, 300)]
+    texts[7] += " " + items["text"][1].as_py()
+    sorted_texts, distinct = [], decontam._distinct
+    monkeypatch.setattr(decontam, "_distinct", lambda h, t: sorted_texts.extend(set(t.tolist())) or distinct(h, t))
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "n_shared", "n_shingles")]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(200, kind)], names=["text", "hits"])
+    done = pa.Table.from_batches(decontam._search(decontam._signatures(items, 5), 0.8, 5, "text", "hits")([batch]))
+    assert [len(h) for h in done["hits"].to_pylist()] == [int(n == 7) for n in range(200)]
+    assert sorted_texts == [7]
