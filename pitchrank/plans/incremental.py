@@ -58,21 +58,35 @@ def key_states(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return rows.dropna(subset=_KEYS).groupBy(*_KEYS, "month").agg(*measures)
 
 
+def pitch_counts(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Screened pitches per month, profile key, name and speed, and whether they are usable; keys may be null."""
+    rows = C.screen(raw).withColumns({"season": F.year("game_date"), "month": F.month("game_date")}).dropna(
+        subset=["pitcher", "season"]).transform(C.add_run_value).transform(
+        C.add_pitch_group, settings.pitch_groups).transform(C.encode_hand)
+    usable = F.col(P.LABEL).isNotNull() & F.col("pitch_group").isNotNull()
+    speed = codes.clip(F.col("release_speed"), *P.CLIP_BOUNDS["release_speed"])
+    return rows.withColumns({"usable": usable, "release_speed": speed}).groupBy(
+        *_KEYS, "month", "player_name", "release_speed", "usable").agg(F.count(F.lit(1)).alias("n"))
+
+
 def speed_states(rows: DataFrame) -> DataFrame:
-    """Per month, profile key and speed: pitches."""
-    return rows.dropna(subset=_KEYS).groupBy(*_KEYS, "month", "release_speed").agg(F.count(F.lit(1)).alias("n"))
+    """Per month, profile key and speed: pitches; ``rows`` are pitches, or stand for ``n`` each."""
+    n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    return rows.dropna(subset=_KEYS).groupBy(*_KEYS, "month", "release_speed").agg(n.alias("n"))
 
 
 def pitcher_states(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Per month, pitcher and name: screened pitches, usable ones, fastballs and the sum of their speeds."""
-    rows = C.screen(raw).withColumns({"season": F.year("game_date"), "month": F.month("game_date")}).dropna(
-        subset=["pitcher", "season"]).transform(C.add_run_value).transform(C.add_pitch_group, settings.pitch_groups)
-    usable = F.col(P.LABEL).isNotNull() & F.col("pitch_group").isNotNull()
-    fastball = usable & X.is_fastball()
-    speed = codes.clip(F.col("release_speed"), *P.CLIP_BOUNDS["release_speed"])
-    return rows.groupBy("pitcher", "season", "month", "player_name").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(usable).alias("n"), F.count_if(fastball).alias("fastballs"),
-        F.sum(F.when(fastball, speed)).alias("fastball_speed"))
+    return pitchers_of(pitch_counts(raw, settings))
+
+
+def pitchers_of(counts: DataFrame) -> DataFrame:
+    """``pitcher_states`` from the counts of ``pitch_counts``."""
+    fastball = F.col("usable") & X.is_fastball()
+    return counts.groupBy("pitcher", "season", "month", "player_name").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("usable"), F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(fastball, F.col("n")).otherwise(0)).alias("fastballs"),
+        F.sum(F.when(fastball, F.col("release_speed") * F.col("n"))).alias("fastball_speed"))
 
 
 def summaries_of(keys: DataFrame, speeds: DataFrame, pitchers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -149,8 +163,9 @@ def _take_in(spark: SparkSession, store: str, root: str, changed: list, settings
     for season, month, _ in changed:
         months = months | ((F.col("season") == season) & (F.col("month") == month))
     raw = read_store(spark, store).where(months).drop("season", "month")
-    rows = pitch_features(raw, settings)
-    states = {"keys": key_states(rows, settings), "speeds": speed_states(rows), "pitchers": pitcher_states(raw, settings)}
+    counts = materialize(pitch_counts(raw, settings), "counts")
+    states = {"keys": key_states(pitch_features(raw, settings), settings), "speeds": speed_states(counts.where("usable")),
+              "pitchers": pitchers_of(counts)}
     for name, new in states.items():
         new = materialize(new, name)
         old = _read(spark, f"{root}/{name}")

@@ -64,7 +64,11 @@ def fingerprints(monthly: DataFrame) -> DataFrame:
     """
     values = [F.xxhash64(F.lit(n), F.col(f.name) if f.name in monthly.columns else F.lit(None).cast(f.dataType))
               for n, f in enumerate(PITCH_SCHEMA)]
-    total = F.sum(F.xxhash64(*values).cast("decimal(38,0)"))
+    # summed up in three parts of 21 or 22 bits each, as sums of wide decimals are slow
+    row = F.xxhash64(*values)
+    parts = [F.shiftright(row, 42), F.shiftright(row, 21).bitwiseAND(F.lit((1 << 21) - 1)), row.bitwiseAND(F.lit((1 << 21) - 1))]
+    high, middle, low = (F.sum(p).cast("decimal(20,0)") for p in parts)
+    total = ((high * F.lit(1 << 21) + middle) * F.lit(1 << 21) + low).cast("decimal(38,0)")
     return monthly.groupBy(*PARTS).agg(F.concat_ws(":", F.count(F.lit(1)), total.cast("string")).alias("fingerprint"))
 
 

@@ -101,3 +101,24 @@ def test_speed_gap_from_counts(spark, pitches):
     for r in got.collect():
         assert r.speed_diff == pytest.approx(np.mean(speeds[(r.pitcher, r.pitch_type)]))
     assert min(max(v) for k, v in speeds.items() if k[1] == "FF") > 0
+
+
+def test_changed_months_are_read_twice(spark, pitches, tmp_path, monkeypatch):
+    """Once for the sums per key, once for all that is counted."""
+    store, root = str(tmp_path / "raw"), str(tmp_path / "states")
+    L.replace_months(spark, some(pitches, 1, [(2024, 5), (2024, 6)]), store, TODAY)
+    read, write = [], I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df, name: read.append(any(store in f for f in df.inputFiles())) or write(df, name))
+    I.refresh_profiles(spark, store, root, SMALL)
+    assert sum(read) == 2
+
+
+def test_fingerprints_are_sums_of_hashes(spark, pitches):
+    rows = L.by_month(some(pitches, 1, [(2024, 5), (2024, 6)]))
+    values = [F.xxhash64(F.lit(n), F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType))
+              for n, f in enumerate(L.PITCH_SCHEMA)]
+    hashes = rows.select("month", F.xxhash64(*values).alias("h")).collect()
+    want = {m: f"{sum(r.month == m for r in hashes)}:{sum(r.h for r in hashes if r.month == m)}" for m in (5, 6)}
+    found = L.fingerprints(rows)
+    assert {r.month: r.fingerprint for r in found.collect()} == want
+    assert "decimal(38,0))" not in found._jdf.queryExecution().optimizedPlan().toString().split("sum(")[1]
