@@ -38,6 +38,7 @@ BLOCK = 4096        # members of a bucket that are compared with as many others
 TEXTS = 4096        # different texts that a task takes, besides one task for each core
 SOME = 64           # one text of so many tells which shingles are common
 COMMON = 1 << 17    # shingles that are known to be common, at most
+MARK_BYTES = 8 << 20  # of shared marks that are broadcast
 FEW_CELLS = 64      # of a sketch of texts that share a mark
 SKETCH = "node long, total long, cells binary"
 
@@ -269,7 +270,7 @@ def _marked(keyed: DataFrame, texts: DataFrame, found: DataFrame, threshold: flo
     divided = each.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
     ).where("low <> high").select("band", "n")
-    return lookup_join(each, divided, ["band"], "n", "inner").dropDuplicates(["band", "node"])
+    return lookup_join(each, divided, ["band"], "n", "inner", MARK_BYTES).dropDuplicates(["band", "node"])
 
 
 def _common(keyed: DataFrame, size: int) -> pa.Table:
@@ -342,6 +343,7 @@ def _several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield both.slice(0, both.num_rows - 1).filter(pa.array(keep[:-1]))
     if kept:
         yield last
+    give_back()
 
 
 def _rest(members: DataFrame, found: DataFrame, bodies: DataFrame, threshold: float, size: int, n: int = 0) -> DataFrame:
