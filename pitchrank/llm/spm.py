@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pitchrank.llm.textbytes import U, Words, bounded, buffers, mix, ranges, slices, word_hashes
+from pitchrank.llm.textbytes import U, Words, bounded, buffers, give_back, mix, ranges, slices, word_hashes
 
 BLANK = 0x2581
 BASE = 0x9E3779B97F4A7C55
@@ -156,6 +156,7 @@ class Encoder:
     CACHE = 1 << 20   # pairs of pieces kept
     WORDS = 1 << 19   # words kept
     LONG = 64         # characters of a word that is cut before it is searched
+    NEW = 1 << 20     # bytes of words that are searched side by side
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -173,15 +174,9 @@ class Encoder:
         """Ids of all texts end to end, and where those of each text begin."""
         data, off = buffers(column)
         size = np.diff(off)
-        # one blank before each text that is not empty
-        shift = np.cumsum(size > 0) - (size > 0)
-        put = np.zeros(int(off[-1]) + int((size > 0).sum()) + 8, np.uint8)
-        owner = np.repeat(np.arange(len(size)), size)
-        put[np.arange(off[-1]) + (shift[owner] + 1)] = data[:off[-1]]
+        data = np.insert(data, off[:-1][size > 0], 0x20)  # one blank before each text that is not empty
         off = np.concatenate([[0], np.cumsum(size + (size > 0))])
-        put[off[:-1][size > 0]] = 0x20
-        data, used = put, put[:off[-1]]
-        blank, lone = used == 0x20, self.v.lone[used]
+        blank, lone = data[:off[-1]] == 0x20, self.v.lone[data[:off[-1]]]
         begins = lone | blank
         begins[1:] = (lone[1:] | lone[:-1]) | (blank[1:] & ~blank[:-1])
         begins[off[:-1][size > 0]] = True
@@ -194,11 +189,13 @@ class Encoder:
         odd = np.flatnonzero(check != check[lead][which])
         if len(odd):  # equal hashes of different words: these are encoded by themselves
             which[odd] = len(lead) + np.arange(len(odd))
+        check = check[lead]
+        del blank, lone, begins, start, hashes  # as long as all words
         if len(self.hash) > self.WORDS:
             self._forget()
         at = np.minimum(np.searchsorted(self.hash, known), max(len(self.hash) - 1, 0))
-        old = (self.hash[at] == known) & (self.check[at] == check[lead]) if len(self.hash) else np.zeros(len(lead), bool)
-        ids, first = self._words(words, np.concatenate([lead[~old], odd]))
+        old = (self.hash[at] == known) & (self.check[at] == check) if len(self.hash) else np.zeros(len(lead), bool)
+        ids, first = self._new_words(words, np.concatenate([lead[~old], odd]))
         base = len(self.first) - 1
         place = np.empty(len(lead) + len(odd), np.int64)
         place[:len(lead)][old] = self.where[at[old]]
@@ -209,14 +206,18 @@ class Encoder:
         fresh = np.concatenate([self.hash, known[~old]])
         order = np.argsort(fresh, kind="stable")
         self.hash = fresh[order]
-        self.check = np.concatenate([self.check, check[lead][~old]])[order]
+        self.check = np.concatenate([self.check, check[~old]])[order]
         self.where = np.concatenate([self.where, place[:len(lead)][~old]])[order]
         return _gather(self.ids, self.first, place[which], words.first)
 
+    def _new_words(self, words: Words, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_words``, over parts of about ``NEW`` bytes, as a search takes many times its words' memory."""
+        parts = [self._words(words, lead[a:b]) for a, b in _parts((words.end - words.start)[lead], self.NEW)]
+        count = np.concatenate([np.zeros(1, np.int64), *[np.diff(first) for _, first in parts]])
+        return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in parts]]), np.cumsum(count)
+
     def _words(self, words: Words, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words ``lead`` end to end, and where each begins."""
-        if not len(lead):
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         raw, _ = _gather(words.data, np.append(words.start, words.end[-1]), lead, np.arange(len(lead) + 1))
         length = words.end[lead] - words.start[lead]
         codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -364,14 +365,28 @@ class Encoder:
 
 def _second(words: Words) -> np.ndarray:
     """A hash of each word that has nothing in common with ``word_hashes``: a weighted sum of its bytes."""
-    place = np.arange(len(words.data) - 8) - np.repeat(words.start, words.end - words.start)
-    weight = mix(np.arange(int((words.end - words.start).max()), dtype=U))
-    return np.add.reduceat((words.data[:-8].astype(U) + U(1)) * weight[place], words.start)
+    length = words.end - words.start
+    weight = mix(np.arange(int(length.max()), dtype=U))
+    out = np.empty(len(length), U)
+    for a, b in _parts(length, 1 << 18):  # eight bytes for each byte, several times
+        from_, to = words.start[a], words.end[b - 1]
+        place = np.arange(from_, to) - np.repeat(words.start[a:b], length[a:b])
+        out[a:b] = np.add.reduceat((words.data[from_:to].astype(U) + U(1)) * weight[place], words.start[a:b] - from_)
+    return out
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Where neighbours whose sizes add up to about ``most`` begin and end; one at least is in each."""
+    if len(sizes):
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1))
+        yield from zip(cuts, np.append(cuts[1:], len(sizes)), strict=True)
 
 
 def _gather_spans(values: np.ndarray, start: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(counts)])
-    return values[np.repeat(start - first[:-1], counts) + np.arange(first[-1])], first
+    at = np.repeat(start - first[:-1], counts)
+    at += np.arange(first[-1])
+    return values[at], first
 
 
 def _gather(values: np.ndarray, first: np.ndarray, which: np.ndarray, groups: np.ndarray):
@@ -394,6 +409,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
             column = part.column(text_col)
             ids, first = encoder.encode(column)
             yield part.append_column(out, _lists(ids, first, column))
+            del part, column, ids, first  # not held while the next texts come
+        del encoder
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -415,7 +433,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
     table = [p.replace("▁", " ").encode() for p in vocabulary.pieces]
     for value, i in vocabulary.bytes_.items():
         table[i] = bytes([value])
-    table[vocabulary.unknown] = "⁇".encode()
+    unknown = vocabulary.unknown
+    table[unknown] = "⁇".encode()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.frombuffer(b"".join(table), np.uint8)
@@ -429,11 +448,12 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
                 lengths = np.array([n or 0 for n in column.value_lengths().to_pylist()], np.int64)
                 flat = column.flatten().to_numpy(zero_copy_only=False)
                 flat = np.where(np.isnan(flat), -1, flat).astype(np.int64) if flat.dtype.kind == "f" else flat
-                flat = np.where((flat < 0) | (flat >= len(table)), vocabulary.unknown, flat)
+                flat = np.where((flat < 0) | (flat >= len(table)), unknown, flat)
                 text, first = _gather(raw, starts, flat, np.concatenate([[0], np.cumsum(lengths)]))
                 whole = text.tobytes()
                 texts = [None if null else whole[a + (whole[a:a + 1] == b" "):b].decode("utf-8", "replace")
                          for a, b, null in zip(first[:-1], first[1:], column.is_null().to_pylist(), strict=True)]
                 yield part.append_column(out, pa.array(texts, pa.string()))
+        give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

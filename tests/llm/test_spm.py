@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,23 @@ def test_long_unbroken_words_equal_the_library(vocabulary):
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [model.encode(t) for t in texts]
 
 
+def test_memory_of_a_batch(vocabulary):
+    """Arrays of eight bytes for each byte of the text are not kept side by side; new words go through in parts."""
+    rng = np.random.default_rng(7)
+    known = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 60_000)]
+    texts = [" ".join(known[i] for i in rng.integers(0, len(known), 300)) for _ in range(2100)]
+    column = pa.array(texts)
+    encoder = spm.Encoder(vocabulary)
+    for _ in range(2):  # all words are new at first, and then known
+        tracemalloc.start()
+        ids, first = encoder.encode(column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 27 * sum(map(len, texts))
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert all(ids[first[i]:first[i + 1]].tolist() == model.encode(texts[i]) for i in range(0, 2100, 50))
+
+
 def test_documents_equal_the_library(spark, vocabulary):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
